@@ -26,14 +26,17 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey")
     agg = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.count(F.lit(1)).cast("double").alias("n_items"),
-        F.sum("l_quantity").alias("sum_qty"),
-        F.sum("l_extendedprice").alias("sum_price"),
-        F.avg("l_discount").alias("avg_disc"),
-        F.avg("l_tax").alias("avg_tax"),
+        F.sum("l_quantity").alias("_qty"),
+        F.sum("l_extendedprice").alias("_price"),
+        F.avg("l_discount").alias("_disc"),
+        F.avg("l_tax").alias("_tax"),
     )
-    agg = agg.withColumn(
-        "label",
-        (F.round("sum_price", 2) > F.lit(PRICE_PER_ITEM_THRESHOLD) * F.col("n_items")).cast("double"),
+    # features are rounded to 6 decimals so both engines start every later step from equal inputs
+    agg = agg.select(
+        "o_orderkey", "n_items",
+        F.round("_qty", 6).alias("sum_qty"), F.round("_price", 6).alias("sum_price"),
+        F.round("_disc", 6).alias("avg_disc"), F.round("_tax", 6).alias("avg_tax"),
+        (F.round("_price", 2) > F.lit(PRICE_PER_ITEM_THRESHOLD) * F.col("n_items")).cast("double").alias("label"),
     )
     return agg.join(orders, "o_orderkey", "left_semi")
 
@@ -41,10 +44,10 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 READINGS_SQL = f"""
 SELECT l_orderkey AS o_orderkey,
        CAST(count(*) AS DOUBLE) AS n_items,
-       sum(l_quantity) AS sum_qty,
-       sum(l_extendedprice) AS sum_price,
-       avg(l_discount) AS avg_disc,
-       avg(l_tax) AS avg_tax,
+       round(sum(l_quantity), 6) AS sum_qty,
+       round(sum(l_extendedprice), 6) AS sum_price,
+       round(avg(l_discount), 6) AS avg_disc,
+       round(avg(l_tax), 6) AS avg_tax,
        CAST(round(sum(l_extendedprice), 2) > {PRICE_PER_ITEM_THRESHOLD} * count(*) AS DOUBLE) AS label
 FROM lineitem
 WHERE l_orderkey IN (SELECT o_orderkey FROM orders)

@@ -18,6 +18,8 @@ No step puts all distinct scores into one task.
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,41 +37,46 @@ def _f_measure(p: Column, r: Column, beta: float = 1.0) -> Column:
 
 # ---------------------------------------------------------------- multiclass (hard predictions)
 
-def confusion(df: DataFrame, label_col: str = "label", prediction_col: str = "prediction") -> DataFrame:
-    """(label, prediction, n) counts."""
+def confusion(df: DataFrame, label_col: str = "label", prediction_col: str = "prediction",
+              group_cols: Sequence[str] = ()) -> DataFrame:
+    """(group..., label, prediction, n) counts."""
     return df.groupBy(
+        *group_cols,
         F.col(label_col).cast("double").alias("label"),
         F.col(prediction_col).cast("double").alias("prediction"),
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-def class_stats(df: DataFrame, label_col: str = "label", prediction_col: str = "prediction") -> DataFrame:
-    """Per true-or-predicted class: tp, predicted, actual, precision, recall, f1 (one row per class).
+def class_stats(df: DataFrame, label_col: str = "label", prediction_col: str = "prediction",
+                group_cols: Sequence[str] = ()) -> DataFrame:
+    """Per (group..., class): tp, predicted, actual, precision, recall, f1.
 
-    Built from the confusion table, which has at most (#classes)^2 rows.
+    Built from the confusion table, which has at most (#groups x #classes^2) rows.
     """
-    conf = confusion(df, label_col, prediction_col)
+    g = list(group_cols)
+    conf = confusion(df, label_col, prediction_col, g)
     per_class = (
-        conf.select(F.col("label").alias("cls"), F.lit(0).cast("bigint").alias("pred_n"),
+        conf.select(*g, F.col("label").alias("cls"), F.lit(0).cast("bigint").alias("pred_n"),
                     F.col("n").alias("act_n"), F.when(F.col("label") == F.col("prediction"), F.col("n"))
                     .otherwise(F.lit(0)).cast("bigint").alias("tp_n"))
-        .unionByName(conf.select(F.col("prediction").alias("cls"), F.col("n").alias("pred_n"),
+        .unionByName(conf.select(*g, F.col("prediction").alias("cls"), F.col("n").alias("pred_n"),
                                  F.lit(0).cast("bigint").alias("act_n"), F.lit(0).cast("bigint").alias("tp_n")))
-        .groupBy("cls")
+        .groupBy(*g, "cls")
         .agg(F.sum("tp_n").alias("tp"), F.sum("pred_n").alias("predicted"), F.sum("act_n").alias("actual"))
     )
     p = _ratio(F.col("tp"), F.col("predicted"), 0.0)
     r = _ratio(F.col("tp"), F.col("actual"), 0.0)
     return per_class.select(
-        F.col("cls").alias("label"), "tp", "predicted", "actual",
+        *g, F.col("cls").alias("label"), "tp", "predicted", "actual",
         p.alias("precision"), r.alias("recall"), _f_measure(p, r).alias("f1"),
     )
 
 
-def weighted_f1(df: DataFrame, label_col: str = "label", prediction_col: str = "prediction") -> DataFrame:
-    """One row: ``weighted_f1`` (what the reference prints as "accuracy")."""
-    cs = class_stats(df, label_col, prediction_col)
-    return cs.agg((F.sum(F.col("f1") * F.col("actual")) / F.sum("actual")).alias("weighted_f1"))
+def weighted_f1(df: DataFrame, label_col: str = "label", prediction_col: str = "prediction",
+                group_cols: Sequence[str] = ()) -> DataFrame:
+    """One row per group: ``weighted_f1`` (what the reference prints as "accuracy")."""
+    cs = class_stats(df, label_col, prediction_col, group_cols)
+    return cs.groupBy(*group_cols).agg((F.sum(F.col("f1") * F.col("actual")) / F.sum("actual")).alias("weighted_f1"))
 
 
 def accuracy(df: DataFrame, label_col: str = "label", prediction_col: str = "prediction") -> DataFrame:
@@ -81,13 +88,14 @@ def accuracy(df: DataFrame, label_col: str = "label", prediction_col: str = "pre
 
 
 def by_label(df: DataFrame, metric: str, metric_label: float, label_col: str = "label",
-             prediction_col: str = "prediction") -> DataFrame:
-    """One row: precision / recall / f1 of one class. The label is explicit (the reference's
-    evaluator default is 0.0, i.e. the *no alarm* class)."""
-    cs = class_stats(df, label_col, prediction_col).where(F.col("label") == float(metric_label))
-    one = df.sparkSession.range(1).select(F.lit(float(metric_label)).alias("label"))
-    return one.join(cs, "label", "left").select(
-        "label", F.coalesce(F.col(metric), F.lit(0.0)).alias(metric)
+             prediction_col: str = "prediction", group_cols: Sequence[str] = ()) -> DataFrame:
+    """One row (per group): precision / recall / f1 of one class. The label is explicit (the
+    reference's evaluator default is 0.0, i.e. the *no alarm* class); a class never seen scores 0."""
+    g = list(group_cols)
+    cs = class_stats(df, label_col, prediction_col, g)
+    return cs.groupBy(*g).agg(
+        F.lit(float(metric_label)).alias("label"),
+        F.coalesce(F.max(F.when(F.col("label") == float(metric_label), F.col(metric))), F.lit(0.0)).alias(metric),
     )
 
 

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# microsecond timestamps in JSON text (Spark's default pattern keeps milliseconds only)
+_TS_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+               "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True,
              mode: str = "PERMISSIVE") -> DataFrame:
     """A1: CSV with a header line and a declared schema. Binding is by position: the declared
@@ -42,13 +47,13 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType,
                     corrupt_col: str = "_corrupt_record") -> DataFrame:
     """A3: JSON-lines files with a declared schema; unparsable lines land in ``corrupt_col``."""
     full = T.StructType(list(schema.fields) + [T.StructField(corrupt_col, T.StringType(), True)])
-    return (spark.read.schema(full).option("mode", "PERMISSIVE")
+    return (spark.read.schema(full).option("mode", "PERMISSIVE").options(**_TS_OPTIONS)
             .option("columnNameOfCorruptRecord", corrupt_col).json(path))
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """One JSON object per line (the search history export)."""
-    df.write.mode(mode).json(path)
+    df.write.mode(mode).options(**_TS_OPTIONS).json(path)
     return path
 
 
