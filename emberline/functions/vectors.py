@@ -77,3 +77,20 @@ def affine_rotate(x, offset, rate: float, matrix, shift: bool = True, rotate: bo
     if not rotate:
         return y
     return F.transform(_c(matrix), lambda row: vsum(F.zip_with(row, y, lambda m, t: m * t)))
+
+
+def dist_n(a, b, d: int) -> Column:
+    """Euclidean distance for a known dimension ``d`` as plain element arithmetic: unlike the
+    lambda forms above, this stays inside whole-stage code generation (hot join filters)."""
+    a, b = _c(a), _c(b)
+    acc = None
+    for i in range(d):
+        t = (a[i] - b[i]) * (a[i] - b[i])
+        acc = t if acc is None else acc + t
+    return F.sqrt(F.lit(0.0) + acc) if acc is not None else F.lit(0.0)
+
+
+def array_dim(df, col: str) -> int:
+    """Dimension of a fixed-size array column (one row read)."""
+    row = df.select(F.size(col).alias("d")).where(F.col("d") > 0).first()
+    return int(row["d"]) if row else 0

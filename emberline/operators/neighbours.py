@@ -20,7 +20,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dist, vadd, vsub, zeros_like
+from ..functions.vectors import dist, dist_n, vadd, vsub, zeros_like
 
 MIN_DIST = 1e-9
 
@@ -50,7 +50,7 @@ def radius_neighbours(df: DataFrame, radius, dim: int | None = None, x_col: str
         F.transform(off, lambda o: F.zip_with(F.col("cell"), o, lambda c, e: c + e))).alias("cell"))
     targets = base.select("group_id", F.col("id").alias("nn_id"), F.col("x").alias("nx"), "cell")
     pairs = probes.join(targets, ["group_id", "cell"])
-    pairs = pairs.select("group_id", "id", "nn_id", dist("x", "nx").alias("dist"))
+    pairs = pairs.select("group_id", "id", "nn_id", dist_n("x", "nx", d).alias("dist"))
     return pairs.where((F.col("dist") > MIN_DIST) & (F.col("dist") < r))
 
 
