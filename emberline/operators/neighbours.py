@@ -36,34 +36,40 @@ def _dim(df: DataFrame, x_col: str) -> int:
     return int(row["d"]) if row else 0
 
 
-def radius_neighbours(df: DataFrame, radius, dim: int | None = None, x_col: str = "x",
-                      id_col: str = "id", group_col: str = "group_id") -> DataFrame:
-    """G1: (group_id, id, nn_id, dist) for all ordered neighbour pairs."""
+def _radius_pairs(df: DataFrame, radius, dim: int | None, x_col: str, id_col: str, group_col: str,
+                  carry: tuple[str, ...] = ()) -> DataFrame:
     r = radius_value(radius)
     d = dim if dim is not None else _dim(df, x_col)
     offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=d)]
     cell = F.transform(F.col(x_col), lambda t: F.floor(t / F.lit(r)))
     base = df.select(F.col(group_col).alias("group_id"), F.col(id_col).alias("id"),
-                     F.col(x_col).alias("x"), cell.alias("cell"))
+                     F.col(x_col).alias("x"), cell.alias("cell"), *[F.col(c) for c in carry])
     off = F.array(*[F.array(*[F.lit(v).cast("bigint") for v in o]) for o in offsets])
     probes = base.select("group_id", "id", "x", F.explode(
         F.transform(off, lambda o: F.zip_with(F.col("cell"), o, lambda c, e: c + e))).alias("cell"))
-    targets = base.select("group_id", F.col("id").alias("nn_id"), F.col("x").alias("nx"), "cell")
+    targets = base.select("group_id", F.col("id").alias("nn_id"), F.col("x").alias("nx"), "cell",
+                          *[F.col(c).alias(f"n_{c}") for c in carry])
     pairs = probes.join(targets, ["group_id", "cell"])
-    pairs = pairs.select("group_id", "id", "nn_id", dist_n("x", "nx", d).alias("dist"))
+    pairs = pairs.select("group_id", "id", "nn_id", dist_n("x", "nx", d).alias("dist"), "nx",
+                         *[f"n_{c}" for c in carry])
     return pairs.where((F.col("dist") > MIN_DIST) & (F.col("dist") < r))
 
 
+def radius_neighbours(df: DataFrame, radius, dim: int | None = None, x_col: str = "x",
+                      id_col: str = "id", group_col: str = "group_id") -> DataFrame:
+    """G1: (group_id, id, nn_id, dist) for all ordered neighbour pairs."""
+    return _radius_pairs(df, radius, dim, x_col, id_col, group_col).select("group_id", "id", "nn_id", "dist")
+
+
 def _neighbour_sums(df: DataFrame, radius, dim: int, x_col: str, v_col: str) -> DataFrame:
-    """Per row with neighbours: count, per-dimension sums of neighbour positions and attributes."""
-    pairs = radius_neighbours(df, radius, dim, x_col)
-    nb = df.select(F.col("group_id"), F.col("id").alias("nn_id"), F.col(x_col).alias("nx"),
-                   F.col(v_col).alias("nv"))
-    j = pairs.join(nb, ["group_id", "nn_id"])
-    return j.groupBy("group_id", "id").agg(
+    """Per row with neighbours: count, per-dimension sums of neighbour positions and attributes.
+    The neighbour's position and attribute ride along the radius join, so no second join is needed;
+    the grouped sums are partially aggregated before their shuffle."""
+    pairs = _radius_pairs(df, radius, dim, x_col, "id", "group_id", carry=(v_col,))
+    return pairs.groupBy("group_id", "id").agg(
         F.count(F.lit(1)).alias("n_nb"),
         *[F.sum(F.col("nx")[i]).alias(f"_sx{i}") for i in range(dim)],
-        *[F.sum(F.col("nv")[i]).alias(f"_sv{i}") for i in range(dim)],
+        *[F.sum(F.col(f"n_{v_col}")[i]).alias(f"_sv{i}") for i in range(dim)],
     )
 
 

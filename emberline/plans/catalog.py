@@ -627,13 +627,17 @@ def q_affine_rotate(spark, sf):
     offset = mu.agg(F.sort_array(F.collect_list(F.struct("j", "m"))).alias("_s")).select(
         F.transform("_s", lambda t: t["m"]).alias("offset"))
     dim = G._dim(v, "x")
+    # the d x d matrix comes from a rule and goes through the headerless matrix CSV reader (A10)
     mm = spark.range(dim * dim).select((F.col("id") / dim).cast("bigint").alias("i"),
                                        (F.col("id") % dim).alias("j"))
     mm = mm.select("i", "j", (hash01("rot", "i", "j") - 0.5).alias("mij"))
-    rows = mm.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "mij"))).alias("_r")).select(
-        "i", F.transform("_r", lambda t: t["mij"]).alias("row"))
-    matrix = rows.agg(F.sort_array(F.collect_list(F.struct("i", "row"))).alias("_m")).select(
-        F.transform("_m", lambda t: t["row"]).alias("matrix"))
+    rows = mm.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "mij"))).alias("_r"))
+    flat = rows.orderBy("i").select(*[F.col("_r")[c]["mij"].alias(f"c{c}") for c in range(dim)])
+    mpath = scratch_path(spark, "matrix")
+    flat.coalesce(1).write.mode("overwrite").option("header", False).csv(mpath)  # d rows, in row order
+    m_rows = io.read_matrix(spark, mpath, dim)
+    matrix = m_rows.agg(F.sort_array(F.collect_list(F.struct("row_idx", "values"))).alias("_m")).select(
+        F.transform("_m", lambda t: t["values"]).alias("matrix"))
     j = v.crossJoin(F.broadcast(offset)).crossJoin(F.broadcast(matrix))
     out = j.select("vec_id", affine_rotate("x", "offset", ROT_RATE, "matrix").alias("y"))
     return _long(out, "vec_id", "y")
