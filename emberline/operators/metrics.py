@@ -110,17 +110,21 @@ def precision_by_label(df: DataFrame, metric_label: float = 0.0, **kw) -> DataFr
 # ---------------------------------------------------------------- binary curves (scores)
 
 def threshold_table(df: DataFrame, score_col: str = "score", label_col: str = "label",
-                    buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                    buckets: int = DEFAULT_BUCKETS, materialize: bool = True) -> DataFrame:
     """One row per distinct score (= threshold), with running counts and curve coordinates.
 
     Columns: threshold, pos, neg, tp, fp, prev_tp, prev_fp, P, N, precision, recall, fpr, f1,
     prev_precision, prev_recall, prev_fpr.
+
+    The per-score table feeds the bucket bounds, the bucket totals and the running sums; with
+    ``materialize`` it is written once to the checkpoint folder, so the scored input is scanned once.
     """
-    spark = df.sparkSession
     d = df.groupBy(F.col(score_col).cast("double").alias("threshold")).agg(
         F.sum((F.col(label_col) > 0.5).cast("long")).alias("pos"),
         F.sum((F.col(label_col) <= 0.5).cast("long")).alias("neg"),
     )
+    if materialize:
+        d = d.checkpoint(eager=True)
     if buckets > 1:
         qs = [i / buckets for i in range(1, buckets)]
         bounds = d.agg(F.percentile_approx("threshold", qs, 10000).alias("bounds"))
