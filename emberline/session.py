@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -35,6 +37,7 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -53,6 +56,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_SHIPPED: set = set()
+_SHIP_LOCK = threading.Lock()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``emberline`` importable in Python workers (what ``--py-files`` does at submit time):
+    the package is zipped once on the driver and added to the SparkContext, which copies it to every
+    executor. Needed by the Arrow-batched operators whose task code lives in the package."""
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    with _SHIP_LOCK:
+        if key in _SHIPPED:
+            return
+        pkg_dir = os.path.dirname(os.path.abspath(__file__))
+        fd, zpath = tempfile.mkstemp(prefix="emberline-", suffix=".zip")
+        os.close(fd)
+        with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as zf:
+            for root, _, files in os.walk(pkg_dir):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(root, f)
+                        zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+        sc.addPyFile(zpath)
+        _SHIPPED.add(key)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path in the shared scratch area (never a machine-local temp folder)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
