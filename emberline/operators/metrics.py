@@ -38,23 +38,24 @@ def _f_measure(p: Column, r: Column, beta: float = 1.0) -> Column:
 # ---------------------------------------------------------------- multiclass (hard predictions)
 
 def confusion(df: DataFrame, label_col: str = "label", prediction_col: str = "prediction",
-              group_cols: Sequence[str] = ()) -> DataFrame:
-    """(group..., label, prediction, n) counts."""
+              group_cols: Sequence[str] = (), weight_col: str | None = None) -> DataFrame:
+    """(group..., label, prediction, n) counts (``weight_col``: rows are pre-aggregated counts)."""
+    n = F.sum(weight_col).cast("bigint") if weight_col else F.count(F.lit(1))
     return df.groupBy(
         *group_cols,
         F.col(label_col).cast("double").alias("label"),
         F.col(prediction_col).cast("double").alias("prediction"),
-    ).agg(F.count(F.lit(1)).alias("n"))
+    ).agg(n.alias("n"))
 
 
 def class_stats(df: DataFrame, label_col: str = "label", prediction_col: str = "prediction",
-                group_cols: Sequence[str] = ()) -> DataFrame:
+                group_cols: Sequence[str] = (), weight_col: str | None = None) -> DataFrame:
     """Per (group..., class): tp, predicted, actual, precision, recall, f1.
 
     Built from the confusion table, which has at most (#groups x #classes^2) rows.
     """
     g = list(group_cols)
-    conf = confusion(df, label_col, prediction_col, g)
+    conf = confusion(df, label_col, prediction_col, g, weight_col)
     per_class = (
         conf.select(*g, F.col("label").alias("cls"), F.lit(0).cast("bigint").alias("pred_n"),
                     F.col("n").alias("act_n"), F.when(F.col("label") == F.col("prediction"), F.col("n"))
@@ -73,18 +74,19 @@ def class_stats(df: DataFrame, label_col: str = "label", prediction_col: str = "
 
 
 def weighted_f1(df: DataFrame, label_col: str = "label", prediction_col: str = "prediction",
-                group_cols: Sequence[str] = ()) -> DataFrame:
+                group_cols: Sequence[str] = (), weight_col: str | None = None) -> DataFrame:
     """One row per group: ``weighted_f1`` (what the reference prints as "accuracy")."""
-    cs = class_stats(df, label_col, prediction_col, group_cols)
+    cs = class_stats(df, label_col, prediction_col, group_cols, weight_col)
     return cs.groupBy(*group_cols).agg((F.sum(F.col("f1") * F.col("actual")) / F.sum("actual")).alias("weighted_f1"))
 
 
-def accuracy(df: DataFrame, label_col: str = "label", prediction_col: str = "prediction") -> DataFrame:
+def accuracy(df: DataFrame, label_col: str = "label", prediction_col: str = "prediction",
+             weight_col: str | None = None) -> DataFrame:
     """One row: share of rows with prediction = label."""
-    return df.agg(
-        F.avg((F.col(label_col).cast("double") == F.col(prediction_col).cast("double")).cast("double"))
-        .alias("accuracy")
-    )
+    hit = (F.col(label_col).cast("double") == F.col(prediction_col).cast("double")).cast("double")
+    if weight_col:
+        return df.agg((F.sum(hit * F.col(weight_col)) / F.sum(weight_col)).alias("accuracy"))
+    return df.agg(F.avg(hit).alias("accuracy"))
 
 
 def by_label(df: DataFrame, metric: str, metric_label: float, label_col: str = "label",
@@ -110,7 +112,8 @@ def precision_by_label(df: DataFrame, metric_label: float = 0.0, **kw) -> DataFr
 # ---------------------------------------------------------------- binary curves (scores)
 
 def threshold_table(df: DataFrame, score_col: str = "score", label_col: str = "label",
-                    buckets: int = DEFAULT_BUCKETS, materialize: bool = True) -> DataFrame:
+                    buckets: int = DEFAULT_BUCKETS, materialize: bool = True,
+                    weight_col: str | None = None) -> DataFrame:
     """One row per distinct score (= threshold), with running counts and curve coordinates.
 
     Columns: threshold, pos, neg, tp, fp, prev_tp, prev_fp, P, N, precision, recall, fpr, f1,
@@ -119,9 +122,10 @@ def threshold_table(df: DataFrame, score_col: str = "score", label_col: str = "l
     The per-score table feeds the bucket bounds, the bucket totals and the running sums; with
     ``materialize`` it is written once to the checkpoint folder, so the scored input is scanned once.
     """
+    w = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
     d = df.groupBy(F.col(score_col).cast("double").alias("threshold")).agg(
-        F.sum((F.col(label_col) > 0.5).cast("long")).alias("pos"),
-        F.sum((F.col(label_col) <= 0.5).cast("long")).alias("neg"),
+        F.sum(F.when(F.col(label_col) > 0.5, w).otherwise(F.lit(0).cast("long"))).alias("pos"),
+        F.sum(F.when(F.col(label_col) <= 0.5, w).otherwise(F.lit(0).cast("long"))).alias("neg"),
     )
     if materialize:
         d = d.checkpoint(eager=True)
@@ -172,9 +176,13 @@ def threshold_table(df: DataFrame, score_col: str = "score", label_col: str = "l
 
 
 def areas(df: DataFrame, score_col: str = "score", label_col: str = "label",
-          buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+          buckets: int = DEFAULT_BUCKETS, weight_col: str | None = None) -> DataFrame:
     """One row: auc_roc, auc_pr (trapezoid sums over the exact curves)."""
-    t = threshold_table(df, score_col, label_col, buckets)
+    return areas_of(threshold_table(df, score_col, label_col, buckets, weight_col=weight_col))
+
+
+def areas_of(t: DataFrame) -> DataFrame:
+    """auc_roc, auc_pr of a threshold table."""
     return t.agg(
         F.sum((F.col("fpr") - F.col("prev_fpr")) * (F.col("recall") + F.col("prev_recall")) / 2.0).alias("auc_roc"),
         F.sum((F.col("recall") - F.col("prev_recall")) * (F.col("precision") + F.col("prev_precision")) / 2.0)
@@ -235,32 +243,32 @@ def _rank_desc(t: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS) -> DataFr
 
 
 def evaluate_report(df: DataFrame, score_col: str = "score", label_col: str = "label",
-                    prediction_col: str = "prediction", **kw) -> DataFrame:
+                    prediction_col: str = "prediction", buckets: int = DEFAULT_BUCKETS,
+                    materialize: bool = True) -> DataFrame:
     """Long table (metric, threshold, value) with everything the reference prints after a fit:
     weighted F1 (logged as "accuracy"), true accuracy, AUC-ROC / AUC-PR on the score, precision /
-    recall / F1 by threshold and AUC-PR on the hard predictions."""
-    spark = df.sparkSession
-    base = df.select(F.col(score_col).cast("double").alias("_s"), F.col(label_col).cast("double").alias("_l"),
-                     F.col(prediction_col).cast("double").alias("_p"))
-    wf1 = weighted_f1(base, "_l", "_p").select(F.lit("weighted_f1").alias("metric"),
-                                              F.lit(None).cast("double").alias("threshold"),
-                                              F.col("weighted_f1").alias("value"))
-    acc = accuracy(base, "_l", "_p").select(F.lit("accuracy").alias("metric"),
-                                           F.lit(None).cast("double").alias("threshold"),
-                                           F.col("accuracy").alias("value"))
-    a = areas(base, "_s", "_l", **kw)
+    recall / F1 by threshold and AUC-PR on the hard predictions.
+
+    One pass over the input: rows are counted per (score, label, prediction) -- a table no larger
+    than the distinct scores times four -- and every metric is derived from those counts."""
+    cnt = df.groupBy(F.col(score_col).cast("double").alias("_s"), F.col(label_col).cast("double").alias("_l"),
+                     F.col(prediction_col).cast("double").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    if materialize:
+        cnt = cnt.checkpoint(eager=True)
+    null_t = F.lit(None).cast("double").alias("threshold")
+    wf1 = weighted_f1(cnt, "_l", "_p", weight_col="_n").select(
+        F.lit("weighted_f1").alias("metric"), null_t, F.col("weighted_f1").alias("value"))
+    acc = accuracy(cnt, "_l", "_p", weight_col="_n").select(
+        F.lit("accuracy").alias("metric"), null_t, F.col("accuracy").alias("value"))
+    a = areas_of(threshold_table(cnt, "_s", "_l", buckets, materialize=False, weight_col="_n"))
     soft = a.select(F.explode(F.array(
-        F.struct(F.lit("auc_roc").alias("metric"), F.lit(None).cast("double").alias("threshold"),
-                 F.col("auc_roc").alias("value")),
-        F.struct(F.lit("auc_pr").alias("metric"), F.lit(None).cast("double").alias("threshold"),
-                 F.col("auc_pr").alias("value")),
+        F.struct(F.lit("auc_roc").alias("metric"), null_t, F.col("auc_roc").alias("value")),
+        F.struct(F.lit("auc_pr").alias("metric"), null_t, F.col("auc_pr").alias("value")),
     )).alias("m")).select("m.*")
-    hard_t = threshold_table(base, "_p", "_l", **kw)
+    hard_t = threshold_table(cnt, "_p", "_l", buckets, materialize=False, weight_col="_n")
     hard = hard_t.select(F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col("threshold"), F.col(m).alias("value"))
         for m in ("precision", "recall", "f1")
     ])).alias("m")).select("m.*")
-    hard_area = areas(base, "_p", "_l", **kw).select(
-        F.lit("auc_pr_hard").alias("metric"), F.lit(None).cast("double").alias("threshold"),
-        F.col("auc_pr").alias("value"))
+    hard_area = areas_of(hard_t).select(F.lit("auc_pr_hard").alias("metric"), null_t, F.col("auc_pr").alias("value"))
     return wf1.unionByName(acc).unionByName(soft).unionByName(hard).unionByName(hard_area)
