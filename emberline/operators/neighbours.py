@@ -61,15 +61,70 @@ def radius_neighbours(df: DataFrame, radius, dim: int | None = None, x_col: str
     return _radius_pairs(df, radius, dim, x_col, id_col, group_col).select("group_id", "id", "nn_id", "dist")
 
 
+SUB = 4  # sub-cells per radius for the aggregated neighbour sums
+
+
+def _sub_offsets(dim: int) -> tuple[list[list[int]], list[list[int]]]:
+    """Sub-cell offsets whose every point pair is within the radius (``inside``) and those that may
+    hold some pair within it (``ring``); cells are half-open boxes of side radius / SUB."""
+    inside, ring = [], []
+    for o in itertools.product(range(-SUB, SUB + 1), repeat=dim):
+        far = sum((abs(e) + 1) ** 2 for e in o)        # (max distance / side)^2 bound
+        near = sum(max(abs(e) - 1, 0) ** 2 for e in o)  # (min distance / side)^2 bound
+        if far < SUB * SUB - 1e-6:
+            inside.append(list(o))
+        elif near < SUB * SUB + 1e-6:
+            ring.append(list(o))
+    return inside, ring
+
+
 def _neighbour_sums(df: DataFrame, radius, dim: int, x_col: str, v_col: str) -> DataFrame:
-    """Per row with neighbours: count, per-dimension sums of neighbour positions and attributes.
-    The neighbour's position and attribute ride along the radius join, so no second join is needed;
-    the grouped sums are partially aggregated before their shuffle."""
-    pairs = _radius_pairs(df, radius, dim, x_col, "id", "group_id", carry=(v_col,))
-    return pairs.groupBy("group_id", "id").agg(
-        F.count(F.lit(1)).alias("n_nb"),
-        *[F.sum(F.col("nx")[i]).alias(f"_sx{i}") for i in range(dim)],
-        *[F.sum(F.col(f"n_{v_col}")[i]).alias(f"_sv{i}") for i in range(dim)],
+    """Per row: neighbour count and per-dimension sums of neighbour positions and attributes.
+
+    Sub-cells of side radius/SUB: every pair between a cell and its ``inside`` offsets is within the
+    radius, so those contribute through per-cell aggregates (one row per non-empty cell, summed per
+    target cell) -- a dense spot never turns into pairs. Only the ``ring`` offsets are probed pair by
+    pair with the exact filter. The row itself and exact duplicates of its position (distance 0, not
+    neighbours) are subtracted with a per-position aggregate. For d > 3 the offset set grows too
+    fast and the plain radius join is used."""
+    r = radius_value(radius)
+    if dim > 3:
+        pairs = _radius_pairs(df, radius, dim, x_col, "id", "group_id", carry=(v_col,))
+        return pairs.groupBy("group_id", "id").agg(
+            F.count(F.lit(1)).alias("n_nb"),
+            *[F.sum(F.col("nx")[i]).alias(f"_sx{i}") for i in range(dim)],
+            *[F.sum(F.col(f"n_{v_col}")[i]).alias(f"_sv{i}") for i in range(dim)],
+        )
+    side = r / SUB
+    inside, ring = _sub_offsets(dim)
+    base = df.select("group_id", "id", F.col(x_col).alias("x"), F.col(v_col).alias("v"),
+                     F.transform(F.col(x_col), lambda t: F.floor(t / F.lit(side))).alias("cell"))
+    sums = [F.sum(F.col("x")[i]).alias(f"sx{i}") for i in range(dim)] + \
+           [F.sum(F.col("v")[i]).alias(f"sv{i}") for i in range(dim)]
+    cols = [f"sx{i}" for i in range(dim)] + [f"sv{i}" for i in range(dim)]
+    cagg = base.groupBy("group_id", "cell").agg(F.count(F.lit(1)).alias("n"), *sums)
+    off_in = F.array(*[F.array(*[F.lit(e).cast("bigint") for e in o]) for o in inside])
+    ins = cagg.select("group_id", "n", *cols, F.explode(
+        F.transform(off_in, lambda o: F.zip_with(F.col("cell"), o, lambda c, e: c + e))).alias("cell"))
+    ins = ins.groupBy("group_id", "cell").agg(F.sum("n").alias("i_n"), *[F.sum(c).alias(f"i_{c}") for c in cols])
+    dup = base.groupBy("group_id", "x").agg(F.count(F.lit(1)).alias("d_n"),
+                                             *[F.sum(F.col("v")[i]).alias(f"d_sv{i}") for i in range(dim)])
+    off_ring = F.array(*[F.array(*[F.lit(e).cast("bigint") for e in o]) for o in ring])
+    probes = base.select("group_id", "id", "x", F.explode(
+        F.transform(off_ring, lambda o: F.zip_with(F.col("cell"), o, lambda c, e: c + e))).alias("cell"))
+    targets = base.select("group_id", "cell", F.col("x").alias("nx"), F.col("v").alias("nv"))
+    bp = probes.join(targets, ["group_id", "cell"]).select("group_id", "id", "nx", "nv", dist_n("x", "nx", dim).alias("dd"))
+    bp = bp.where((F.col("dd") > MIN_DIST) & (F.col("dd") < r)).groupBy("group_id", "id").agg(
+        F.count(F.lit(1)).alias("b_n"), *[F.sum(F.col("nx")[i]).alias(f"b_sx{i}") for i in range(dim)],
+        *[F.sum(F.col("nv")[i]).alias(f"b_sv{i}") for i in range(dim)])
+    j = (base.join(ins, ["group_id", "cell"], "left").join(dup, ["group_id", "x"], "left")
+         .join(bp, ["group_id", "id"], "left"))
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    n = z("i_n") - z("d_n") + z("b_n")
+    return j.select(
+        "group_id", "id", n.alias("n_nb"),
+        *[(z(f"i_sx{i}") - z("d_n") * F.col("x")[i] + z(f"b_sx{i}")).alias(f"_sx{i}") for i in range(dim)],
+        *[(z(f"i_sv{i}") - z(f"d_sv{i}") + z(f"b_sv{i}")).alias(f"_sv{i}") for i in range(dim)],
     )
 
 
@@ -142,7 +197,8 @@ def worst_term(df: DataFrame, radius, **kw) -> DataFrame:
     return _extreme_term(df, radius, "worst", **kw)
 
 
-def isolated_points(df: DataFrame, radius, dim: int | None = None, x_col: str = "x") -> DataFrame:
-    """Rows without any neighbour (left anti join against G1)."""
-    pairs = radius_neighbours(df, radius, dim, x_col).select("group_id", "id").distinct()
-    return df.join(pairs, ["group_id", "id"], "left_anti")
+def isolated_points(df: DataFrame, radius, dim: int | None = None, x_col: str = "x", v_col: str = "v") -> DataFrame:
+    """Rows without any neighbour (neighbour count 0 from the aggregated sums; no pair list)."""
+    d = dim if dim is not None else _dim(df, x_col)
+    cnt = _neighbour_sums(df, radius, d, x_col, v_col).where(F.col("n_nb") == 0).select("group_id", "id")
+    return df.join(cnt, ["group_id", "id"], "left_semi")

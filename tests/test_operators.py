@@ -143,3 +143,34 @@ def test_levy_sigma_matches_gamma_values():
     beta = 1.5
     expected = (g35 * math.sin(math.pi * beta / 2) / (g225 * beta * 2 ** ((beta - 1) / 2))) ** (1 / beta)
     assert abs(levy_sigma(beta) - expected) < 1e-12
+
+
+def test_neighbour_terms_hot_spot_equals_brute_force(spark):
+    """A third of the rows on one exact position plus a dense cluster: the aggregated sub-cell sums
+    equal the pair-by-pair definition."""
+    p = fx.points(spark, SF_MID)
+    hot = p.select(
+        "group_id", "id",
+        F.when(F.col("id") % 3 == 0, F.array(F.lit(20.0), F.lit(2.0)))
+        .when(F.col("id") % 3 == 1, F.array(20.0 + (F.col("id") % 7) * 0.01, 2.0 + (F.col("id") % 5) * 0.013))
+        .otherwise(F.col("x")).alias("x"),
+        "v", "value").withColumn("group_id", F.lit("g"))
+    got = G.neighbour_terms(hot, 0.5, dim=2).select("id", "n_nb", "separation", "alignment", "cohesion")
+    a = hot.select("id", "x", "v")
+    b = hot.select(F.col("id").alias("nn_id"), F.col("x").alias("y"), F.col("v").alias("w"))
+    d = F.sqrt((F.col("x")[0] - F.col("y")[0]) ** 2 + (F.col("x")[1] - F.col("y")[1]) ** 2)
+    pairs = a.crossJoin(b).where((d > 1e-9) & (d < 0.5))
+    agg = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y")[0]).alias("sx0"),
+                                  F.sum(F.col("y")[1]).alias("sx1"), F.sum(F.col("w")[0]).alias("sv0"),
+                                  F.sum(F.col("w")[1]).alias("sv1"))
+    want = {r["id"]: r for r in agg.collect()}
+    rows = got.collect()
+    assert len(rows) == hot.count()
+    for r in rows:
+        w = want.get(r["id"])
+        if w is None:
+            assert r["n_nb"] == 0 and r["separation"] == [0.0, 0.0]
+            continue
+        assert r["n_nb"] == w["n"]
+        assert abs(r["alignment"][0] - w["sv0"] / w["n"]) < 1e-9
+        assert abs(r["alignment"][1] - w["sv1"] / w["n"]) < 1e-9
