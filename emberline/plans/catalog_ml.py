@@ -26,7 +26,10 @@ TREES = 20
 
 
 def _split(spark, sf):
-    return P.train_test(fx.readings(spark, sf), READING_KEY, TRAIN_FRACTION)
+    """Readings written once to the checkpoint folder (scaler and forest passes re-read them instead
+    of re-aggregating lineitem), then the hash split."""
+    r = fx.readings(spark, sf).checkpoint(eager=True)
+    return P.train_test(r, READING_KEY, TRAIN_FRACTION)
 
 
 def _fit(train):

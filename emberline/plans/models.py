@@ -97,13 +97,19 @@ def _fold_fit(folded: DataFrame, fold: int, input_cols: Sequence[str], num_trees
     return fold, float(m), scal, model
 
 
-def smote_frame(scaled: DataFrame, key: str, k: int = 5, perc_over: int = 140) -> DataFrame:
-    """SMOTE on the scaled ``features`` vector (arrays inside, vectors outside)."""
+def smote_frame(scaled: DataFrame, key: str, k: int = 5, perc_over: int = 140,
+                materialize: bool = True) -> DataFrame:
+    """SMOTE on the scaled ``features`` vector (arrays inside, vectors outside).
+
+    The forest reads its input several times (metadata, split candidates, bagging); with
+    ``materialize`` the oversampled rows are written once to the checkpoint folder instead of the
+    kNN plan being re-run by every pass."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     arr = scaled.select(F.col(key), vector_to_array("features").alias("fx"), F.col("label"))
     out = smote(arr, key, "fx", "label", k=k, perc_over=perc_over)
-    return out.select("src_id", "copy", array_to_vector("fx").alias("features"), "label")
+    out = out.select("src_id", "copy", array_to_vector("fx").alias("features"), "label")
+    return out.checkpoint(eager=True) if materialize else out
 
 
 def cv_manual(train: DataFrame, input_cols: Sequence[str], key: str, num_trees: int = DEFAULT_TREES,
