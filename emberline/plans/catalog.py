@@ -193,8 +193,9 @@ def _scaled_sql(where: str) -> str:
 
 @register("standardize", _scaled_sql(f"WHERE {_H_SPLIT} < {TRAIN_FRACTION}"))
 def q_standardize(spark, sf):
-    """Scaler fitted on the training split, applied to every row."""
-    r = fx.readings(spark, sf)
+    """Scaler fitted on the training split, applied to every row (the readings are read by the
+    fit pass and the transform pass, so they are materialised once)."""
+    r = fx.readings(spark, sf).checkpoint(eager=True)
     train, _ = P.train_test(r, READING_KEY, TRAIN_FRACTION)
     s = feat.standardize(r, FEATS, fit_on=train, output_col="z", as_array=True)
     return _long(s, READING_KEY, "z")
@@ -203,7 +204,8 @@ def q_standardize(spark, sf):
 @register("standardize_self", _scaled_sql(""))
 def q_standardize_self(spark, sf):
     """D3: scaler fitted on the frame it transforms (the reference's processData)."""
-    s = feat.standardize(fx.readings(spark, sf), FEATS, fit_on=None, output_col="z", as_array=True)
+    r = fx.readings(spark, sf).checkpoint(eager=True)
+    s = feat.standardize(r, FEATS, fit_on=None, output_col="z", as_array=True)
     return _long(s, READING_KEY, "z")
 
 
