@@ -157,7 +157,7 @@ _FOLDED = W(f"SELECT o_orderkey, CAST(floor({_H_FOLD} * {FOLDS}) AS INTEGER) AS
 
 @register("kfold_train_counts", f"""
 WITH f AS ({_FOLDED}), c AS (SELECT fold, count(*) AS n_valid FROM f GROUP BY fold)
-SELECT fold, (SELECT sum(n_valid) FROM c) - n_valid AS n_train, n_valid FROM c""")
+SELECT fold, CAST((SELECT sum(n_valid) FROM c) - n_valid AS BIGINT) AS n_train, n_valid FROM c""")
 def q_kfold_train_counts(spark, sf):
     """Size of every leave-one-fold-out training set."""
     return P.kfold_train_counts(P.kfold_assign(fx.readings(spark, sf), READING_KEY, FOLDS))
@@ -269,9 +269,9 @@ def q_smote(spark, sf):
 
 
 @register("smote_counts", W(f"""
-SELECT label, count(*) + CASE WHEN label = (SELECT label FROM ml) THEN
+SELECT label, CAST(count(*) + CASE WHEN label = (SELECT label FROM ml) THEN
   (SELECT sum({_WHOLE} + CAST({sql_hash01('smote_extra', 'o_orderkey')} < {_FRAC / 100.0} AS INTEGER))
-   FROM r WHERE label = (SELECT label FROM ml)) ELSE 0 END AS n
+   FROM r WHERE label = (SELECT label FROM ml)) ELSE 0 END AS BIGINT) AS n
 FROM r GROUP BY label""", r=fx.READINGS_SQL,
     ml="SELECT label FROM r GROUP BY label ORDER BY count(*), label LIMIT 1"))
 def q_smote_counts(spark, sf):
