@@ -192,3 +192,13 @@ def test_partition_invariance(spark):
     rows8 = {(r["src_id"], r["copy"]): r["x"] for r in s8.collect()}
     assert rows1.keys() == rows8.keys()
     assert all(max(abs(p - q) for p, q in zip(rows1[k], rows8[k])) < 1e-12 for k in rows1)
+
+
+@pytest.mark.parametrize("n_rows", [1, 2, 4, 6])
+def test_knn_small_classes(spark, n_rows):
+    """Fewer rows than k + 1: every row gets all the others, ranked by (distance, id)."""
+    pts = fx.vectors(spark, SF_MID).orderBy("vec_id").limit(n_rows).select(F.col("vec_id").alias("id"), "x")
+    got = O.knn(pts, "id", "x", 5).select("id", "rank", "nn_id")
+    want = _brute_knn(pts, 5)
+    assert got.count() == want.count() == n_rows * min(5, n_rows - 1)
+    assert got.exceptAll(want).count() == 0
