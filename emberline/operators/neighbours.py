@@ -26,9 +26,14 @@ MIN_DIST = 1e-9
 
 
 def radius_value(radius) -> float:
+    """Scalar radius (a vector radius counts through its norm); must be positive."""
     if isinstance(radius, (list, tuple)):
-        return math.sqrt(sum(float(r) * float(r) for r in radius))
-    return float(radius)
+        r = math.sqrt(sum(float(t) * float(t) for t in radius))
+    else:
+        r = float(radius)
+    if not r > 0:
+        raise ValueError(f"radius must be positive, got {radius!r}")
+    return r
 
 
 def _dim(df: DataFrame, x_col: str) -> int:

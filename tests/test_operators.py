@@ -202,3 +202,10 @@ def test_knn_small_classes(spark, n_rows):
     want = _brute_knn(pts, 5)
     assert got.count() == want.count() == n_rows * min(5, n_rows - 1)
     assert got.exceptAll(want).count() == 0
+
+
+def test_radius_must_be_positive(spark):
+    p = fx.points(spark, SF_SMALL)
+    with pytest.raises(ValueError):
+        G.radius_neighbours(p, 0.0, dim=2)
+    assert G.radius_value([3.0, 4.0]) == 5.0
