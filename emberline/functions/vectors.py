@@ -94,3 +94,4 @@ def array_dim(df, col: str) -> int:
     """Dimension of a fixed-size array column (one row read)."""
     row = df.select(F.size(col).alias("d")).where(F.col("d") > 0).first()
     return int(row["d"]) if row else 0
+

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions.hashing import hash01, sql_hash01
-from ..functions.vectors import affine_rotate, bounds_wrap
+from ..functions.vectors import bounds_wrap
+from ..operators.vector_ops import affine_rotate_rows
 from ..operators import features as feat
 from ..operators import metrics as M
 from ..operators import neighbours as G
@@ -621,14 +622,13 @@ y AS (SELECT e.vec_id, e.j, (e.xv - mu.m) * {ROT_RATE} AS yv FROM e JOIN mu USIN
 mm AS (SELECT a.j AS i, b.j AS j, {sql_hash01('rot', 'a.j', 'b.j')} - 0.5 AS mij FROM mu a, mu b)
 SELECT vec_id, CAST(i AS INTEGER) AS pos, round(sum(mij * yv), {R}) AS value FROM y JOIN mm USING (j) GROUP BY vec_id, i""")
 def q_affine_rotate(spark, sf):
-    """V2: shift by the column means, scale, rotate by a d x d matrix (both from one-row broadcasts
-    whose size is d and d^2, independent of the row count)."""
+    """V2: shift by the column means, scale, rotate by a d x d matrix. The means (d values) and the
+    matrix (d rows, read back through the headerless matrix reader A10) are sized by the dimension,
+    not the row count, and reach the rows as one checked broadcast; rows go in Arrow batches."""
     v = fx.vectors(spark, sf)
-    e = v.select("vec_id", F.posexplode("x").alias("j", "xv"))
-    mu = e.groupBy("j").agg(F.avg("xv").alias("m"))
-    offset = mu.agg(F.sort_array(F.collect_list(F.struct("j", "m"))).alias("_s")).select(
-        F.transform("_s", lambda t: t["m"]).alias("offset"))
-    dim = G._dim(v, "x")
+    e = v.select(F.posexplode("x").alias("j", "xv"))
+    offset = [r["m"] for r in e.groupBy("j").agg(F.avg("xv").alias("m")).orderBy("j").collect()]
+    dim = len(offset)
     # the d x d matrix comes from a rule and goes through the headerless matrix CSV reader (A10)
     mm = spark.range(dim * dim).select((F.col("id") / dim).cast("bigint").alias("i"),
                                        (F.col("id") % dim).alias("j"))
@@ -637,9 +637,6 @@ def q_affine_rotate(spark, sf):
     flat = rows.orderBy("i").select(*[F.col("_r")[c]["mij"].alias(f"c{c}") for c in range(dim)])
     mpath = scratch_path(spark, "matrix")
     flat.coalesce(1).write.mode("overwrite").option("header", False).csv(mpath)  # d rows, in row order
-    m_rows = io.read_matrix(spark, mpath, dim)
-    matrix = m_rows.agg(F.sort_array(F.collect_list(F.struct("row_idx", "values"))).alias("_m")).select(
-        F.transform("_m", lambda t: t["values"]).alias("matrix"))
-    j = v.crossJoin(F.broadcast(offset)).crossJoin(F.broadcast(matrix))
-    out = j.select("vec_id", affine_rotate("x", "offset", ROT_RATE, "matrix").alias("y"))
+    matrix = [list(r["values"]) for r in io.read_matrix(spark, mpath, dim).orderBy("row_idx").collect()]
+    out = affine_rotate_rows(v, "x", offset, ROT_RATE, matrix, "y", keep=["vec_id"])
     return _long(out, "vec_id", "y")

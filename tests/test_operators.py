@@ -209,3 +209,19 @@ def test_radius_must_be_positive(spark):
     with pytest.raises(ValueError):
         G.radius_neighbours(p, 0.0, dim=2)
     assert G.radius_value([3.0, 4.0]) == 5.0
+
+
+def test_affine_rotate_forms_agree(spark):
+    from emberline.functions.vectors import affine_rotate
+    from emberline.operators.vector_ops import affine_rotate_rows
+
+    v = fx.vectors(spark, SF_SMALL)
+    d = len(v.first()["x"])
+    off = [0.01 * j for j in range(d)]
+    mat = [[((i * 7 + j * 3) % 11 - 5) / 10.0 for j in range(d)] for i in range(d)]
+    a = affine_rotate_rows(v, "x", off, 0.5, mat, "y", keep=["vec_id"])
+    b = v.select("vec_id", affine_rotate("x", F.array(*[F.lit(o) for o in off]), 0.5,
+                                         F.array(*[F.array(*[F.lit(m) for m in r]) for r in mat])).alias("z"))
+    rows = a.join(b, "vec_id").collect()
+    assert len(rows) == v.count()
+    assert all(max(abs(p - q) for p, q in zip(r["y"], r["z"])) < 1e-9 for r in rows)
