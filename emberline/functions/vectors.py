@@ -49,6 +49,25 @@ def lerp(a, b, u) -> Column:
     return F.zip_with(_c(a), _c(b), lambda x, y: x + u * (y - x))
 
 
+def lerp_n(a, b, u, d: int) -> Column:
+    """:func:`lerp` for a known dimension as element arithmetic (whole-stage codegen)."""
+    a, b = _c(a), _c(b)
+    u = F.lit(u) if isinstance(u, (int, float)) else _c(u)
+    return F.array(*[a[i] + u * (b[i] - a[i]) for i in range(d)])
+
+
+def floor_div_n(a, step: float, d: int) -> Column:
+    """Grid cell of a point: floor(a_i / step) per dimension, as element arithmetic."""
+    a = _c(a)
+    return F.array(*[F.floor(a[i] / F.lit(float(step))) for i in range(d)])
+
+
+def offsets_n(cell, offsets, d: int) -> Column:
+    """Array of the cells ``cell + o`` for each literal offset ``o`` (explode it to probe)."""
+    cell = _c(cell)
+    return F.array(*[F.array(*[cell[i] + F.lit(int(o[i])) for i in range(d)]) for o in offsets])
+
+
 def zeros_like(a) -> Column:
     return F.transform(_c(a), lambda x: F.lit(0.0))
 

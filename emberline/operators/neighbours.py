@@ -20,7 +20,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dist, dist_n, vadd, vsub, zeros_like
+from ..functions.vectors import dist, dist_n, floor_div_n, offsets_n, vadd, vsub, zeros_like
 
 MIN_DIST = 1e-9
 
@@ -46,12 +46,9 @@ def _radius_pairs(df: DataFrame, radius, dim: int | None, x_col: str, id_col: st
     r = radius_value(radius)
     d = dim if dim is not None else _dim(df, x_col)
     offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=d)]
-    cell = F.transform(F.col(x_col), lambda t: F.floor(t / F.lit(r)))
     base = df.select(F.col(group_col).alias("group_id"), F.col(id_col).alias("id"),
-                     F.col(x_col).alias("x"), cell.alias("cell"), *[F.col(c) for c in carry])
-    off = F.array(*[F.array(*[F.lit(v).cast("bigint") for v in o]) for o in offsets])
-    probes = base.select("group_id", "id", "x", F.explode(
-        F.transform(off, lambda o: F.zip_with(F.col("cell"), o, lambda c, e: c + e))).alias("cell"))
+                     F.col(x_col).alias("x"), floor_div_n(x_col, r, d).alias("cell"), *[F.col(c) for c in carry])
+    probes = base.select("group_id", "id", "x", F.explode(offsets_n("cell", offsets, d)).alias("cell"))
     targets = base.select("group_id", F.col("id").alias("nn_id"), F.col("x").alias("nx"), "cell",
                           *[F.col(c).alias(f"n_{c}") for c in carry])
     pairs = probes.join(targets, ["group_id", "cell"])
@@ -103,20 +100,16 @@ def _neighbour_sums(df: DataFrame, radius, dim: int, x_col: str, v_col: str) ->
     side = r / SUB
     inside, ring = _sub_offsets(dim)
     base = df.select("group_id", "id", F.col(x_col).alias("x"), F.col(v_col).alias("v"),
-                     F.transform(F.col(x_col), lambda t: F.floor(t / F.lit(side))).alias("cell"))
+                     floor_div_n(x_col, side, dim).alias("cell"))
     sums = [F.sum(F.col("x")[i]).alias(f"sx{i}") for i in range(dim)] + \
            [F.sum(F.col("v")[i]).alias(f"sv{i}") for i in range(dim)]
     cols = [f"sx{i}" for i in range(dim)] + [f"sv{i}" for i in range(dim)]
     cagg = base.groupBy("group_id", "cell").agg(F.count(F.lit(1)).alias("n"), *sums)
-    off_in = F.array(*[F.array(*[F.lit(e).cast("bigint") for e in o]) for o in inside])
-    ins = cagg.select("group_id", "n", *cols, F.explode(
-        F.transform(off_in, lambda o: F.zip_with(F.col("cell"), o, lambda c, e: c + e))).alias("cell"))
+    ins = cagg.select("group_id", "n", *cols, F.explode(offsets_n("cell", inside, dim)).alias("cell"))
     ins = ins.groupBy("group_id", "cell").agg(F.sum("n").alias("i_n"), *[F.sum(c).alias(f"i_{c}") for c in cols])
     dup = base.groupBy("group_id", "x").agg(F.count(F.lit(1)).alias("d_n"),
                                              *[F.sum(F.col("v")[i]).alias(f"d_sv{i}") for i in range(dim)])
-    off_ring = F.array(*[F.array(*[F.lit(e).cast("bigint") for e in o]) for o in ring])
-    probes = base.select("group_id", "id", "x", F.explode(
-        F.transform(off_ring, lambda o: F.zip_with(F.col("cell"), o, lambda c, e: c + e))).alias("cell"))
+    probes = base.select("group_id", "id", "x", F.explode(offsets_n("cell", ring, dim)).alias("cell"))
     targets = base.select("group_id", "cell", F.col("x").alias("nx"), F.col("v").alias("nv"))
     bp = probes.join(targets, ["group_id", "cell"]).select("group_id", "id", "nx", "nv", dist_n("x", "nx", dim).alias("dd"))
     bp = bp.where((F.col("dd") > MIN_DIST) & (F.col("dd") < r)).groupBy("group_id", "id").agg(
