@@ -111,6 +111,23 @@ def precision_by_label(df: DataFrame, metric_label: float = 0.0, **kw) -> DataFr
 
 # ---------------------------------------------------------------- binary curves (scores)
 
+def _bucket_desc(df: DataFrame, col: str, buckets: int) -> Column:
+    """Bucket of a value among ``buckets`` score ranges, 0 = highest scores. The range bounds are
+    approximate quantiles (at most buckets - 1 doubles, fetched once); the bucket is the number of
+    bounds above the value, a plain sum of comparisons inside generated code."""
+    if buckets <= 1:
+        return F.lit(0)
+    qs = [i / buckets for i in range(1, buckets)]
+    row = df.agg(F.percentile_approx(col, qs, 10000).alias("b")).first()
+    bounds = sorted(set(row["b"] or [])) if row else []
+    if not bounds:
+        return F.lit(0)
+    acc = F.lit(0)
+    for b in bounds:
+        acc = acc + F.when(F.lit(float(b)) > F.col(col), 1).otherwise(0)
+    return acc
+
+
 def threshold_table(df: DataFrame, score_col: str = "score", label_col: str = "label",
                     buckets: int = DEFAULT_BUCKETS, materialize: bool = True,
                     weight_col: str | None = None) -> DataFrame:
@@ -129,16 +146,7 @@ def threshold_table(df: DataFrame, score_col: str = "score", label_col: str = "l
     )
     if materialize:
         d = d.checkpoint(eager=True)
-    if buckets > 1:
-        qs = [i / buckets for i in range(1, buckets)]
-        bounds = d.agg(F.percentile_approx("threshold", qs, 10000).alias("bounds"))
-        # one-row frame: broadcasting it is bounded by construction
-        d = d.crossJoin(F.broadcast(bounds)).select(
-            "threshold", "pos", "neg",
-            F.size(F.filter("bounds", lambda b: b > F.col("threshold"))).alias("bucket"),
-        )
-    else:
-        d = d.withColumn("bucket", F.lit(0))
+    d = d.withColumn("bucket", _bucket_desc(d, "threshold", buckets))
     # per-bucket totals: at most `buckets` rows; offsets by a tiny window, then broadcast back
     bt = d.groupBy("bucket").agg(F.sum("pos").alias("b_pos"), F.sum("neg").alias("b_neg"))
     wb = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -230,10 +238,7 @@ def roc_curve(df: DataFrame, score_col: str = "score", label_col: str = "label",
 def _rank_desc(t: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Dense 1-based position of each (distinct) value of ``col`` in descending order, computed
     with the same two-level scheme as the running sums (no global single-partition window)."""
-    qs = [i / buckets for i in range(1, buckets)]
-    bounds = t.agg(F.percentile_approx(col, qs, 10000).alias("bounds"))
-    b = t.crossJoin(F.broadcast(bounds)).withColumn(
-        "_bucket", F.size(F.filter("bounds", lambda x: x > F.col(col)))).drop("bounds")
+    b = t.withColumn("_bucket", _bucket_desc(t, col, buckets))
     bt = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_bn"))
     wb = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.select("_bucket", F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_off"))
