@@ -63,9 +63,12 @@ def floor_div_n(a, step: float, d: int) -> Column:
 
 
 def offsets_n(cell, offsets, d: int) -> Column:
-    """Array of the cells ``cell + o`` for each literal offset ``o`` (explode it to probe)."""
-    cell = _c(cell)
-    return F.array(*[F.array(*[cell[i] + F.lit(int(o[i])) for i in range(d)]) for o in offsets])
+    """Array of the cells ``cell + o`` for each literal offset ``o`` (explode it to probe).
+
+    The offsets stay one constant-folded literal array shifted by a lambda: measured faster than
+    building the nested array from element arithmetic (a large generator expression)."""
+    off = F.array(*[F.array(*[F.lit(int(v)).cast("bigint") for v in o]) for o in offsets])
+    return F.transform(off, lambda o: F.zip_with(_c(cell), o, lambda c, e: c + e))
 
 
 def zeros_like(a) -> Column:
