@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 64
+SINGLE_BUCKET_ROWS = 50_000  # distinct thresholds that one window task handles without bucketing
 
 
 def _ratio(num: Column, den: Column, if_zero: float) -> Column:
@@ -118,8 +119,10 @@ def _bucket_desc(df: DataFrame, col: str, buckets: int) -> Column:
     if buckets <= 1:
         return F.lit(0)
     qs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(col, qs, 10000).alias("b")).first()
-    bounds = sorted(set(row["b"] or [])) if row else []
+    row = df.agg(F.percentile_approx(col, qs, 10000).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    if not row or row["n"] <= SINGLE_BUCKET_ROWS:  # proven small: one task holds the whole range
+        return F.lit(0)
+    bounds = sorted(set(row["b"] or []))
     if not bounds:
         return F.lit(0)
     acc = F.lit(0)

@@ -47,3 +47,21 @@ def test_hard_pr_is_three_point_trapezoid(spark):
     p1, r1, prev = tp / (tp + fp), tp / (tp + fn), (tp + fn) / (tp + fp + fn + tn)
     expected = r1 * p1 + (1 - r1) * (p1 + prev) / 2
     assert abs(M.auc_pr(df, "prediction").first()["auc_pr"] - expected) < 1e-12
+
+
+def test_bucketed_prefix_sums_equal_mllib(spark, monkeypatch):
+    """Force the multi-bucket two-level prefix sum (normally used above SINGLE_BUCKET_ROWS)."""
+    from pyspark.mllib.evaluation import BinaryClassificationMetrics
+
+    from conftest import SF_MID
+    from emberline import fixtures as fx
+
+    monkeypatch.setattr(M, "SINGLE_BUCKET_ROWS", 0)
+    s = fx.scored(spark, SF_MID)
+    ours = M.areas(s, buckets=16).first()
+    rdd = s.select(F.col("score").cast("double"), F.col("label").cast("double")).rdd.map(tuple)
+    m = BinaryClassificationMetrics(rdd)
+    assert abs(ours["auc_roc"] - m.areaUnderROC) < 1e-12
+    assert abs(ours["auc_pr"] - m.areaUnderPR) < 1e-12
+    pts = [r["point"] for r in M.pr_curve(s, buckets=16).collect()]
+    assert sorted(pts) == list(range(len(pts)))
