@@ -65,7 +65,7 @@ def ship_package(spark: SparkSession) -> None:
     the package is zipped once on the driver and added to the SparkContext, which copies it to every
     executor. Needed by the Arrow-batched operators whose task code lives in the package."""
     sc = spark.sparkContext
-    key = id(sc._jsc)
+    key = sc.applicationId
     with _SHIP_LOCK:
         if key in _SHIPPED:
             return
