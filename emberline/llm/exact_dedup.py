@@ -34,13 +34,17 @@ def sha256_of(text: Column) -> Column:
 
 @contextlib.contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """State on disk while the query starts; the session's own setting comes back afterwards."""
-    key, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set(key, PROVIDER)
+    """State on disk while the query runs, without space set apart in advance (4 MB a partition); the session's own
+    settings come back afterwards."""
+    own = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _rows(raw: DataFrame, key: str, text: str, digest: Callable[[Column], Column]) -> DataFrame:
