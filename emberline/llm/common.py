@@ -106,6 +106,24 @@ class Numbering(dict):
         return new
 
 
+class Growing:
+    """An array that grows at its end without a copy each time; index it like an array."""
+
+    def __init__(self, kind: Any, *shape: int) -> None:
+        self.array, self.size = np.zeros((1024, *shape), kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.size + len(more) > len(self.array):
+            larger = np.zeros((2 * (self.size + len(more)), *self.array.shape[1:]), self.array.dtype)
+            larger[:self.size] = self.array[:self.size]
+            self.array = larger
+        self.array[self.size:self.size + len(more)] = more
+        self.size += len(more)
+
+    def __getitem__(self, at: Any) -> Any:
+        return self.array[at]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 

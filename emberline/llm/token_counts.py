@@ -7,12 +7,16 @@ tokens on its two sides are those of the whole text. The splice must also be see
 one ends at or before the place and a token of the right one starts there, with no token across it. Where the overlap
 holds no such place, it is widened (doubled) until it does; a text without one ends up in a single chunk.
 
+White space bounds the smallest proven chunks, single words, so a chunk is encoded word by word and the encodings of
+words that a task has met are remembered; the words at a chunk's ends may be torn, which the splice repairs.
+
 Null text counts 0; an empty table gives none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +25,16 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import documents, pick, query, text_slices
+from emberline.llm.common import Growing, Numbering, documents, flat_ranges, pick, query, text_slices
 
 CHUNK = 16_384
 OVERLAP = 256
 LIMIT = 2048
 #: white space in every Unicode version and in the vocabulary's own class, never part of a token or a special string
 BLANK = regex.compile(r"[ \t\n\r]+")
+WORDS = regex.compile(r"[^ \t\n\r]+")
+SEPARATORS = regex.compile("[\x1c-\x1f]")  # white space to Python, but not to the vocabulary
+KNOWN_WORDS = 800_000
 
 
 def default_vocabulary() -> str:
@@ -45,60 +52,98 @@ def load(path: str):
     return t
 
 
-def stable_places(text: str, lo: int, hi: int) -> list[int]:
-    """Places p in [lo, hi] where text[p] starts a word and text[p - 1] is white space."""
-    return [m.end() for m in BLANK.finditer(text, lo, hi) if m.end() < len(text)]
-
-
-def splice(text: str, left: tuple[int, list], right: tuple[int, list], lo: int, hi: int) -> int | None:
-    """The first place in the overlap [lo, hi) that both encodings prove: both see a word start there, and no
-    token of either crosses it. (offset, spans) are the chunks' tokens by their places in the text."""
-    def crossed(chunk: tuple[int, list], p: int) -> bool:
-        at, spans = chunk
-        return any(a + at < p < b + at for a, b in spans)
-
-    for p in stable_places(text, lo, hi):
-        near_left = (left[0], [s for s in left[1] if s[1] + left[0] >= lo])
-        near_right = (right[0], [s for s in right[1] if s[0] + right[0] <= hi])
-        if not crossed(near_left, p) and not crossed(near_right, p):
+class Encoder:
+    """The library's encoding, word by word: ``count`` of a text's tokens, ``encode`` with places in the text."""
+
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers, self.size, self.at = Numbering(), Growing(np.int64), Growing(np.int64)
+        self.ids, self.spans = Growing(np.int32), Growing(np.int32, 2)
+
+    def learn(self) -> None:
+        if not (fresh := self.numbers.fresh()):
+            return
+        # new words are encoded together, a blank between two of them; a token belongs to the word in which it begins
+        cuts = np.flatnonzero(np.diff(np.cumsum([len(w) + 1 for w in fresh]) // CHUNK, prepend=0)).tolist()
+        groups = [fresh[a:b] for a, b in zip([0, *cuts], [*cuts, len(fresh)]) if a < b]
+        for words, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            lens = np.fromiter(map(len, words), np.int64, len(words))
+            starts = np.cumsum(lens + 1) - lens - 1
+            spans = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e)).reshape(-1, 2)
+            word = np.searchsorted(starts, spans[:, 0], side="right") - 1
+            size = np.bincount(word, minlength=len(words))
+            self.at.add(self.ids.size + np.cumsum(size) - size)
+            self.size.add(size)
+            self.ids.add(np.array(e.ids, np.int32))
+            self.spans.add(spans - starts[word][:, None])
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        if len(self.numbers) > KNOWN_WORDS:
+            self.forget()
+        numbers = [self.numbers.numbers(WORDS.findall(t) if SEPARATORS.search(t) else t.split()) for t in texts]
+        self.learn()
+        return np.array([int(self.size[x].sum()) for x in numbers], np.int64)
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and (start, end) of every token."""
+        if len(self.numbers) > KNOWN_WORDS:
+            self.forget()
+        words = WORDS.findall(text)
+        numbers = self.numbers.numbers(words)
+        self.learn()
+        size = self.size[numbers]
+        flat = flat_ranges(self.at[numbers], size)
+        starts = np.repeat(np.fromiter((m.start() for m in WORDS.finditer(text)), np.int64, len(words)), size)
+        return self.ids[flat], self.spans[flat] + starts[:, None]
+
+
+def splice(text: str, left: np.ndarray, right: np.ndarray, lo: int, hi: int) -> int | None:
+    """The first place in the overlap [lo, hi) where a word starts after white space and which both chunks' spans (by
+    their places in the text) prove: no token of either crosses it."""
+    left, right = left[left[:, 1] >= lo], right[right[:, 0] <= hi]
+    for m in BLANK.finditer(text, lo, hi):
+        p = m.end()
+        if p < len(text) and not any(((s[:, 0] < p) & (p < s[:, 1])).any() for s in (left, right)):
             return p
     return None
 
 
-def chunk_tokens(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[list[int], list[tuple[int, int]]]]:
-    """Ids and spans (in the whole text) of one stretch after another; their concatenation is the whole text's encoding."""
-    def spans(a: int, b: int) -> tuple[list[int], list[tuple[int, int]]]:
-        e = tokenizer.encode(text[a:b], add_special_tokens=False)
-        return e.ids, e.offsets
+def chunk_tokens(encoder: Encoder, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and spans (in the whole text) of one stretch after another; together they are the whole text's encoding."""
+    def spans(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, at = encoder.encode(text[a:b])
+        return ids, at + a
 
-    start, end = 0, min(len(text), chunk)
-    ids, offsets = spans(start, end)
-    done = 0  # the stretch before this place is out
+    start = done = 0  # the stretch before ``done`` is out
+    end = min(len(text), chunk)
+    ids, at = spans(start, end)
     while end < len(text):
-        wide = overlap
-        while True:
+        wide, p = overlap, None
+        while p is None:
             lo = max(done, end - wide)
             stop = min(len(text), max(end, lo + chunk))
-            new_ids, new_offsets = spans(lo, stop)
-            # the first token of the right chunk may begin inside a word: places count from the first blank on
-            p = splice(text, (start, offsets), (lo, new_offsets), lo, end)
+            new_ids, new_at = spans(lo, stop)
+            p = splice(text, at, new_at, lo, end)
             if p is not None:
                 break
-            if lo <= done:  # the overlap is all that the left chunk has: both become one longer chunk
-                wide, start, end = overlap, done, min(len(text), end + max(chunk, end - done))
-                ids, offsets = spans(start, end)
-                if end == len(text):
-                    p = None
-                    break
+            if lo > done:
+                wide *= 2
                 continue
-            wide *= 2
+            # the overlap is all that the left chunk has: both become one longer chunk
+            wide, end = overlap, min(len(text), end + max(chunk, end - done))
+            ids, at = spans(done, end)
+            if end == len(text):
+                break
         if p is None:
             break
-        cut = [i for i, (_, b) in enumerate(offsets) if b + start <= p and b + start > done or b + start <= p and done == 0]
-        yield [ids[i] for i in cut], [(offsets[i][0] + start, offsets[i][1] + start) for i in cut]
-        keep = [i for i, (a, _) in enumerate(new_offsets) if a + lo >= p]
-        ids, offsets, start, end, done = [new_ids[i] for i in keep], [new_offsets[i] for i in keep], lo, stop, p
-    yield ids, [(a + start, b + start) for a, b in offsets]
+        own = at[:, 1] <= p
+        yield ids[own], at[own]
+        keep = new_at[:, 0] >= p
+        ids, at, end, done = new_ids[keep], new_at[keep], stop, p
+    yield ids, at
 
 
 _LOADED: dict = {}
@@ -117,15 +162,14 @@ def counts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         for batch, texts in text_slices(batches, 500_000):
             if name not in _LOADED:
-                _LOADED[name] = load(SparkFiles.get(name))
-            t = _LOADED[name]
+                _LOADED[name] = Encoder(load(SparkFiles.get(name)))
+            encoder = _LOADED[name]
             n, k = np.zeros(len(texts), np.int64), np.ones(len(texts), np.int64)
             short = [i for i, x in enumerate(texts) if len(x) <= chunk]
-            for i, e in zip(short, t.encode_batch_fast([texts[i] for i in short], add_special_tokens=False)):
-                n[i] = len(e)
+            n[short] = encoder.counts([texts[i] for i in short])
             for i, x in enumerate(texts):
                 if len(x) > chunk:
-                    sizes = [len(ids) for ids, _ in chunk_tokens(t, x, chunk, overlap)]
+                    sizes = [len(ids) for ids, _ in chunk_tokens(encoder, x, chunk, overlap)]
                     n[i], k[i] = sum(sizes), len(sizes)
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n_bytes"), pa.array(n), pa.array(k)],
                                              names=["key", "n_bytes", "n_tokens", "n_chunks"])
