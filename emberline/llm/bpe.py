@@ -6,8 +6,8 @@
    form the lexicon, so it has at most 1 / ``min_share`` entries at every corpus size; these only are collected.
 2. The words are compiled into a minimal acyclic automaton over bytes: equal suffixes share states. Every edge carries a
    number, and the sum along a word's path is the word's number, which points at its token ids: the transducer's output.
-3. States, edges, outputs, the merge table and the token bytes lie in one file that Spark ships to every executor and
-   that all tasks there map into memory.
+3. States, edges, outputs, the merge table and the token bytes lie in one file in the shared folder, which all tasks map
+   into memory.
 4. Unseen words are merged exactly: all words of one length at once, always the leftmost pair of the lowest rank.
 
 The result does not depend on the lexicon. Defined results: null text is encoded as empty; strings of the vocabulary's
@@ -16,22 +16,20 @@ special tokens inside texts become their ids, as the tokenizers library does by
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
-import os
-import tempfile
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import Numbering, documents, flat_ranges, pick, query, text_slices, written
+from emberline.llm.common import Growing, Numbering, documents, flat_ranges, pick, query, text_slices, written
+from emberline.llm.elias_fano import mapped as map_file, save
+from emberline.session import scratch_path
 
 MIN_SHARE = 1e-5
 WINDOW = 1_000_000
@@ -247,7 +245,7 @@ class Merger:
         return out
 
 
-def frequent_words(docs: DataFrame, text: str, specials: list[str], min_share: float, window: int = WINDOW) -> list[tuple[str, int]]:
+def frequent_words(docs: DataFrame, text: str, min_share: float, window: int = WINDOW) -> list[tuple[str, int]]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n, windows, total = Counter(), 0, 0, 0
 
@@ -275,40 +273,26 @@ def frequent_words(docs: DataFrame, text: str, specials: list[str], min_share: f
     return [(r["word"], r["n"]) for r in counts.where(F.col("word").isNotNull() & (F.col("n") >= min_share * total)).collect()]
 
 
-def compile_lexicon(vocabulary: str, words: list[str]) -> tuple[bytes, str]:
-    """The file's bytes and its name."""
+def compile_lexicon(vocabulary: str, words: list[str]) -> dict[str, np.ndarray]:
+    """The arrays of the lexicon's file."""
     v = read_vocabulary(vocabulary)
     raw = sorted({w.encode() for w in words} - {b""})
     ids = Merger(v["single"], v["merges"]).words(raw)
-    arrays = minimal_automaton(raw) | {
+    return minimal_automaton(raw) | {
         "ids": np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32), "ids_at": np.cumsum([0, *map(len, ids)]).astype(np.int64),
         "single": v["single"], "merges": v["merges"],
         "token_bytes": np.frombuffer(b"".join(v["tokens"]), np.uint8), "token_at": np.cumsum([0, *map(len, v["tokens"])]).astype(np.int64),
+        "special": np.frombuffer(json.dumps(v["special"]).encode(), np.uint8),
     }
-    head, body, at = {"special": v["special"], "arrays": {}}, [], 0
-    for name, a in arrays.items():
-        head["arrays"][name] = [str(a.dtype), list(a.shape), at]
-        data = a.tobytes() + b"\0" * (-a.nbytes % 8)
-        body.append(data)
-        at += len(data)
-    top = json.dumps(head).encode()
-    top += b" " * (-(len(top) + 8) % 8)
-    data = len(top).to_bytes(8, "little") + top + b"".join(body)
-    return data, f"bpe-lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
 
 
 class Lexicon:
     """The mapped file."""
 
-    def __init__(self, path: str) -> None:
-        data = np.memmap(path, np.uint8, mode="r")
-        n = int.from_bytes(data[:8].tobytes(), "little")
-        head = json.loads(data[8:8 + n].tobytes())
-        self.special: dict[str, int] = head["special"]
-        for name, (kind, shape, at) in head["arrays"].items():
-            count = int(np.prod(shape))
-            a = data[8 + n + at:8 + n + at + count * np.dtype(kind).itemsize].view(kind).reshape(shape)
+    def __init__(self, arrays: dict[str, np.ndarray]) -> None:
+        for name, a in arrays.items():
             setattr(self, name, a)
+        self.special: dict[str, int] = json.loads(arrays["special"].tobytes())
         self.merger = Merger(np.asarray(self.single), np.asarray(self.merges))
 
     def places(self, words: list[bytes]) -> np.ndarray:
@@ -350,21 +334,17 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.numbers, self.flat, self.used = Numbering(), np.zeros(1 << 16, np.int32), 0
-        self.at, self.len = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.numbers, self.flat, self.at, self.len = Numbering(), Growing(np.int32), Growing(np.int64), Growing(np.int64)
 
     def learn(self) -> None:
-        new = self.numbers.fresh()
-        plain = [w.encode() for w in new if not isinstance(w, tuple)]
-        ids = iter(self.lexicon.encode(plain))
+        if not (new := self.numbers.fresh()):
+            return
+        ids = iter(self.lexicon.encode([w.encode() for w in new if not isinstance(w, tuple)]))
         found = [np.array([self.lexicon.special[w[0]]], np.int32) if isinstance(w, tuple) else next(ids) for w in new]
         lens = np.fromiter(map(len, found), np.int64, len(found))
-        more = np.concatenate([*found, np.zeros(0, np.int32)])
-        while self.used + len(more) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used:self.used + len(more)] = more
-        self.at, self.len = np.concatenate([self.at, self.used + np.cumsum(lens) - lens]), np.concatenate([self.len, lens])
-        self.used += len(more)
+        self.at.add(self.flat.size + np.cumsum(lens) - lens)
+        self.len.add(lens)
+        self.flat.add(np.concatenate(found))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.numbers) > KNOWN_WORDS:
@@ -383,30 +363,24 @@ class Encoder:
 _MAPPED: dict[str, Lexicon] = {}
 
 
-def mapped(name: str) -> Lexicon:
-    if name not in _MAPPED:
+def mapped(path: str) -> Lexicon:
+    if path not in _MAPPED:
         _MAPPED.clear()
-        _MAPPED[name] = Lexicon(SparkFiles.get(name))
-    return _MAPPED[name]
+        _MAPPED[path] = Lexicon(map_file(path))
+    return _MAPPED[path]
 
 
 def build_lexicon(docs: DataFrame, text: str = "text", vocabulary: str | None = None, min_share: float = MIN_SHARE) -> str:
-    """Counts, compiles and ships the lexicon; its name is what ``encode`` and ``decode`` take."""
-    vocabulary = vocabulary or default_vocabulary()
-    words = [w for w, _ in frequent_words(docs, text, [], min_share)]
-    data, name = compile_lexicon(vocabulary, words)
-    path = os.path.join(tempfile.mkdtemp(prefix="emberline-lexicon-"), name)  # on the driver, from where Spark ships it
-    with open(path, "wb") as f:
-        f.write(data)
-    docs.sparkSession.sparkContext.addFile(path)
-    return name
+    """Counts and compiles the lexicon into a file of the shared folder; its path is what ``encode`` and ``decode`` take."""
+    words = [w for w, _ in frequent_words(docs, text, min_share)]
+    return save(scratch_path(docs.sparkSession, "bpe-lexicon"), "lexicon", compile_lexicon(vocabulary or default_vocabulary(), words))
 
 
 def encode(df: DataFrame, lexicon: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids array<int>."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, 1_000_000):
             encoder = encoder or Encoder(mapped(lexicon))
             ids, cuts = encoder(texts)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))],
