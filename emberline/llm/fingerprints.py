@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm import icws
-from emberline.llm.common import Numbering, documents, pick, query
+from emberline.llm.common import Growing, Numbering, documents, pick, query
 
 SAMPLES = 64
 SEED = 3
@@ -38,15 +38,14 @@ class Terms:
 
     def __init__(self, limit: int = 500_000) -> None:
         self.limit = limit
-        self.numbers, self.hashes = Numbering(), np.zeros(0, np.uint64)
+        self.numbers, self.hashes = Numbering(), Growing(np.uint64)
 
     def words(self, text: str) -> np.ndarray:
         if len(self.numbers) > self.limit:
-            self.numbers, self.hashes = Numbering(), np.zeros(0, np.uint64)
+            self.numbers, self.hashes = Numbering(), Growing(np.uint64)
         at = self.numbers.numbers(text.lower().split())
         if fresh := self.numbers.fresh():
-            new = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in fresh), np.uint64, len(fresh))
-            self.hashes = np.concatenate([self.hashes, new])
+            self.hashes.add(np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), np.uint64, len(fresh)))
         return self.hashes[at]
 
     def pairs(self, text: str) -> tuple[np.ndarray, np.ndarray]:
