@@ -10,7 +10,8 @@ import uuid
 import numpy as np
 
 U64 = np.uint64
-BLOCK = 512  # bits for which the directory keeps the number of zeros before
+BLOCK = 512  # bits; the high bits fill whole blocks
+GROUP = 8192  # keys that are searched at a time, so that all arrays of a step stay in the processor's cache
 
 
 def _nth_bit() -> np.ndarray:
@@ -27,7 +28,7 @@ NTH = _nth_bit()
 
 def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     """Arrays for strictly or weakly rising ``values`` (uint64) below ``universe``: the low bits packed, the high bits as
-    one set bit a value, one zero a step, and the zeros before each block."""
+    one set bit a value, one zero a step, and the number of zeros before each word of them."""
     n = len(values)
     low_bits = max(0, (max(1, universe // max(1, n))).bit_length() - 1)
     high = (values >> U64(low_bits)).astype(np.int64)
@@ -35,7 +36,7 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     bits = np.zeros(-(-(n + top + 2) // BLOCK) * BLOCK, np.uint8)
     bits[high + np.arange(n)] = 1
     words = np.packbits(bits, bitorder="little").view(U64)
-    zeros = BLOCK - np.bitwise_count(words).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.int64)
+    zeros = np.cumsum(64 - np.bitwise_count(words).astype(np.int64))
     packed = np.zeros(n * low_bits // 64 + 2, U64)
     if low_bits:
         low = values & U64((1 << low_bits) - 1)
@@ -44,29 +45,47 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
         np.bitwise_or.at(packed, at >> 6, low << shift)
         over = (at & 63) + low_bits > 64
         np.bitwise_or.at(packed, (at[over] >> 6) + 1, low[over] >> (U64(64) - shift[over]))
-    return {"high": words, "zeros": np.concatenate([[0], np.cumsum(zeros)]).astype(np.int64), "low": packed,
+    return {"high": words, "zeros": np.concatenate([[0], zeros]).astype(np.uint32), "low": packed,
             "head": np.array([n, low_bits, top], np.int64)}
 
 
+def _in_word(words: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Place of the rest-th set bit of each word: by halves down to a byte, then by table."""
+    place = np.zeros(len(words), np.int64)
+    for half in (32, 16, 8):
+        count = np.bitwise_count(words & U64((1 << half) - 1)).astype(np.int64)
+        go = rest >= count
+        rest = rest - count * go
+        shift = go * half
+        words = words >> shift.astype(U64)
+        place += shift
+    return place + NTH[(words & U64(255)).astype(np.int64), rest]
+
+
 class EliasFano:
     def __init__(self, a: dict[str, np.ndarray]) -> None:
         self.high, self.zeros, self.low = a["high"], a["zeros"], a["low"]
         self.n, self.low_bits, self.top = (int(x) for x in a["head"])
+        self.steps = np.ascontiguousarray(self.zeros[::8]).astype(np.int64)
+        self.ones = np.arange(len(self.steps)) * BLOCK - self.steps
 
     def _select0(self, j: np.ndarray) -> np.ndarray:
         """Place of the j-th zero (from 0) of the high bits."""
-        block = np.searchsorted(self.zeros, j, side="right") - 1
-        rest = j - self.zeros[block]
-        words = ~self.high[(block * (BLOCK // 64))[:, None] + np.arange(BLOCK // 64)]
-        ends = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-        k = (ends <= rest[:, None]).sum(axis=1)
-        rows = np.arange(len(j))
-        rest = rest - np.where(k > 0, ends[rows, np.maximum(k - 1, 0)], 0)
-        octets = words[rows, k].view(np.uint8).reshape(-1, 8)
-        ends = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.int64)
-        o = (ends <= rest[:, None]).sum(axis=1)
-        rest = rest - np.where(o > 0, ends[rows, np.maximum(o - 1, 0)], 0)
-        return block * BLOCK + k * 64 + o * 8 + NTH[octets[rows, o], rest]
+        word = (np.searchsorted(self.steps, j, side="right") - 1) * 8
+        for step in (4, 2, 1):
+            to = np.minimum(word + step, len(self.zeros) - 1)
+            word = np.where(self.zeros[to] <= j, to, word)
+        word = np.minimum(word, len(self.high) - 1)
+        return word * 64 + _in_word(~self.high[word], j - self.zeros[word])
+
+    def _select1(self, i: np.ndarray) -> np.ndarray:
+        """Place of the i-th one."""
+        word = (np.searchsorted(self.ones, i, side="right") - 1) * 8
+        for step in (4, 2, 1):
+            to = np.minimum(word + step, len(self.zeros) - 1)
+            word = np.where(to * 64 - self.zeros[to].astype(np.int64) <= i, to, word)
+        word = np.minimum(word, len(self.high) - 1)
+        return word * 64 + _in_word(self.high[word], i - (word * 64 - self.zeros[word].astype(np.int64)))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -79,19 +98,31 @@ class EliasFano:
         return x & U64((1 << self.low_bits) - 1)
 
     def buckets(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last + 1 index of the values with these high bits."""
-        begin = np.where(high > 0, self._select0(np.maximum(high - 1, 0)) - np.maximum(high - 1, 0), 0)
-        return begin, self._select0(high) - high
+        """First and last + 1 index of the values with these high bits: the ones between two zeros."""
+        before = np.maximum(high - 1, 0)
+        place = np.where(high > 0, self._select0(before) + 1, 0)
+        begin = np.where(high > 0, place - high, 0)
+        word, shift = place >> 6, (place & 63).astype(U64)
+        word, after = np.minimum(word, len(self.high) - 1), np.minimum(word + 1, len(self.high) - 1)
+        run = self.high[word] >> shift | np.where(shift > 0, self.high[after] << ((U64(64) - shift) & U64(63)), U64(0))
+        size = np.bitwise_count(run ^ (run + U64(1))).astype(np.int64) - 1  # ones at the low end
+        if len(long := np.flatnonzero(size >= 63)):
+            size[long] = self._select0(high[long]) - high[long] - begin[long]
+        return begin, begin + size
 
     def successor(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first value >= key among those with the key's high bits, and whether it equals the key."""
         out, hit = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        for a in range(0, len(keys) if self.n else 0, GROUP):
+            self._successor(keys[a:a + GROUP], out[a:a + GROUP], hit[a:a + GROUP])
+        return out, hit
+
+    def _successor(self, keys: np.ndarray, out: np.ndarray, hit: np.ndarray) -> None:
         high = keys >> U64(self.low_bits)
         live = np.flatnonzero(high <= U64(self.top))
-        high = high.astype(np.int64)
-        if not self.n or not len(live):
-            return out, hit
-        lo, hi = self.buckets(high[live])
+        if not len(live):
+            return
+        lo, hi = self.buckets(high[live].astype(np.int64))
         end, want = hi.copy(), keys[live] & U64((1 << self.low_bits) - 1)
         todo = np.flatnonzero(lo < hi)
         while len(todo):
@@ -103,25 +134,37 @@ class EliasFano:
         inside = np.flatnonzero(lo < end)
         hit[live[inside]] = self._low(lo[inside]) == want[inside]
         out[live] = lo
-        return out, hit
 
     def values(self, i: np.ndarray) -> np.ndarray:
-        """The i-th values: the high bits by the i-th set bit, found through the zeros before each block."""
-        i = np.asarray(i, np.int64)
-        ones = np.arange(len(self.zeros)) * BLOCK - self.zeros
-        block = np.searchsorted(ones, i, side="right") - 1
-        rest = i - ones[block]
-        words = self.high[(block * (BLOCK // 64))[:, None] + np.arange(BLOCK // 64)]
-        ends = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-        k = (ends <= rest[:, None]).sum(axis=1)
-        rows = np.arange(len(i))
-        rest = rest - np.where(k > 0, ends[rows, np.maximum(k - 1, 0)], 0)
-        octets = words[rows, k].view(np.uint8).reshape(-1, 8)
-        ends = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.int64)
-        o = (ends <= rest[:, None]).sum(axis=1)
-        rest = rest - np.where(o > 0, ends[rows, np.maximum(o - 1, 0)], 0)
-        place = block * BLOCK + k * 64 + o * 8 + NTH[octets[rows, o], rest]
-        return (place - i).astype(U64) << U64(self.low_bits) | self._low(i)
+        """The i-th values."""
+        out = np.zeros(len(i), U64)
+        for a in range(0, len(i), GROUP):
+            at = np.asarray(i[a:a + GROUP], np.int64)
+            out[a:a + GROUP] = (self._select1(at) - at).astype(U64) << U64(self.low_bits) | self._low(at)
+        return out
+
+
+def encode_set(values: np.ndarray) -> dict[str, np.ndarray]:
+    """A rising sequence of distinct small numbers as one bit for each number, with the ones before each word."""
+    size = int(values[-1]) + 1 if len(values) else 1
+    bits = np.zeros(-(-size // 64) * 64, np.uint8)
+    bits[values.astype(np.int64)] = 1
+    words = np.packbits(bits, bitorder="little").view(U64)
+    return {"bits": words, "ones": np.concatenate([[0], np.cumsum(np.bitwise_count(words).astype(np.int64))])[:-1].astype(np.uint32)}
+
+
+class BitSet:
+    def __init__(self, a: dict[str, np.ndarray]) -> None:
+        self.bits, self.ones = a["bits"], a["ones"]
+
+    def successor(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each key among the set's numbers, and whether it is one."""
+        word = (keys >> U64(6)).astype(np.int64)
+        inside = word < len(self.bits)
+        word = np.minimum(word, len(self.bits) - 1)
+        w, bit = self.bits[word], keys & U64(63)
+        hit = inside & ((w >> bit & U64(1)) > 0)
+        return self.ones[word] + np.bitwise_count(w & ((U64(1) << bit) - U64(1))).astype(np.int64), hit
 
 
 # ---------------------------------------------------------------- files of arrays in the shared folder

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm import icws
+from emberline.llm.word_hashes import mix64
 from emberline.llm.common import Growing, Numbering, documents, pick, query
 
 SAMPLES = 64
@@ -52,7 +53,7 @@ class Terms:
         """Distinct terms and how often each comes."""
         h = self.words(text)
         if len(h) > 1:
-            h = icws.mix64(h[:-1] * _SECOND + h[1:])
+            h = mix64(h[:-1] * _SECOND + h[1:])
         h = np.sort(h)
         first = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
         return h[first], np.diff(np.append(first, len(h)))

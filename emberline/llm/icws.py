@@ -11,13 +11,9 @@ from __future__ import annotations
 
 import numpy as np
 
-U32 = np.uint32
-
+from emberline.llm.word_hashes import mix64
 
-def mix64(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+U32 = np.uint32
 
 
 def sample_keys(samples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,12 +64,27 @@ class Sampler:
             return c
         plain = u.copy()  # exp(-e)
         np.log(u, out=u)
-        f = (((b ^ (h * U32(0x85EBCA6B))) * U32(0xC2B2AE35)) >> U32(8)).astype(np.float32)
-        f = -np.log((f + np.float32(0.5)) * np.float32(2.0 ** -24))
-        r = f - u
-        one_minus_b = -u / r
-        t = np.floor(logs.astype(np.float32)[:, None] / r + (np.float32(1) - one_minus_b))
-        c *= np.where(t == 0, plain, np.exp(-r * (t + one_minus_b)))  # t = 0: bit by bit what weight 1 gives
+        np.multiply(h, U32(0x85EBCA6B), out=h)
+        np.bitwise_xor(h, b, out=h)
+        np.multiply(h, U32(0xC2B2AE35), out=h)
+        np.right_shift(h, U32(8), out=h)
+        f = h.astype(np.float32)
+        f += np.float32(0.5)
+        f *= np.float32(2.0 ** -24)
+        np.log(f, out=f)
+        f += u  # -r
+        u /= f  # 1 - b
+        t = logs.astype(np.float32)[:, None] / f
+        t += u
+        np.negative(t, out=t)
+        t += np.float32(1)
+        np.floor(t, out=t)
+        same = t == 0
+        t += u
+        t *= f
+        np.exp(t, out=t)
+        np.copyto(t, plain, where=same)  # t = 0: bit by bit what weight 1 gives
+        c *= t
         return c
 
     def smallest(self, terms: np.ndarray, logs: np.ndarray | None, cuts: np.ndarray) -> np.ndarray:

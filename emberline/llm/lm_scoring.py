@@ -9,13 +9,14 @@ over the n-grams that came at least twice; ``rest`` is what the kept n-grams lea
 sum to one. The unigram term is (c + 0.5) / (N + 0.5 (V + 1)), N tokens of V kinds, for any word.
 
 Building, one Spark job a level:
-* words are counted by their 64-bit hash; a word's number is its rank among all sorted hashes;
+* words are counted by their 64-bit hash (made for all bytes of a slice at once); a word's number is its rank among all
+  sorted hashes;
 * for level k each task turns its rows into (parent node, word) keys by searching the levels that are done, sums them up
   in windows, and Spark adds them up and drops those that came once. An n-gram can only come twice if its beginning and
   its end do, so all others are left out before the shuffle;
 * the keys are range-sorted and each range becomes one shard: Elias-Fano coded keys, counts in a byte (larger ones
-  aside) and quantised ratios; the contexts of a level likewise, with Elias-Fano coded monotone pointers to their first
-  child and quantised rests. From the third level on a word is written relative to its context: as its place among
+  aside) and quantised ratios; the contexts of a level are a set of bits over the nodes before, with Elias-Fano coded
+  monotone pointers to their first child and quantised rests. From the third level on a word is written relative to its context: as its place among
   the successors of the word before it.
 Shards are files in the shared folder; nothing of the model passes through the driver but their names and sizes, and
 every scoring task maps them. A lost executor's tasks write new files under new names.
@@ -26,30 +27,33 @@ training rows; with no training rows every probability is the unigram formula's
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import Numbering, crc_mod, documents, pick, query, text_slices, written
-from emberline.llm.elias_fano import EliasFano, encode, mapped, save
+from emberline.llm.common import crc_mod, documents, pick, query, text_slices, written
+from emberline.llm.elias_fano import BitSet, EliasFano, encode, encode_set, mapped, save
+from emberline.llm.word_hashes import mix64, word_hashes
 from emberline.session import scratch_path
 
 ORDER = 3
 LEAST = 2  # n-grams of two and more words are kept from this count on
 SHARD = 2_000_000  # entries of a shard, about
 WINDOW = 3_000_000  # keys that a task sums up at a time
-KNOWN_WORDS = 600_000
+BUCKET = 1_000_000  # tokens for each bucket in which the sums of all tasks meet
 U64 = np.uint64
-END = xxhash.xxh3_64_intdigest(b" end")  # no word holds a blank
+END = U64(0x2545F4914F6CDD1D)  # the end token
 
 
-def tokens(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def read_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of all texts, ends included, and where each text's tokens begin."""
+    h, cuts = word_hashes(texts)
+    out = np.full(len(h) + len(texts), END, U64)
+    out[np.arange(len(h)) + np.repeat(np.arange(len(texts)), np.diff(cuts))] = h
+    return out, cuts + np.arange(len(cuts))
 
 
 # ---------------------------------------------------------------- shards
@@ -74,7 +78,7 @@ class Shards:
     def __init__(self, rows: list) -> None:
         """rows: (path, first key, entries, sum) in order."""
         self.parts = [mapped(r[0]) for r in rows]
-        self.keys = [EliasFano({k[2:]: a for k, a in p.items() if k.startswith("k_")}) for p in self.parts]
+        self.keys = [(EliasFano if "k_head" in p else BitSet)({k[2:]: a for k, a in p.items() if k.startswith("k_")}) for p in self.parts]
         self.first = np.array([r[1] for r in rows], U64)
         self.base = np.cumsum([0, *(r[2] for r in rows)])
         self.sums = np.cumsum([0, *(r[3] for r in rows)])
@@ -84,7 +88,7 @@ class Shards:
         if len(self.parts) == 1:
             yield 0, np.flatnonzero(shard == 0)
             return
-        order = np.argsort(shard, kind="stable")
+        order = np.argsort(shard.astype(np.int16) if len(self.parts) < 1 << 15 else shard, kind="stable")  # 16 bits: by counting
         cuts = np.searchsorted(shard[order], np.arange(len(self.parts) + 1))
         for s in range(len(self.parts)):
             if cuts[s] < cuts[s + 1]:
@@ -95,9 +99,10 @@ class Shards:
         out = np.full(len(keys), -1, np.int64)
         if not self.parts or not len(keys):
             return out
-        for s, at in self._each(np.searchsorted(self.first, keys, side="right") - 1):
-            i, hit = self.keys[s].successor(keys[at])
-            out[at[hit]] = self.base[s] + i[hit]
+        shard = np.searchsorted(self.first, keys, side="right") - 1 if len(self.parts) > 1 else np.where(keys >= self.first[0], 0, -1)
+        for s, at in self._each(shard):
+            i, hit = self.keys[s].successor(keys[at] - self.first[s])
+            out[at] = np.where(hit, self.base[s] + i, -1)
         return out
 
     def _local(self, places: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -129,8 +134,9 @@ class Shards:
         return out
 
 
-def shards(table: DataFrame, folder: str, name: str, universe: int, rows: int, build) -> list:
-    """Range-sorts (key, ...) and lets ``build(keys, columns)`` make each range's arrays; (path, first, entries, sum)."""
+def shards(table: DataFrame, folder: str, name: str, rows: int, build, sparse: bool = True) -> list:
+    """Range-sorts (key, ...) and lets ``build(keys, columns)`` make each range's arrays; (path, first, entries, sum).
+    Keys that are not sparse are held as a set of bits."""
     fields = [f.name for f in table.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +145,7 @@ def shards(table: DataFrame, folder: str, name: str, universe: int, rows: int, b
             return
         cols = {c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in got]) for c in fields}
         keys = cols["key"].view(U64) ^ U64(1 << 63)
-        own = encode(keys - keys[0], min(universe, int(keys[-1] - keys[0]) + 1))
+        own = encode(keys - keys[0], int(keys[-1] - keys[0]) + 1) if sparse else encode_set(keys - keys[0])
         arrays, total = build(keys, cols)
         # keys are kept as they lie above the shard's first
         path = save(folder, name, {f"k_{k}": a for k, a in own.items()} | arrays | {"first": keys[:1]})
@@ -157,55 +163,39 @@ def shards(table: DataFrame, folder: str, name: str, universe: int, rows: int, b
 class Trie:
     def __init__(self, model: dict) -> None:
         self.m = model
-        self.words = Relative(model["words"])
-        self.nodes = [Relative(x) for x in model["nodes"]]
-        self.contexts = [Relative(x) for x in model["contexts"]]
-        self.forget()
-
-    def forget(self) -> None:
-        self.numbering = Numbering()
-        self.id = self.c = self.ctx = self.begin = np.zeros(0, np.int64)
-        self.rest = np.zeros(0)
-
-    def learn(self) -> None:
-        fresh = self.numbering.fresh()
-        h = np.fromiter((END if w is None else xxhash.xxh3_64_intdigest(w) for w in fresh), U64, len(fresh))
-        ids = self.words.find(h)
+        self.words = Shards(model["words"])
+        self.nodes = [Shards(x) for x in model["nodes"]]
+        self.contexts = [Shards(x) for x in model["contexts"]]
+
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the tokens (ends included; -1: unknown) of all texts and where each text's begin; looks up what
+        is known of each distinct word once."""
+        h, cuts = read_tokens(texts)
+        kinds, which = np.unique(np.append(h, END), return_inverse=True)
+        ids = self.words.find(kinds)
         c = np.zeros(len(ids), np.int64)
         known = np.flatnonzero(ids >= 0)
         c[known] = self.words.counts(ids[known])
-        ctx, begin, rest = np.full(len(ids), -1, np.int64), np.zeros(len(ids), np.int64), np.ones(len(ids))
+        begin, rest, parent = np.zeros(len(ids), np.int64), np.ones(len(ids)), np.zeros(len(ids), bool)
         if self.contexts:
-            ctx[known] = self.contexts[0].find(ids[known].astype(U64))
-            has = np.flatnonzero(ctx >= 0)
-            begin[has], rest[has] = self.contexts[0].begins(ctx[has]), self.contexts[0].numbers(ctx[has], "rest")
-        for name, new in (("id", ids), ("c", c), ("ctx", ctx), ("begin", begin), ("rest", rest)):
-            setattr(self, name, np.concatenate([getattr(self, name), new]))
-
-    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the tokens (ends included) of all texts, and where each text's begin."""
-        if len(self.numbering) > KNOWN_WORDS:
-            self.forget()
-        end = self.numbering[None]
-        parts = [self.numbering.numbers(tokens(t)) for t in texts]
-        if self.numbering.new:
-            self.learn()
-        cuts = np.cumsum([0, *(len(p) + 1 for p in parts)])
-        flat = np.full(cuts[-1], end, np.int64)
-        at = np.ones(len(flat), bool)
-        at[cuts[1:] - 1] = False
-        flat[at] = np.concatenate([*parts, np.zeros(0, np.int64)])
-        return flat, cuts
+            ctx = self.contexts[0].find(ids[known].astype(U64))
+            has = known[ctx >= 0]
+            parent[has] = True
+            begin[has], rest[has] = self.contexts[0].begins(ctx[ctx >= 0]), self.contexts[0].numbers(ctx[ctx >= 0], "rest")
+        self.id, self.c, self.begin, self.rest, self.parent, self.end = ids, c, begin, rest, parent, which[-1]
+        return which[:-1], cuts
+
+    def before(self, flat: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """The token before each token; the end token before a text's first."""
+        out = np.concatenate([[self.end], flat[:-1]])
+        out[cuts[:-1]] = self.end
+        return out
 
     def walk(self, flat: np.ndarray, cuts: np.ndarray, levels: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For each level from the second on: node of every token's n-gram (-1: none), node of its context (-1: none),
         the key under which the n-gram is or would be stored (parent, word), and which tokens have one. The context of a text's
         first token is the end token; longer contexts do not reach beyond that."""
-        end = self.numbering[None]
-        before = np.concatenate([[end], flat[:-1]])
-        first = np.zeros(len(flat), bool)
-        first[cuts[:-1]] = True
-        before[first] = end
+        before = self.before(flat, cuts)
         ids, prev = self.id[flat], self.id[before]
         parent, word = prev, ids
         able = (parent >= 0) & (word >= 0) & (self.c[flat] >= LEAST) & (self.c[before] >= LEAST)
@@ -213,13 +203,13 @@ class Trie:
             node = np.full(len(flat), -1, np.int64)
             if k < len(self.nodes):
                 bits = U64(self.m["bits"][k])
-                look = np.flatnonzero(able & ((self.ctx[before] >= 0) if k == 0 else True))
+                look = np.flatnonzero(able & self.parent[before] if k == 0 else able)
                 node[look] = self.nodes[k].find(parent[look].astype(U64) << bits | word[look].astype(U64))
             yield node, parent, word, able
             if k == 0:
                 relative = node - self.begin[before]
             parent = np.concatenate([[-1], node[:-1]])
-            parent[first] = -1
+            parent[cuts[:-1]] = -1
             word = relative
             able = (parent >= 0) & (node >= 0)
 
@@ -229,8 +219,7 @@ class Trie:
         flat, cuts = self.read(texts)
         p = (self.c[flat] + 0.5) / (m["N"] + 0.5 * (m["V"] + 1))
         base = np.log10(p)
-        before = np.concatenate([[self.numbering[None]], flat[:-1]])
-        before[cuts[:-1]] = self.numbering[None]
+        before = self.before(flat, cuts)
         for k, (node, parent, _, _) in enumerate(self.walk(flat, cuts, len(self.nodes))):
             if k == 0:
                 p = p * self.rest[before]
@@ -245,20 +234,6 @@ class Trie:
         return np.diff(cuts), total((self.c[flat] > 0).astype(np.int64)), total(base), total(np.log10(p))
 
 
-class Relative(Shards):
-    """Shards whose keys lie above their first key."""
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        out = np.full(len(keys), -1, np.int64)
-        if not self.parts or not len(keys):
-            return out
-        shard = np.searchsorted(self.first, keys, side="right") - 1
-        for s, at in self._each(shard):
-            i, hit = self.keys[s].successor(keys[at] - self.first[s])
-            out[at[hit]] = self.base[s] + i[hit]
-        return out
-
-
 _TRIES: dict[str, Trie] = {}
 
 
@@ -270,14 +245,36 @@ def loaded(shared) -> Trie:
     return _TRIES[model["name"]]
 
 
-def sums(rows: DataFrame, make, schema: str) -> DataFrame:
-    """Runs ``make(texts)`` -> keys over slices and emits (key, n) summed up by window."""
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as bytes, all lowest bytes first, then the next ones; planes of zeros at the end are left out."""
+    p = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    k = max(1, int(np.flatnonzero(p.any(axis=1)).max(initial=0)) + 1)
+    return bytes([k]) + p[:k].tobytes()
+
+
+def unplanes(b: bytes, n: int) -> tuple[np.ndarray, int]:
+    out = np.zeros((n, 8), np.uint8)
+    k = b[0]
+    out[:, :k] = np.frombuffer(b, np.uint8, n * k, 1).reshape(k, n).T
+    return out.reshape(-1).view("<u8"), 1 + n * k
+
+
+def sums(rows: DataFrame, make, buckets: int, least: int, text: str = "text") -> DataFrame:
+    """Runs ``make(texts)`` -> keys over slices and counts the keys: (key, n) for those that came ``least`` times. A task
+    sums up by window and sends each bucket's sorted keys as steps from one to the next, in as few bytes as they need;
+    a key's bucket is a hash of it, so buckets are even whatever the words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
             key, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_pydict({"key": pa.array((key ^ U64(1 << 63)).view(np.int64)), "n": pa.array(n.astype(np.int64))})
+            bucket = (mix64(key) % U64(buckets)).astype(np.int32)
+            order = np.argsort(bucket.astype(np.int16) if buckets < 1 << 15 else bucket, kind="stable")
+            key, n, bucket = key[order], n[order], bucket[order]
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            blobs = [len(k).to_bytes(8, "little") + planes(np.diff(k, prepend=U64(0))) + planes(c)
+                     for k, c in zip(np.split(key, cuts[1:]), np.split(n, cuts[1:]))] if len(key) else []
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[cuts], pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
         for _, texts in text_slices(batches):
             held.append(make(texts))
@@ -288,30 +285,22 @@ def sums(rows: DataFrame, make, schema: str) -> DataFrame:
         if held:
             yield out()
 
-    return rows.mapInArrow(run, schema)
-
-
-def word_counts(rows: DataFrame, window: int = 500_000) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, ends = Counter(), 0
-
-        def out() -> pa.RecordBatch:
-            key = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in seen), U64, len(seen))
-            return pa.RecordBatch.from_pydict({"key": pa.array(np.append(key, U64(END)) ^ U64(1 << 63)).cast(pa.uint64()).view(pa.int64()),
-                                               "n": pa.array([*seen.values(), ends], pa.int64())})
-
-        for _, texts in text_slices(batches):
-            for t in texts:
-                seen.update(tokens(t))
-            ends += len(texts)
-            if len(seen) > window:
-                yield out()
-                seen.clear()
-                ends = 0
-        if ends:
-            yield out()
+    def merge(table: pa.Table) -> pa.Table:
+        keys, counts = [], []
+        for b in table.column("blob").to_pylist():
+            n = int.from_bytes(b[:8], "little")
+            steps, end = unplanes(b[8:], n)
+            keys.append(np.cumsum(steps, dtype=U64))
+            counts.append(unplanes(b[8 + end:], n)[0].astype(np.int64))
+        key, n = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.add.reduceat(n, first)
+        key = key[first][n >= least]
+        return pa.table({"key": pa.array((key ^ U64(1 << 63)).view(np.int64)), "n": pa.array(n[n >= least])})
 
-    return rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return pick(rows, text=text).mapInArrow(run, "bucket int, blob binary").groupBy("bucket").applyInArrow(merge, "key long, n long")
 
 
 def train(rows: DataFrame, text: str = "text", order: int = ORDER) -> dict:
@@ -319,11 +308,13 @@ def train(rows: DataFrame, text: str = "text", order: int = ORDER) -> dict:
     spark = rows.sparkSession
     folder = scratch_path(spark, "lm-trie")
     rows = pick(rows, text=text)
-    words = written(word_counts(rows), "lm-word-counts")
+    about = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    buckets = max(64, int(about / 6) // BUCKET)  # by the number of words that so many bytes are, about
+    words = written(sums(rows, lambda texts: read_tokens(texts)[0], buckets, 1), "lm-word-counts")
     total = words.agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("V")).first()
     N, V = int(total["N"] or 0), int(total["V"])
     model = {"name": folder, "N": N, "V": V, "bits": [], "nodes": [], "contexts": [], "discount": []}
-    model["words"] = shards(words, folder, "words", 1 << 64, V, lambda keys, cols: (small_counts(cols["n"]), cols["n"].sum()))
+    model["words"] = shards(words, folder, "words", V, lambda keys, cols: (small_counts(cols["n"]), cols["n"].sum()))
     for k in range(order - 1 if V else 0):
         shared = spark.sparkContext.broadcast(dict(model))  # names of files only
         # the width of a word: its number, or from the third level on its place among its context's successors
@@ -338,10 +329,9 @@ def train(rows: DataFrame, text: str = "text", order: int = ORDER) -> dict:
                     return parent[able].astype(U64) << U64(bits) | word[able].astype(U64)
             raise AssertionError
 
-        counted = sums(rows, keys_of, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
         stats = F.struct(F.sum(F.when(F.col("n") == LEAST, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("n") == LEAST + 1, 1).otherwise(0)).alias("b"),
                          F.count(F.lit(1)).alias("all"))
-        kept = written(counted.where(F.col("n") >= LEAST), f"lm-level-{k}")
+        kept = written(sums(rows, keys_of, buckets, LEAST), f"lm-level-{k}")
         s = kept.agg(stats.alias("s")).first()["s"]
         n = int(s["all"])
         if not n:
@@ -367,8 +357,8 @@ def train(rows: DataFrame, text: str = "text", order: int = ORDER) -> dict:
             pointers = encode(begin.astype(U64), int(begin[-1]) + 1)
             return quantised(np.maximum(rest, 1e-6), "rest") | {f"p_{x}": a for x, a in pointers.items()}, cols["children"].sum()
 
-        nodes = shards(kept, folder, f"nodes{k}", 1 << 64, n, node_arrays)
-        contexts = shards(ctx, folder, f"contexts{k}", 1 << 64, int(about["n"]), context_arrays)
+        nodes = shards(kept, folder, f"nodes{k}", n, node_arrays)
+        contexts = shards(ctx, folder, f"contexts{k}", int(about["n"]), context_arrays, sparse=False)
         model |= {"name": f"{folder}#{k}", "bits": [*model["bits"], bits], "nodes": [*model["nodes"], nodes], "contexts": [*model["contexts"], contexts],
                   "discount": [*model["discount"], discount], "most": max(int(about["most"]), model.get("most", 0))}
     return model
