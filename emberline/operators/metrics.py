@@ -23,8 +23,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
-SINGLE_BUCKET_ROWS = 50_000  # distinct thresholds that one window task handles without bucketing
+BUCKET_ROWS = 16_384  # distinct thresholds in one bucket, about
 
 
 def _ratio(num: Column, den: Column, if_zero: float) -> Column:
@@ -112,38 +111,34 @@ def precision_by_label(df: DataFrame, metric_label: float = 0.0, **kw) -> DataFr
 
 # ---------------------------------------------------------------- binary curves (scores)
 
-def _bucket_desc(df: DataFrame, col: str, buckets: int) -> Column:
-    """Bucket of a value among ``buckets`` score ranges, 0 = highest scores. The range bounds are
-    approximate quantiles (at most buckets - 1 doubles, fetched once); the bucket is the number of
-    bounds above the value, a plain sum of comparisons inside generated code."""
-    if buckets <= 1:
-        return F.lit(0)
-    qs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(col, qs, 10000).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    if not row or row["n"] <= SINGLE_BUCKET_ROWS:  # proven small: one task holds the whole range
-        return F.lit(0)
-    bounds = sorted(set(row["b"] or []))
-    if not bounds:
-        return F.lit(0)
+def _bucket_desc(df: DataFrame, col: str, buckets: int | None) -> Column:
+    """Bucket of a value among score ranges, 0 = highest scores; as many ranges as the number of distinct
+    scores asks for (or ``buckets``). The range bounds are approximate quantiles, fetched once; the bucket
+    is the number of bounds above the value, a plain sum of comparisons inside generated code."""
+    n = buckets or -(-df.count() // BUCKET_ROWS)
+    qs = [i / n for i in range(1, n)]
+    bounds = df.agg(F.percentile_approx(col, qs, max(10_000, 20 * n)).alias("b")).first()["b"] if qs else []
     acc = F.lit(0)
-    for b in bounds:
+    for b in sorted(set(bounds or [])):
         acc = acc + F.when(F.lit(float(b)) > F.col(col), 1).otherwise(0)
     return acc
 
 
 def threshold_table(df: DataFrame, score_col: str = "score", label_col: str = "label",
-                    buckets: int = DEFAULT_BUCKETS, materialize: bool = True,
+                    buckets: int | None = None, materialize: bool = True,
                     weight_col: str | None = None) -> DataFrame:
     """One row per distinct score (= threshold), with running counts and curve coordinates.
 
-    Columns: threshold, pos, neg, tp, fp, prev_tp, prev_fp, P, N, precision, recall, fpr, f1,
-    prev_precision, prev_recall, prev_fpr.
+    Columns: threshold, point (1 = highest), n_points, pos, neg, tp, fp, prev_tp, prev_fp, P, N, precision,
+    recall, fpr, f1, prev_precision, prev_recall, prev_fpr. Rows without a score (null or NaN) or without a
+    label take no part.
 
     The per-score table feeds the bucket bounds, the bucket totals and the running sums; with
     ``materialize`` it is written once to the checkpoint folder, so the scored input is scanned once.
     """
     w = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
-    d = df.groupBy(F.col(score_col).cast("double").alias("threshold")).agg(
+    s = F.col(score_col).cast("double")
+    d = df.where(s.isNotNull() & ~F.isnan(s) & F.col(label_col).isNotNull()).groupBy(s.alias("threshold")).agg(
         F.sum(F.when(F.col(label_col) > 0.5, w).otherwise(F.lit(0).cast("long"))).alias("pos"),
         F.sum(F.when(F.col(label_col) <= 0.5, w).otherwise(F.lit(0).cast("long"))).alias("neg"),
     )
@@ -151,7 +146,7 @@ def threshold_table(df: DataFrame, score_col: str = "score", label_col: str = "l
         d = d.checkpoint(eager=True)
     d = d.withColumn("bucket", _bucket_desc(d, "threshold", buckets))
     # per-bucket totals: at most `buckets` rows; offsets by a tiny window, then broadcast back
-    bt = d.groupBy("bucket").agg(F.sum("pos").alias("b_pos"), F.sum("neg").alias("b_neg"))
+    bt = d.groupBy("bucket").agg(F.sum("pos").alias("b_pos"), F.sum("neg").alias("b_neg"), F.count(F.lit(1)).alias("b_n"))
     wb = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     tot_w = Window.partitionBy(F.lit(1))
     bt = bt.select(
@@ -160,10 +155,13 @@ def threshold_table(df: DataFrame, score_col: str = "score", label_col: str = "l
         F.coalesce(F.sum("b_neg").over(wb), F.lit(0)).alias("off_neg"),
         F.sum("b_pos").over(tot_w).alias("P"),
         F.sum("b_neg").over(tot_w).alias("N"),
+        F.coalesce(F.sum("b_n").over(wb), F.lit(0)).alias("off_n"),
+        F.sum("b_n").over(tot_w).alias("n_points"),
     )
     w = Window.partitionBy("bucket").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
     c = d.join(F.broadcast(bt), "bucket").select(
-        "threshold", "pos", "neg", "P", "N",
+        "threshold", "pos", "neg", "P", "N", "n_points",
+        (F.col("off_n") + F.count(F.lit(1)).over(w)).cast("bigint").alias("point"),
         (F.col("off_pos") + F.sum("pos").over(w)).alias("tp"),
         (F.col("off_neg") + F.sum("neg").over(w)).alias("fp"),
     )
@@ -187,7 +185,7 @@ def threshold_table(df: DataFrame, score_col: str = "score", label_col: str = "l
 
 
 def areas(df: DataFrame, score_col: str = "score", label_col: str = "label",
-          buckets: int = DEFAULT_BUCKETS, weight_col: str | None = None) -> DataFrame:
+          buckets: int | None = None, weight_col: str | None = None) -> DataFrame:
     """One row: auc_roc, auc_pr (trapezoid sums over the exact curves)."""
     return areas_of(threshold_table(df, score_col, label_col, buckets, weight_col=weight_col))
 
@@ -217,41 +215,26 @@ def by_threshold(df: DataFrame, metric: str, score_col: str = "score", label_col
 
 def pr_curve(df: DataFrame, score_col: str = "score", label_col: str = "label", **kw) -> DataFrame:
     """(point, recall, precision): point 0 is (0, first precision), then one point per threshold,
-    numbered by descending threshold."""
+    numbered by descending threshold. No rows, no points."""
     t = threshold_table(df, score_col, label_col, **kw)
-    first = t.where(F.col("prev_tp") + F.col("prev_fp") == 0).select(
-        F.lit(0).cast("bigint").alias("point"), F.lit(0.0).alias("recall"), F.col("precision"))
-    # point number = 1 + number of higher thresholds; expressed with the running counts is not
-    # possible (ties in counts), so rank distinct thresholds by a bucketed window
-    ranked = _rank_desc(t, "threshold")
-    return first.unionByName(ranked.select("point", "recall", "precision"))
+    own = F.struct("point", "recall", "precision")
+    start = F.struct(F.lit(0).cast("bigint").alias("point"), F.lit(0.0).alias("recall"), F.col("precision"))
+    return t.select(F.explode(F.when(F.col("point") == 1, F.array(start, own)).otherwise(F.array(own))).alias("p")).select("p.*")
 
 
 def roc_curve(df: DataFrame, score_col: str = "score", label_col: str = "label", **kw) -> DataFrame:
-    """(point, fpr, tpr): (0,0), one point per threshold, then (1,1)."""
+    """(point, fpr, tpr): (0,0), one point per threshold, then (1,1). No rows, no points."""
     t = threshold_table(df, score_col, label_col, **kw)
-    spark = df.sparkSession
-    ranked = _rank_desc(t, "threshold")
-    ends = spark.createDataFrame([(0, 0.0, 0.0)], "point bigint, fpr double, tpr double")
-    n_points = t.agg((F.count(F.lit(1)) + 1).alias("point"))
-    last = n_points.select("point", F.lit(1.0).alias("fpr"), F.lit(1.0).alias("tpr"))
-    return ends.unionByName(ranked.select("point", "fpr", F.col("recall").alias("tpr"))).unionByName(last)
-
-
-def _rank_desc(t: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Dense 1-based position of each (distinct) value of ``col`` in descending order, computed
-    with the same two-level scheme as the running sums (no global single-partition window)."""
-    b = t.withColumn("_bucket", _bucket_desc(t, col, buckets))
-    bt = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_bn"))
-    wb = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.select("_bucket", F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_off"))
-    w = Window.partitionBy("_bucket").orderBy(F.desc(col))
-    return b.join(F.broadcast(bt), "_bucket").withColumn(
-        "point", (F.col("_off") + F.row_number().over(w)).cast("bigint")).drop("_bucket", "_off")
+    corner = lambda point, at: F.struct(point.cast("bigint").alias("point"), F.lit(at).alias("fpr"), F.lit(at).alias("tpr"))
+    none = F.array().cast("array<struct<point:bigint,fpr:double,tpr:double>>")
+    points = F.concat(F.when(F.col("point") == 1, F.array(corner(F.lit(0), 0.0))).otherwise(none),
+                      F.array(F.struct("point", "fpr", F.col("recall").alias("tpr"))),
+                      F.when(F.col("point") == F.col("n_points"), F.array(corner(F.col("point") + 1, 1.0))).otherwise(none))
+    return t.select(F.explode(points).alias("p")).select("p.*")
 
 
 def evaluate_report(df: DataFrame, score_col: str = "score", label_col: str = "label",
-                    prediction_col: str = "prediction", buckets: int = DEFAULT_BUCKETS,
+                    prediction_col: str = "prediction", buckets: int | None = None,
                     materialize: bool = True) -> DataFrame:
     """Long table (metric, threshold, value) with everything the reference prints after a fit:
     weighted F1 (logged as "accuracy"), true accuracy, AUC-ROC / AUC-PR on the score, precision /

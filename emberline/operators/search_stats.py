@@ -45,13 +45,12 @@ def best_so_far(df: DataFrame, **kw) -> DataFrame:
 
 
 def best_worst_memory(df: DataFrame, compat_enemy_init: bool = False, **kw) -> DataFrame:
-    """H2: food = best value seen so far (an older best survives a lower new best); enemy = worst so
-    far (an older worst survives a higher new worst). ``compat_enemy_init`` seeds the enemy with the
+    """H2: food = best value seen so far (an older best survives a lower new best, a tie goes to the newer);
+    enemy = worst so far (an older worst survives a higher new worst, a tie goes to the newer). ``compat_enemy_init`` seeds the enemy with the
     first generation's *best*, as the reference does."""
     it = per_iteration(df, **kw)
     w = Window.orderBy("iter").rowsBetween(Window.unboundedPreceding, 0)
-    food = F.max(F.struct(F.col("best_value").alias("v"), (-F.col("iter")).alias("ni"),
-                          (-F.col("best_agent")).alias("na"))).over(w)
+    food = F.max(F.struct(F.col("best_value").alias("v"), F.col("iter").alias("i"), F.col("best_agent").alias("a"))).over(w)
     worst_v = F.col("worst_value")
     worst_a = F.col("worst_agent")
     if compat_enemy_init:
@@ -59,9 +58,9 @@ def best_worst_memory(df: DataFrame, compat_enemy_init: bool = False, **kw) -> D
         worst_v = F.when(first, F.col("best_value")).otherwise(worst_v)
         worst_a = F.when(first, F.col("best_agent")).otherwise(worst_a)
     it = it.withColumn("_wv", worst_v).withColumn("_wa", worst_a)
-    enemy = F.min(F.struct(F.col("_wv").alias("v"), F.col("iter").alias("i"), F.col("_wa").alias("a"))).over(w)
+    enemy = F.min(F.struct(F.col("_wv").alias("v"), (-F.col("iter")).alias("i"), F.col("_wa").alias("a"))).over(w)
     return it.select("iter", food.alias("_f"), enemy.alias("_e")).select(
-        "iter", F.col("_f.v").alias("food_value"), (-F.col("_f.na")).alias("food_agent"),
+        "iter", F.col("_f.v").alias("food_value"), F.col("_f.a").alias("food_agent"),
         F.col("_e.v").alias("enemy_value"), F.col("_e.a").alias("enemy_agent"))
 
 

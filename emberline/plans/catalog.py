@@ -337,7 +337,8 @@ def _thr_sql(score: str, x: str = "") -> str:
     """Threshold table CTEs named d{x}, tot{x}, c{x}, t{x}, tt{x}."""
     return f"""
 d{x} AS (SELECT CAST({score} AS DOUBLE) AS threshold, sum(CASE WHEN label > 0.5 THEN 1 ELSE 0 END) AS pos,
-             sum(CASE WHEN label > 0.5 THEN 0 ELSE 1 END) AS neg FROM s GROUP BY 1),
+             sum(CASE WHEN label > 0.5 THEN 0 ELSE 1 END) AS neg FROM s
+        WHERE {score} IS NOT NULL AND NOT isnan(CAST({score} AS DOUBLE)) AND label IS NOT NULL GROUP BY 1),
 tot{x} AS (SELECT sum(pos) AS P, sum(neg) AS N FROM d{x}),
 c{x} AS (SELECT threshold, pos, neg,
              sum(pos) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS tp,
@@ -484,9 +485,9 @@ def q_best_so_far(spark, sf):
 g AS (SELECT iter, max(best_value) OVER (ORDER BY iter ROWS UNBOUNDED PRECEDING) AS food_value,
   min(worst_value) OVER (ORDER BY iter ROWS UNBOUNDED PRECEDING) AS enemy_value FROM itx)
 SELECT g.iter, g.food_value,
-  (SELECT i.best_agent FROM itx i WHERE i.iter = (SELECT min(i2.iter) FROM itx i2 WHERE i2.iter <= g.iter AND i2.best_value = g.food_value)) AS food_agent,
+  (SELECT i.best_agent FROM itx i WHERE i.iter = (SELECT max(i2.iter) FROM itx i2 WHERE i2.iter <= g.iter AND i2.best_value = g.food_value)) AS food_agent,
   g.enemy_value,
-  (SELECT min(i.worst_agent) FROM itx i WHERE i.iter = (SELECT min(i2.iter) FROM itx i2 WHERE i2.iter <= g.iter AND i2.worst_value = g.enemy_value)) AS enemy_agent
+  (SELECT min(i.worst_agent) FROM itx i WHERE i.iter = (SELECT max(i2.iter) FROM itx i2 WHERE i2.iter <= g.iter AND i2.worst_value = g.enemy_value)) AS enemy_agent
 FROM g""")
 def q_best_worst_memory(spark, sf):
     """H2: food / enemy memories (running best and running worst)."""

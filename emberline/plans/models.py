@@ -231,11 +231,15 @@ def train_kfold(train: DataFrame, test: DataFrame, input_cols: Sequence[str], ke
                 num_trees: int = DEFAULT_TREES, oversample: bool = True, k: int = 5, metric_label: float = 0.0,
                 reduce: str = "max", seed: int = DEFAULT_SEED):
     """v3: manual k-fold on the *training* rows (the reference cuts them from the test rows) with
-    optional SMOTE; keeps the best fold's model (``reduce="max"``) or the first fold's model with the
-    average metric (``reduce="avg"``); scores the test rows."""
+    optional SMOTE; keeps the best fold's model (``reduce="max"``), or takes the folds for the metric only
+    and fits one model on all training rows (``reduce="avg"``); scores the test rows."""
     table, res = cv_manual(train, input_cols, key, num_trees, k=k, metric_label=metric_label,
                            oversample=oversample, seed=seed)
-    pick = max(res, key=lambda r: r[1]) if reduce == "max" else res[0]
-    _, _, scal, model = pick
+    if reduce == "max":
+        _, _, scal, model = max(res, key=lambda r: r[1])
+    else:
+        scal = scaling_model(train, input_cols)
+        rows = scal.transform(train)
+        model = forest(num_trees, seed=seed).fit(smote_frame(rows, key) if oversample else rows)
     best = PipelineModel(stages=[*scal.stages, model])
     return best, score_extract(best.transform(test)), table

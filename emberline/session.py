@@ -42,11 +42,13 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a local one only when unset."""
+    """Return the session's checkpoint folder; a local one is made only when unset and the master is local."""
     path = spark.conf.get(_CKPT_KEY, None)
     if not path:
         path = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = path.get() if path.isDefined() else None
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="emberline-ckpt-")
         spark.conf.set(_CKPT_KEY, path)

@@ -69,11 +69,14 @@ def load_model(path: str) -> PipelineModel:
 
 
 def read_matrix(spark: SparkSession, path: str, n_cols: int) -> DataFrame:
-    """A10: headerless numeric CSV -> (row_idx, values array<double>). Row order comes from the file
-    position (input file name + line offset in it), not from a driver-side read."""
+    """A10: headerless numeric CSV -> (row_idx, values array<double>), rows in the order of the file's lines.
+    A matrix is one file: lines of several files have no order of their own, so they are refused."""
     schema = T.StructType([T.StructField(f"c{i}", T.DoubleType(), True) for i in range(n_cols)])
     raw = spark.read.schema(schema).option("header", False).csv(path)
+    if len(raw.inputFiles()) > 1:
+        raise ValueError(f"{path} has more than one file; a matrix is read from one")
+    # a split's rows keep their order, and splits of one file are ordered by where they begin
     return raw.select(
-        F.monotonically_increasing_id().alias("row_idx"),
+        (F.col("_metadata.file_block_start") * 1_000_000_000 + F.monotonically_increasing_id() % (1 << 33)).alias("row_idx"),
         F.array(*[F.col(f"c{i}") for i in range(n_cols)]).alias("values"),
     )

@@ -21,16 +21,44 @@ from ..operators.prepare import score_extract
 
 
 def json_line_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json",
-                     max_files_per_trigger: int | None = None, **options) -> DataFrame:
+                     max_files_per_trigger: int | None = None, corrupt_col: str | None = None, **options) -> DataFrame:
     """A4: JSON-lines stream with a declared schema. ``fmt="socket"``/``"kafka"`` read a ``value``
-    text column that is parsed with the same schema."""
+    text column that is parsed with the same schema. With ``corrupt_col`` a line that does not parse is
+    kept there as text (its other columns are null), for ``start_split``."""
+    if corrupt_col:
+        schema = T.StructType([*schema.fields, T.StructField(corrupt_col, T.StringType(), True)])
+        options["columnNameOfCorruptRecord"] = corrupt_col
     if fmt == "json":
-        r = spark.readStream.schema(schema)
+        r = spark.readStream.schema(schema).options(**options)
         if max_files_per_trigger:
             r = r.option("maxFilesPerTrigger", max_files_per_trigger)
         return r.json(path)
+    parse = {k: options.pop(k) for k in ("columnNameOfCorruptRecord",) if k in options}
     raw = spark.readStream.format(fmt).options(**options).load()
-    return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("_j")).select("_j.*")
+    return raw.select(F.from_json(F.col("value").cast("string"), schema, parse).alias("_j")).select("_j.*")
+
+
+def start_split(stream: DataFrame, model: PipelineModel, input_cols: Sequence[str], keep: Sequence[str], corrupt_col: str,
+                sink_path: str, side_path: str, checkpoint: str, available_now: bool = False,
+                processing_time: str = "3 seconds") -> StreamingQuery:
+    """Scores the good lines into ``sink_path`` and writes lines that did not parse, or that lack a feature, to
+    ``side_path``: a broken line never stops the stream. One folder per epoch, overwritten on replay, so a
+    restart on the same checkpoint neither loses nor repeats rows."""
+    def per_batch(batch: DataFrame, epoch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            whole = F.col(corrupt_col).isNull()
+            for c in input_cols:
+                whole = whole & F.col(c).isNotNull()
+            good = score_stream(batch.where(whole).drop(corrupt_col), model, keep)
+            good.write.mode("overwrite").parquet(f"{sink_path}/epoch={epoch_id}")
+            batch.where(~whole).write.mode("overwrite").parquet(f"{side_path}/epoch={epoch_id}")
+        finally:
+            batch.unpersist()
+
+    w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
+    return w.start()
 
 
 def score_stream(stream: DataFrame, model: PipelineModel, keep: Sequence[str], alerts_only: bool = False) -> DataFrame:
@@ -57,12 +85,16 @@ def rescale_batches(stream: DataFrame, model: PipelineModel, input_cols: Sequenc
     forest_stage = model.stages[-1]
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        scal = scaling_model(batch, input_cols)
-        out = score_extract(forest_stage.transform(scal.transform(batch)))
-        # one folder per epoch, overwritten on replay: a re-run batch does not duplicate rows
-        out.select(*keep, "prediction", "score").write.mode("overwrite").parquet(f"{sink_path}/epoch={epoch_id}")
+        batch = batch.persist()  # read three times: guard, statistics, scoring
+        try:
+            if batch.isEmpty():
+                return
+            scal = scaling_model(batch, input_cols)
+            out = score_extract(forest_stage.transform(scal.transform(batch)))
+            # one folder per epoch, overwritten on replay: a re-run batch does not duplicate rows
+            out.select(*keep, "prediction", "score").write.mode("overwrite").parquet(f"{sink_path}/epoch={epoch_id}")
+        finally:
+            batch.unpersist()
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)

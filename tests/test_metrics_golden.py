@@ -49,14 +49,13 @@ def test_hard_pr_is_three_point_trapezoid(spark):
     assert abs(M.auc_pr(df, "prediction").first()["auc_pr"] - expected) < 1e-12
 
 
-def test_bucketed_prefix_sums_equal_mllib(spark, monkeypatch):
-    """Force the multi-bucket two-level prefix sum (normally used above SINGLE_BUCKET_ROWS)."""
+def test_bucketed_prefix_sums_equal_mllib(spark):
+    """Force the multi-bucket two-level prefix sum (which many distinct scores ask for)."""
     from pyspark.mllib.evaluation import BinaryClassificationMetrics
 
     from conftest import SF_MID
     from emberline import fixtures as fx
 
-    monkeypatch.setattr(M, "SINGLE_BUCKET_ROWS", 0)
     s = fx.scored(spark, SF_MID)
     ours = M.areas(s, buckets=16).first()
     rdd = s.select(F.col("score").cast("double"), F.col("label").cast("double")).rdd.map(tuple)
@@ -65,3 +64,14 @@ def test_bucketed_prefix_sums_equal_mllib(spark, monkeypatch):
     assert abs(ours["auc_pr"] - m.areaUnderPR) < 1e-12
     pts = [r["point"] for r in M.pr_curve(s, buckets=16).collect()]
     assert sorted(pts) == list(range(len(pts)))
+
+
+def test_curves_ignore_missing_and_do_not_depend_on_buckets(spark):
+    rows = [(i / 50 if i % 9 else None, float(i % 3 == 0) if i % 11 else None) for i in range(50)] + [(float("nan"), 1.0)]
+    s = spark.createDataFrame(rows, "score double, label double")
+    clean = spark.createDataFrame([r for r in rows if None not in r and r[0] == r[0]], "score double, label double")
+    want = M.areas(clean, buckets=1).first()
+    for buckets in (None, 1, 16, 256):
+        assert M.areas(s, buckets=buckets).first() == want
+        assert M.pr_curve(s, buckets=buckets).orderBy("point").collect() == M.pr_curve(clean).orderBy("point").collect()
+        assert M.roc_curve(s, buckets=buckets).orderBy("point").collect() == M.roc_curve(clean).orderBy("point").collect()

@@ -70,3 +70,22 @@ def test_stream_restart_exactly_once(spark):
     out = spark.read.parquet(sink)
     assert out.count() == rows.count()
     assert out.select(READING_KEY).distinct().count() == rows.count()
+
+
+def test_stream_survives_broken_lines(spark, tmp_path):
+    """Every good line is scored once and every broken one lands in the side sink, also after a restart."""
+    from emberline.schema import READING_JSON_SCHEMA
+    from emberline.session import scratch_path
+    from emberline.streaming import scoring as S
+
+    train, test = CM._split(spark, SF_SMALL)
+    model = CM._fit(train)
+    lines = [r["j"] for r in test.select(F.to_json(F.struct(READING_KEY, *READING_FEATURES, "label")).alias("j")).limit(20).collect()]
+    (tmp_path / "in").mkdir()
+    sink, side, ckpt = (scratch_path(spark, n) for n in ("good", "bad", "ck"))
+    for part, text in enumerate(["\n".join(lines[:10] + ['{"o_orderkey": 1, "n_it']), "\n".join(lines[10:] + ["not json"])]):
+        (tmp_path / "in" / f"p{part}.json").write_text(text)
+        stream = S.json_line_stream(spark, str(tmp_path / "in"), READING_JSON_SCHEMA, corrupt_col="_corrupt")
+        S.start_split(stream, model, READING_FEATURES, [READING_KEY], "_corrupt", sink, side, ckpt, available_now=True).awaitTermination()
+    assert spark.read.parquet(sink).select(READING_KEY).distinct().count() == spark.read.parquet(sink).count() == 20
+    assert {r["_corrupt"] for r in spark.read.parquet(side).collect()} == {'{"o_orderkey": 1, "n_it', "not json"}

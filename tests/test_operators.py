@@ -225,3 +225,27 @@ def test_affine_rotate_forms_agree(spark):
     rows = a.join(b, "vec_id").collect()
     assert len(rows) == v.count()
     assert all(max(abs(p - q) for p, q in zip(r["y"], r["z"])) < 1e-9 for r in rows)
+
+
+def test_memories_prefer_the_newer_on_ties(spark):
+    from emberline.operators import search_stats as H
+
+    t = spark.createDataFrame([(0, 1, 5.0), (0, 2, 1.0), (1, 3, 5.0), (1, 4, 1.0), (2, 5, 4.0), (2, 6, 2.0)], "iter int, agent long, value double")
+    last = H.best_worst_memory(t).orderBy("iter").collect()[-1]
+    assert (last["food_agent"], last["enemy_agent"]) == (3, 4)
+    seeded = H.best_worst_memory(t, compat_enemy_init=True).orderBy("iter").collect()
+    assert (seeded[0]["enemy_agent"], seeded[0]["enemy_value"]) == (1, 5.0)
+
+
+def test_matrix_is_one_file_in_line_order(spark, tmp_path):
+    from emberline.sources import files as io
+
+    one = tmp_path / "m.csv"
+    one.write_text("1,2\n3,4\n5,6\n")
+    got = io.read_matrix(spark, str(one), 2).orderBy("row_idx").collect()
+    assert [r["values"] for r in got] == [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]
+    (tmp_path / "two").mkdir()
+    for n in ("a.csv", "b.csv"):
+        (tmp_path / "two" / n).write_text("1,2\n")
+    with pytest.raises(ValueError):
+        io.read_matrix(spark, str(tmp_path / "two"), 2)
