@@ -43,7 +43,8 @@ ORDER = 3
 LEAST = 2  # n-grams of two and more words are kept from this count on
 SHARD = 2_000_000  # entries of a shard, about
 WINDOW = 3_000_000  # keys that a task sums up at a time
-BUCKET = 1_000_000  # tokens for each bucket in which the sums of all tasks meet
+BUCKET = 2_000  # rows for each bucket in which the sums of all tasks meet
+SLICE = 3_000_000  # characters that are looked up at a time
 U64 = np.uint64
 END = U64(0x2545F4914F6CDD1D)  # the end token
 
@@ -217,8 +218,8 @@ class Trie:
         """n_tokens, n_known, base score and score of each text."""
         m = self.m
         flat, cuts = self.read(texts)
-        p = (self.c[flat] + 0.5) / (m["N"] + 0.5 * (m["V"] + 1))
-        base = np.log10(p)
+        p = (self.c + 0.5) / (m["N"] + 0.5 * (m["V"] + 1))
+        p, base = p[flat], np.log10(p)[flat]
         before = self.before(flat, cuts)
         for k, (node, parent, _, _) in enumerate(self.walk(flat, cuts, len(self.nodes))):
             if k == 0:
@@ -276,7 +277,7 @@ def sums(rows: DataFrame, make, buckets: int, least: int, text: str = "text") ->
                      for k, c in zip(np.split(key, cuts[1:]), np.split(n, cuts[1:]))] if len(key) else []
             return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[cuts], pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
-        for _, texts in text_slices(batches):
+        for _, texts in text_slices(batches, SLICE):
             held.append(make(texts))
             size += len(held[-1])
             if size > WINDOW:
@@ -308,8 +309,7 @@ def train(rows: DataFrame, text: str = "text", order: int = ORDER) -> dict:
     spark = rows.sparkSession
     folder = scratch_path(spark, "lm-trie")
     rows = pick(rows, text=text)
-    about = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    buckets = max(64, int(about / 6) // BUCKET)  # by the number of words that so many bytes are, about
+    buckets = max(64, rows.count() // BUCKET)
     words = written(sums(rows, lambda texts: read_tokens(texts)[0], buckets, 1), "lm-word-counts")
     total = words.agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("V")).first()
     N, V = int(total["N"] or 0), int(total["V"])
@@ -370,7 +370,7 @@ def score(df: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -
     rows = pick(df, key=key, text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, SLICE):
             n, known, base, own = loaded(shared).score(texts)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)),
                                               pa.array(base.astype(float)), pa.array(own.astype(float))],
