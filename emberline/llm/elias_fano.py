@@ -11,7 +11,15 @@ import numpy as np
 
 U64 = np.uint64
 BLOCK = 512  # bits; the high bits fill whole blocks
-GROUP = 8192  # keys that are searched at a time, so that all arrays of a step stay in the processor's cache
+GROUP = 16384  # keys that are searched at a time, so that all arrays of a step stay in the processor's cache
+NEAR_BITS = 8
+NEAR = 1 << NEAR_BITS  # zeros from one remembered block to the next
+WHOLE = 57  # bits that eight bytes hold from any bit of the first
+
+
+def _at_bytes(words: np.ndarray) -> np.ndarray:
+    """The eight bytes from every byte on as a number: a view, so mapped words stay mapped."""
+    return np.ndarray((len(words) * 8 - 7,), "<u8", words, 0, (1,))
 
 
 def _nth_bit() -> np.ndarray:
@@ -68,10 +76,19 @@ class EliasFano:
         self.n, self.low_bits, self.top = (int(x) for x in a["head"])
         self.steps = np.ascontiguousarray(self.zeros[::8]).astype(np.int64)
         self.ones = np.arange(len(self.steps)) * BLOCK - self.steps
+        # the block of every NEAR-th zero, from which the search for a zero begins
+        self.hints = np.searchsorted(self.steps, np.arange(0, int(self.zeros[-1]) + NEAR, NEAR), side="right") - 1
+        self.after = np.append(self.steps[1:], np.iinfo(np.int64).max)
+        self.high_at, self.low_at = _at_bytes(self.high), _at_bytes(self.low)
 
     def _select0(self, j: np.ndarray) -> np.ndarray:
         """Place of the j-th zero (from 0) of the high bits."""
-        word = (np.searchsorted(self.steps, j, side="right") - 1) * 8
+        block = self.hints[j >> NEAR_BITS]
+        for _ in range(2):
+            block += self.after[block] <= j
+        if len(far := np.flatnonzero(self.after[block] <= j)):
+            block[far] = np.searchsorted(self.steps, j[far], side="right") - 1
+        word = block * 8
         for step in (4, 2, 1):
             to = np.minimum(word + step, len(self.zeros) - 1)
             word = np.where(self.zeros[to] <= j, to, word)
@@ -91,6 +108,8 @@ class EliasFano:
         if not self.low_bits:
             return np.zeros(len(i), U64)
         at = i * self.low_bits
+        if self.low_bits <= WHOLE:
+            return self.low_at[at >> 3] >> (at & 7).astype(U64) & U64((1 << self.low_bits) - 1)
         word, shift = at >> 6, (at & 63).astype(U64)
         x = self.low[word] >> shift
         more = self.low[word + 1] << ((U64(64) - shift) & U64(63))
@@ -102,11 +121,10 @@ class EliasFano:
         before = np.maximum(high - 1, 0)
         place = np.where(high > 0, self._select0(before) + 1, 0)
         begin = np.where(high > 0, place - high, 0)
-        word, shift = place >> 6, (place & 63).astype(U64)
-        word, after = np.minimum(word, len(self.high) - 1), np.minimum(word + 1, len(self.high) - 1)
-        run = self.high[word] >> shift | np.where(shift > 0, self.high[after] << ((U64(64) - shift) & U64(63)), U64(0))
+        byte = np.minimum(place >> 3, len(self.high_at) - 1)
+        run = self.high_at[byte] >> (place - (byte << 3)).astype(U64)
         size = np.bitwise_count(run ^ (run + U64(1))).astype(np.int64) - 1  # ones at the low end
-        if len(long := np.flatnonzero(size >= 63)):
+        if len(long := np.flatnonzero(size >= WHOLE - 1)):
             size[long] = self._select0(high[long]) - high[long] - begin[long]
         return begin, begin + size
 
@@ -123,16 +141,18 @@ class EliasFano:
         if not len(live):
             return
         lo, hi = self.buckets(high[live].astype(np.int64))
-        end, want = hi.copy(), keys[live] & U64((1 << self.low_bits) - 1)
         todo = np.flatnonzero(lo < hi)
+        low, end, want = lo[todo], hi[todo], keys[live[todo]] & U64((1 << self.low_bits) - 1)
         while len(todo):
-            mid = (lo[todo] + hi[todo]) >> 1
-            less = self._low(mid) < want[todo]
-            lo[todo] = np.where(less, mid + 1, lo[todo])
-            hi[todo] = np.where(less, hi[todo], mid)
-            todo = todo[lo[todo] < hi[todo]]
-        inside = np.flatnonzero(lo < end)
-        hit[live[inside]] = self._low(lo[inside]) == want[inside]
+            # every place where a search can end before its bucket's end has been a middle once
+            mid = (low + end) >> 1
+            value = self._low(mid)
+            less = value < want
+            hit[live[todo[value == want]]] = True
+            low, end = np.where(less, mid + 1, low), np.where(less, end, mid)
+            lo[todo] = low
+            more = np.flatnonzero(low < end)
+            todo, low, end, want = todo[more], low[more], end[more], want[more]
         out[live] = lo
 
     def values(self, i: np.ndarray) -> np.ndarray:

@@ -89,6 +89,9 @@ class Shards:
         if len(self.parts) == 1:
             yield 0, np.flatnonzero(shard == 0)
             return
+        if len(self.parts) <= 8:  # a pass a shard costs less than sorting
+            yield from ((s, at) for s in range(len(self.parts)) if len(at := np.flatnonzero(shard == s)))
+            return
         order = np.argsort(shard.astype(np.int16) if len(self.parts) < 1 << 15 else shard, kind="stable")  # 16 bits: by counting
         cuts = np.searchsorted(shard[order], np.arange(len(self.parts) + 1))
         for s in range(len(self.parts)):
