@@ -90,6 +90,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/emberline-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df, name: str):
+    """The rows written once to the shared scratch folder as Parquet and read back: a lost executor costs a read, and
+    what reads them keeps column pruning, pushdown and statistics."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
