@@ -5,15 +5,15 @@ n-gram model with absolute discounting:
 
     p(w | context) = max(c(context w) - D, 0) / c(context) + rest(context) * p(w | shorter context)
 
-over the n-grams that came at least twice; ``rest`` is what the kept n-grams leave, so every context's probabilities
-sum to one. The unigram term is (c + 0.5) / (N + 0.5 (V + 1)), N tokens of V kinds, for any word.
+over the n-grams that came at least ``least`` times: all of them in the query (``WHOLE``), with the discount D from how
+many came once and twice; ``rest`` is what the kept n-grams leave, so every context's probabilities sum to one. The unigram term is (c + 0.5) / (N + 0.5 (V + 1)), N tokens of V kinds, for any word.
 
 Building, one Spark job a level:
 * words are counted by their 64-bit hash (made for all bytes of a slice at once); a word's number is its rank among all
   sorted hashes;
 * for level k each task turns its rows into (parent node, word) keys by searching the levels that are done, sums them up
-  in windows, and Spark adds them up and drops those that came once. An n-gram can only come twice if its beginning and
-  its end do, so all others are left out before the shuffle;
+  in windows, and Spark adds them up. With a cutoff, an n-gram can only reach it if its beginning and its end do, so all
+  others are left out before the shuffle;
 * the keys are range-sorted and each range becomes one shard: Elias-Fano coded keys, counts in a byte (larger ones
   aside) and quantised ratios; the contexts of a level are a set of bits over the nodes before, with Elias-Fano coded
   monotone pointers to their first child and quantised rests. From the third level on a word is written relative to its context: as its place among
@@ -40,7 +40,8 @@ from emberline.llm.word_hashes import mix64, word_hashes
 from emberline.session import scratch_path
 
 ORDER = 3
-LEAST = 2  # n-grams of two and more words are kept from this count on
+WHOLE = 1  # least count that keeps every n-gram
+LEAST = 2  # n-grams of two and more words are kept from this count on where the caller names none
 SHARD = 2_000_000  # entries of a shard, about
 WINDOW = 3_000_000  # keys that a task sums up at a time
 BUCKET = 2_000  # rows for each bucket in which the sums of all tasks meet
@@ -202,7 +203,9 @@ class Trie:
         before = self.before(flat, cuts)
         ids, prev = self.id[flat], self.id[before]
         parent, word = prev, ids
-        able = (parent >= 0) & (word >= 0) & (self.c[flat] >= LEAST) & (self.c[before] >= LEAST)
+        able = (parent >= 0) & (word >= 0)
+        if self.m["least"] > WHOLE:
+            able &= (self.c[flat] >= self.m["least"]) & (self.c[before] >= self.m["least"])
         for k in range(levels):
             node = np.full(len(flat), -1, np.int64)
             if k < len(self.nodes):
@@ -307,8 +310,9 @@ def sums(rows: DataFrame, make, buckets: int, least: int, text: str = "text") ->
     return pick(rows, text=text).mapInArrow(run, "bucket int, blob binary").groupBy("bucket").applyInArrow(merge, "key long, n long")
 
 
-def train(rows: DataFrame, text: str = "text", order: int = ORDER) -> dict:
-    """The model: names and sizes of its shards (a few numbers a shard)."""
+def train(rows: DataFrame, text: str = "text", order: int = ORDER, least: int = LEAST) -> dict:
+    """The model: names and sizes of its shards (a few numbers a shard). N-grams of two and more words that came less
+    than ``least`` times are left out; ``WHOLE`` keeps all."""
     spark = rows.sparkSession
     folder = scratch_path(spark, "lm-trie")
     rows = pick(rows, text=text)
@@ -316,7 +320,7 @@ def train(rows: DataFrame, text: str = "text", order: int = ORDER) -> dict:
     words = written(sums(rows, lambda texts: read_tokens(texts)[0], buckets, 1), "lm-word-counts")
     total = words.agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("V")).first()
     N, V = int(total["N"] or 0), int(total["V"])
-    model = {"name": folder, "N": N, "V": V, "bits": [], "nodes": [], "contexts": [], "discount": []}
+    model = {"name": folder, "N": N, "V": V, "bits": [], "nodes": [], "contexts": [], "discount": [], "least": least}
     model["words"] = shards(words, folder, "words", V, lambda keys, cols: (small_counts(cols["n"]), cols["n"].sum()))
     for k in range(order - 1 if V else 0):
         shared = spark.sparkContext.broadcast(dict(model))  # names of files only
@@ -332,9 +336,9 @@ def train(rows: DataFrame, text: str = "text", order: int = ORDER) -> dict:
                     return parent[able].astype(U64) << U64(bits) | word[able].astype(U64)
             raise AssertionError
 
-        stats = F.struct(F.sum(F.when(F.col("n") == LEAST, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("n") == LEAST + 1, 1).otherwise(0)).alias("b"),
+        stats = F.struct(F.sum(F.when(F.col("n") == least, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("n") == least + 1, 1).otherwise(0)).alias("b"),
                          F.count(F.lit(1)).alias("all"))
-        kept = written(sums(rows, keys_of, buckets, LEAST), f"lm-level-{k}")
+        kept = written(sums(rows, keys_of, buckets, least), f"lm-level-{k}")
         s = kept.agg(stats.alias("s")).first()["s"]
         n = int(s["all"])
         if not n:
@@ -390,6 +394,6 @@ def held_out(col: str = "doc_id") -> Column:
 @query("op9_lm_scoring")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = train(docs.where(~held_out()))
+    model = train(docs.where(~held_out()), least=WHOLE)
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known",
                                      F.lit(model["N"]).cast("long").alias("train_tokens"), "base_score", "score")

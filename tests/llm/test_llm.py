@@ -300,6 +300,37 @@ def test_lm_scoring_against_brute_force(spark, messy, empty):
     assert all(r["n_known"] == 0 and r["score"] == r["base_score"] == 0 for r in none)
 
 
+def test_lm_scoring_keeps_what_came_once(spark):
+    t = {i: [*x.encode().lower().split(), None] for i, x in texts(spark).items()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    grams = [Counter(), Counter(), Counter()]
+    for i, x in t.items():
+        if not held(i):
+            grams[0].update((w,) for w in x)
+            grams[1].update(zip([None, *x], x))
+            grams[2].update(zip([None, *x], x, x[1:]))
+    total, kinds = sum(grams[0].values()), len(grams[0])
+    kept = [{}, {}]
+    cut = []
+    for k in (1, 2):
+        a, b = (sum(n == c for n in grams[k].values()) for c in (1, 2))
+        cut.append(min(0.95, max(0.3, a / (a + 2 * b))))
+        for g, n in grams[k].items():
+            s = kept[k - 1].setdefault(g[:-1], [0, 0])
+            s[0], s[1] = s[0] + n, s[1] + 1
+    for r in QUERIES["op9_lm_scoring"](spark, SF_SMALL).collect():
+        own, x = 0.0, t[r["doc_id"]]
+        for j, w in enumerate(x):
+            p = (grams[0][w,] + 0.5) / (total + 0.5 * (kinds + 1))
+            for k, context in ((1, ([None, *x][j],)), (2, tuple([None, *x][j - 1:j + 1]) if j else None)):
+                if context in kept[k - 1]:
+                    n, children = kept[k - 1][context]
+                    c = grams[k - 1][context]
+                    p = p * (1 - (n - cut[k - 1] * children) / c) + max(grams[k][*context, w] - cut[k - 1], 0) / c
+            own += math.log10(p)
+        assert abs(r["score"] - own) < 0.02 * len(x)  # ratios are quantised
+
+
 def test_line_dedup_messy(spark, messy, empty):
     out = line_dedup.clean(messy, "doc_id", "source", "text").collect()
     assert len(out) == len(MESSY) and all(r["n_dropped"] == 0 for r in out)
