@@ -193,6 +193,17 @@ def test_near_dedup_hot_group_and_messy(spark, messy, empty):
     assert sorted(r["doc_id"] for r in near_dedup.keep_one(messy).where("doc_id < 6").collect()) == [1, 3]
 
 
+def test_near_dedup_finds_rows_without_their_ids(spark):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (None, text(2) + " end"), (7, text(3)), (7, text(4)), (7, text(4)), (8, text(4).upper()), (9, text(2))]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in near_dedup.keep_one(docs).collect())
+    assert left == sorted([(0, text(0)), (0, text(1)), (7, text(3)), (7, text(4)), (9, text(2))])
+    got = Counter((r["doc_id"], r["class_id"], r["class_size"], r["kept"]) for r in near_dedup.classes(docs).collect())
+    assert got == Counter({(None, None, 1, True): 1, (None, None, 2, True): 1, (None, None, 2, False): 1, (None, 9, 2, False): 1, (7, 7, 1, True): 1,
+                           (7, 7, 3, True): 1, (7, 7, 3, False): 1, (8, 7, 3, False): 1, (9, 9, 2, True): 1})
+
+
 def test_tiles_equal_pairs():
     s = near_dedup.Shingles(np.zeros(0, np.uint64), np.zeros(0), 2.0)
     t = ["", "q", "a a a a a a a a a", "a a a a a a a", "b c d e f g h", "x b c d e f g h", "b c d e f g h b c d e f g h"]
