@@ -33,26 +33,34 @@ def powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def token_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every token of the bytes. A token's hash is the sum of its bytes' numbers times the powers of
-    an odd base, taken from running sums over all bytes; pieces end at white space, so a token is never cut."""
-    hashes, starts, lo = [], [], 0
+def token_spans(raw: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every token of the bytes, a run of bytes that ``gap`` does not mark. A token's hash is the
+    sum of its bytes' numbers times the powers of an odd base, taken from running sums over all bytes; pieces end at a
+    gap, so a token is never cut."""
+    hashes, starts, ends, lo = [], [], [], 0
     while lo < len(raw):
         hi = min(len(raw), lo + PIECE)
         while hi < len(raw):
-            if len(gap := np.flatnonzero(SPACE[raw[max(lo, hi - PIECE):hi]])):
-                hi = max(lo, hi - PIECE) + int(gap[-1]) + 1
+            if len(at := np.flatnonzero(gap[raw[max(lo, hi - PIECE):hi]])):
+                hi = max(lo, hi - PIECE) + int(at[-1]) + 1
                 break
             hi = min(len(raw), hi + PIECE)
         x = raw[lo:hi]
-        edge = np.diff(np.concatenate([[True], SPACE[x], [True]]).astype(np.int8))
+        edge = np.diff(np.concatenate([[True], gap[x], [True]]).astype(np.int8))
         a, b = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         up, down = powers(len(x) + 1)
         run = np.concatenate([[U64(0)], np.cumsum(BYTE[x] * up[:len(x)])])
         hashes.append(mix64((run[b] - run[a]) * down[a] + (b - a).astype(U64)))
         starts.append(a + lo)
+        ends.append(b + lo)
         lo = hi
-    return np.concatenate([np.zeros(0, U64), *hashes]), np.concatenate([np.zeros(0, np.int64), *starts])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([np.zeros(0, U64), *hashes]), np.concatenate([none, *starts]), np.concatenate([none, *ends])
+
+
+def token_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every token between white space."""
+    return token_spans(raw)[:2]
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
