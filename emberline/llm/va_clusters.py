@@ -209,6 +209,21 @@ def last_assignment(blocks: DataFrame, n: int, centroids: np.ndarray, least: np.
 
 # ---------------------------------------------------------------- the operator
 
+def first_by_hash(rows: DataFrame, n: int, salt: str, k: int) -> list:
+    """At most max(SAMPLE, k) vectors in the order of their key hashes, the k first of all n among them. Hashes above a bound that
+    some four samples are expected to keep are left out before the sort, so that it gathers few rows however many tasks there are."""
+    size, share = max(SAMPLE, k), 4 * max(SAMPLE, k) / max(n, 1)
+    mark = F.sha2(F.concat(F.lit(salt), F.col("key").cast("string")), 256)
+    while True:
+        some = rows.select(mark.alias("mark"), "vector")
+        if share < 1:
+            some = some.where(F.col("mark") < f"{int(share * 16 ** 12):012x}")
+        drawn = written(some.orderBy(F.col("mark").asc_nulls_last(), "vector").limit(size), "va-sample").orderBy(F.col("mark").asc_nulls_last(), "vector").collect()
+        if len(drawn) >= k or share >= 1:
+            return [r["vector"] for r in drawn]
+        share *= 16
+
+
 def cluster(df: DataFrame, key: str, vector: str, k: int = K, dims: int = DIMS, scale: int = SCALE, rounds: int = ROUNDS, bits: int = BITS,
             salt: str = "2:") -> tuple[DataFrame, np.ndarray]:
     """(key, cluster, distance, fetched) of every usable vector, as a written table, and the final centroids. A vector x
@@ -218,16 +233,15 @@ def cluster(df: DataFrame, key: str, vector: str, k: int = K, dims: int = DIMS,
     spark = df.sparkSession
     rows = pick(df, key=key, vector=vector).where(usable(F.col("vector"), dims))
     kind = rows.schema["key"].dataType.simpleString()
-    mark = F.sha2(F.concat(F.lit(salt), F.col("key").cast("string")), 256)
-    sample = rows.select(mark.alias("mark"), "vector").orderBy(F.col("mark").asc_nulls_last(), "vector").limit(max(SAMPLE, k)).collect()
-    if not sample:
-        return spark.createDataFrame([], f"key {kind}, cluster int, distance long, fetched boolean").withColumnRenamed("key", key), np.zeros((0, dims), np.int64)
-    drawn = integers(pa.array([r["vector"] for r in sample], pa.list_(pa.float64())), dims, scale)
-    centroids = drawn[:k]
-    inner = np.quantile(drawn, np.arange(1, 1 << bits) / (1 << bits), axis=0, method="higher").T.astype(np.int64)
     folder = scratch_path(spark, "va-file")
     blocks = write_blocks(rows, folder, dims, scale)
     n = blocks.count()
+    drawn = first_by_hash(rows, blocks.agg(F.sum("n")).first()[0] or 0, salt, k)
+    if not drawn:
+        return spark.createDataFrame([], f"key {kind}, cluster int, distance long, fetched boolean").withColumnRenamed("key", key), np.zeros((0, dims), np.int64)
+    drawn = integers(pa.array(drawn, pa.list_(pa.float64())), dims, scale)
+    centroids = drawn[:k]
+    inner = np.quantile(drawn, np.arange(1, 1 << bits) / (1 << bits), axis=0, method="higher").T.astype(np.int64)
     sides = blocks.select(F.posexplode(F.arrays_zip("lo", "hi"))).groupBy("pos").agg(F.min("col.lo").alias("lo"), F.max("col.hi").alias("hi")).orderBy("pos").collect()
     lo, hi = np.array([r["lo"] for r in sides]), np.array([r["hi"] for r in sides])
     inner = np.clip(inner, lo[:, None], hi[:, None] + 1)
