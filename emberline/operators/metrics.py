@@ -9,11 +9,11 @@ Semantics follow Spark's MulticlassMetrics / BinaryClassificationMetrics without
 * ROC runs from (0,0) to (1,1); the PR curve starts at (0, precision of the first threshold);
   areas are trapezoid sums.
 
-Scale: rows are first reduced to one row per distinct score (map-side partial aggregation). The
-running sums then use a two-level prefix sum: distinct scores are cut into ``buckets`` score ranges
-(quantiles of the score), the per-bucket totals (at most ``buckets`` rows, so a bounded broadcast)
-give each bucket its offset, and the running sum inside a bucket is a window partitioned by bucket.
-No step puts all distinct scores into one task.
+Scale: rows are first reduced to one row per distinct score (map-side partial aggregation). The running
+sums are then prefix sums over range partitions: Spark deals the scores into ranges by a sample of them, each
+row keeps the number of its range, the ranges' totals (one row a range) are summed up and joined back by that
+number, and a window inside each range does the rest. The plan has the same size for any number of ranges, and
+no step puts more than one range into a task.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 16_384  # distinct thresholds in one bucket, about
+from ..session import stored
+
+RANGE_ROWS = 500_000  # distinct thresholds in one range, about
 
 
 def _ratio(num: Column, den: Column, if_zero: float) -> Column:
@@ -111,17 +113,14 @@ def precision_by_label(df: DataFrame, metric_label: float = 0.0, **kw) -> DataFr
 
 # ---------------------------------------------------------------- binary curves (scores)
 
-def _bucket_desc(df: DataFrame, col: str, buckets: int | None) -> Column:
-    """Bucket of a value among score ranges, 0 = highest scores; as many ranges as the number of distinct
-    scores asks for (or ``buckets``). The range bounds are approximate quantiles, fetched once; the bucket
-    is the number of bounds above the value, a plain sum of comparisons inside generated code."""
-    n = buckets or -(-df.count() // BUCKET_ROWS)
-    qs = [i / n for i in range(1, n)]
-    bounds = df.agg(F.percentile_approx(col, qs, max(10_000, 20 * n)).alias("b")).first()["b"] if qs else []
-    acc = F.lit(0)
-    for b in sorted(set(bounds or [])):
-        acc = acc + F.when(F.lit(float(b)) > F.col(col), 1).otherwise(0)
-    return acc
+def _ranged(d: DataFrame, ranges: int | None) -> DataFrame:
+    """``d`` with the number of the score range each row lies in, ``part``: 0 has the highest scores. As many ranges as the
+    number of distinct scores asks for, or ``ranges``. The table is written, as another run of the sampled
+    partitioning need not cut at the same scores."""
+    n = ranges or -(-d.count() // RANGE_ROWS)
+    if n <= 1:
+        return d.withColumn("part", F.lit(0))
+    return stored(d.repartitionByRange(n, F.desc("threshold")).withColumn("part", F.spark_partition_id()), "curve-ranges")
 
 
 def threshold_table(df: DataFrame, score_col: str = "score", label_col: str = "label",
@@ -133,8 +132,8 @@ def threshold_table(df: DataFrame, score_col: str = "score", label_col: str = "l
     recall, fpr, f1, prev_precision, prev_recall, prev_fpr. Rows without a score (null or NaN) or without a
     label take no part.
 
-    The per-score table feeds the bucket bounds, the bucket totals and the running sums; with
-    ``materialize`` it is written once to the checkpoint folder, so the scored input is scanned once.
+    The per-score table is counted, sampled and dealt into ranges; with ``materialize`` it is written once to the
+    scratch folder, so the scored input is scanned once.
     """
     w = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
     s = F.col(score_col).cast("double")
@@ -143,23 +142,22 @@ def threshold_table(df: DataFrame, score_col: str = "score", label_col: str = "l
         F.sum(F.when(F.col(label_col) <= 0.5, w).otherwise(F.lit(0).cast("long"))).alias("neg"),
     )
     if materialize:
-        d = d.checkpoint(eager=True)
-    d = d.withColumn("bucket", _bucket_desc(d, "threshold", buckets))
-    # per-bucket totals: at most `buckets` rows; offsets by a tiny window, then broadcast back
-    bt = d.groupBy("bucket").agg(F.sum("pos").alias("b_pos"), F.sum("neg").alias("b_neg"), F.count(F.lit(1)).alias("b_n"))
-    wb = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    tot_w = Window.partitionBy(F.lit(1))
-    bt = bt.select(
-        "bucket",
-        F.coalesce(F.sum("b_pos").over(wb), F.lit(0)).alias("off_pos"),
-        F.coalesce(F.sum("b_neg").over(wb), F.lit(0)).alias("off_neg"),
-        F.sum("b_pos").over(tot_w).alias("P"),
-        F.sum("b_neg").over(tot_w).alias("N"),
-        F.coalesce(F.sum("b_n").over(wb), F.lit(0)).alias("off_n"),
-        F.sum("b_n").over(tot_w).alias("n_points"),
+        d = stored(d, "curve-scores")
+    d = _ranged(d, buckets)
+    # one row a range: what lies before it and in all of them
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    everywhere = Window.partitionBy(F.lit(1))
+    totals = d.groupBy("part").agg(F.sum("pos").alias("b_pos"), F.sum("neg").alias("b_neg"), F.count(F.lit(1)).alias("b_n")).select(
+        "part",
+        F.coalesce(F.sum("b_pos").over(before), F.lit(0)).alias("off_pos"),
+        F.coalesce(F.sum("b_neg").over(before), F.lit(0)).alias("off_neg"),
+        F.coalesce(F.sum("b_n").over(before), F.lit(0)).alias("off_n"),
+        F.sum("b_pos").over(everywhere).alias("P"),
+        F.sum("b_neg").over(everywhere).alias("N"),
+        F.sum("b_n").over(everywhere).alias("n_points"),
     )
-    w = Window.partitionBy("bucket").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    c = d.join(F.broadcast(bt), "bucket").select(
+    w = Window.partitionBy("part").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    c = d.join(F.broadcast(totals), "part").select(
         "threshold", "pos", "neg", "P", "N", "n_points",
         (F.col("off_n") + F.count(F.lit(1)).over(w)).cast("bigint").alias("point"),
         (F.col("off_pos") + F.sum("pos").over(w)).alias("tp"),
@@ -216,7 +214,11 @@ def by_threshold(df: DataFrame, metric: str, score_col: str = "score", label_col
 def pr_curve(df: DataFrame, score_col: str = "score", label_col: str = "label", **kw) -> DataFrame:
     """(point, recall, precision): point 0 is (0, first precision), then one point per threshold,
     numbered by descending threshold. No rows, no points."""
-    t = threshold_table(df, score_col, label_col, **kw)
+    return pr_points(threshold_table(df, score_col, label_col, **kw))
+
+
+def pr_points(t: DataFrame) -> DataFrame:
+    """The PR curve's points of a threshold table."""
     own = F.struct("point", "recall", "precision")
     start = F.struct(F.lit(0).cast("bigint").alias("point"), F.lit(0.0).alias("recall"), F.col("precision"))
     return t.select(F.explode(F.when(F.col("point") == 1, F.array(start, own)).otherwise(F.array(own))).alias("p")).select("p.*")
@@ -236,16 +238,16 @@ def roc_curve(df: DataFrame, score_col: str = "score", label_col: str = "label",
 def evaluate_report(df: DataFrame, score_col: str = "score", label_col: str = "label",
                     prediction_col: str = "prediction", buckets: int | None = None,
                     materialize: bool = True) -> DataFrame:
-    """Long table (metric, threshold, value) with everything the reference prints after a fit:
-    weighted F1 (logged as "accuracy"), true accuracy, AUC-ROC / AUC-PR on the score, precision /
-    recall / F1 by threshold and AUC-PR on the hard predictions.
+    """Long table (metric, threshold, value): weighted F1 (logged as "accuracy"), true accuracy, AUC-ROC / AUC-PR
+    on the score; on the hard predictions precision / recall / F1 by threshold, AUC-PR and the points of the PR
+    curve (``pr_recall`` and ``pr_precision``, whose ``threshold`` is the number of the point; 0 is the first).
 
     One pass over the input: rows are counted per (score, label, prediction) -- a table no larger
     than the distinct scores times four -- and every metric is derived from those counts."""
     cnt = df.groupBy(F.col(score_col).cast("double").alias("_s"), F.col(label_col).cast("double").alias("_l"),
                      F.col(prediction_col).cast("double").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     if materialize:
-        cnt = cnt.checkpoint(eager=True)
+        cnt = stored(cnt, "report-counts")
     null_t = F.lit(None).cast("double").alias("threshold")
     wf1 = weighted_f1(cnt, "_l", "_p", weight_col="_n").select(
         F.lit("weighted_f1").alias("metric"), null_t, F.col("weighted_f1").alias("value"))
@@ -257,9 +259,13 @@ def evaluate_report(df: DataFrame, score_col: str = "score", label_col: str = "l
         F.struct(F.lit("auc_pr").alias("metric"), null_t, F.col("auc_pr").alias("value")),
     )).alias("m")).select("m.*")
     hard_t = threshold_table(cnt, "_p", "_l", buckets, materialize=False, weight_col="_n")
+    points = pr_points(hard_t).select(F.explode(F.array(*[
+        F.struct(F.lit(f"pr_{m}").alias("metric"), F.col("point").cast("double").alias("threshold"), F.col(m).alias("value"))
+        for m in ("recall", "precision")
+    ])).alias("m")).select("m.*")
     hard = hard_t.select(F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col("threshold"), F.col(m).alias("value"))
         for m in ("precision", "recall", "f1")
     ])).alias("m")).select("m.*")
     hard_area = areas_of(hard_t).select(F.lit("auc_pr_hard").alias("metric"), null_t, F.col("auc_pr").alias("value"))
-    return wf1.unionByName(acc).unionByName(soft).unionByName(hard).unionByName(hard_area)
+    return wf1.unionByName(acc).unionByName(soft).unionByName(hard).unionByName(hard_area).unionByName(points)

@@ -417,7 +417,11 @@ UNION ALL SELECT 'auc_pr', NULL, round(sum({_PR}), {RM}) FROM tt1
 UNION ALL SELECT 'precision', threshold, round(precision, {RM}) FROM tt2
 UNION ALL SELECT 'recall', threshold, round(recall, {RM}) FROM tt2
 UNION ALL SELECT 'f1', threshold, round(f1, {RM}) FROM tt2
-UNION ALL SELECT 'auc_pr_hard', NULL, round(sum({_PR}), {RM}) FROM tt2""")
+UNION ALL SELECT 'auc_pr_hard', NULL, round(sum({_PR}), {RM}) FROM tt2
+UNION ALL SELECT 'pr_recall', 0e0, 0e0 FROM tt2 WHERE point = 1
+UNION ALL SELECT 'pr_precision', 0e0, round(precision, {RM}) FROM tt2 WHERE point = 1
+UNION ALL SELECT 'pr_recall', CAST(point AS DOUBLE), round(recall, {RM}) FROM tt2
+UNION ALL SELECT 'pr_precision', CAST(point AS DOUBLE), round(precision, {RM}) FROM tt2""")
 def q_evaluate_report(spark, sf):
     """the full evaluation printout as one long table."""
     rep = M.evaluate_report(fx.scored(spark, sf), "score", "label", "pred")

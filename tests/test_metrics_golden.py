@@ -75,3 +75,28 @@ def test_curves_ignore_missing_and_do_not_depend_on_buckets(spark):
         assert M.areas(s, buckets=buckets).first() == want
         assert M.pr_curve(s, buckets=buckets).orderBy("point").collect() == M.pr_curve(clean).orderBy("point").collect()
         assert M.roc_curve(s, buckets=buckets).orderBy("point").collect() == M.roc_curve(clean).orderBy("point").collect()
+
+
+def test_curves_over_thousands_of_ranges(spark):
+    """200,000 distinct scores in 5,000 ranges: the same points as in one, and a plan of the same size as with 8."""
+    s = spark.range(200_000).select((F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003.0).alias("score"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    columns = ["threshold", "point", "tp", "fp", "prev_tp", "prev_fp", "P", "N", "n_points"]
+    found, sizes = [], []
+    for ranges in (1, 2, 5000):
+        t = M.threshold_table(s, buckets=ranges)
+        sizes.append(len(t._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+        digest = F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("digest")
+        areas = M.areas_of(t)
+        found.append((t.agg(digest, F.count(F.lit(1)).alias("n")).first(), areas.first()))
+    assert sizes[1] == sizes[2] and found[0][0] == found[1][0] == found[2][0]
+    for _, b in found[1:]:
+        assert abs(found[0][1]["auc_roc"] - b["auc_roc"]) < 1e-12 and abs(found[0][1]["auc_pr"] - b["auc_pr"]) < 1e-12
+
+
+def test_report_has_the_pr_points(spark):
+    s = spark.createDataFrame([(0.9, 1, 1), (0.8, 0, 1), (0.2, 1, 0), (0.1, 0, 0), (None, 1, 1)], "score double, label int, pred int")
+    rep = {(r["metric"], r["threshold"]): r["value"] for r in M.evaluate_report(s, "score", "label", "pred").collect()}
+    pts = {r["point"]: (r["recall"], r["precision"]) for r in M.pr_curve(s, "pred").collect()}
+    assert len(pts) == 3
+    for point, (recall, precision) in pts.items():
+        assert rep["pr_recall", float(point)] == recall and rep["pr_precision", float(point)] == precision
