@@ -140,6 +140,20 @@ FROM events
 """
 
 
+def trace_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run, iter, agent, value): the history stand-in with the event type as the run."""
+    ev = read_table(spark, sf_dir, "events").select("event_type", "event_id", "ts", "value")
+    return ev.select(F.col("event_type").alias("run"), F.datediff(F.to_date("ts"), F.lit(TRACE_START).cast("date")).alias("iter"),
+                     F.col("event_id").alias("agent"), "value")
+
+
+TRACE_RUNS_SQL = f"""
+SELECT event_type AS run, CAST(date_diff('day', DATE '{TRACE_START}', CAST(ts AS DATE)) AS INTEGER) AS iter,
+       event_id AS agent, value
+FROM events
+"""
+
+
 def reading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, ts, value, props): raw JSON-carrying rows of the events table."""
     return read_table(spark, sf_dir, "events").select("event_id", "ts", "value", "props")

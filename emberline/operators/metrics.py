@@ -92,11 +92,11 @@ def accuracy(df: DataFrame, label_col: str = "label", prediction_col: str = "pre
 
 
 def by_label(df: DataFrame, metric: str, metric_label: float, label_col: str = "label",
-             prediction_col: str = "prediction", group_cols: Sequence[str] = ()) -> DataFrame:
+             prediction_col: str = "prediction", group_cols: Sequence[str] = (), weight_col: str | None = None) -> DataFrame:
     """One row (per group): precision / recall / f1 of one class. The label is explicit (the
     reference's evaluator default is 0.0, i.e. the *no alarm* class); a class never seen scores 0."""
     g = list(group_cols)
-    cs = class_stats(df, label_col, prediction_col, g)
+    cs = class_stats(df, label_col, prediction_col, g, weight_col)
     return cs.groupBy(*g).agg(
         F.lit(float(metric_label)).alias("label"),
         F.coalesce(F.max(F.when(F.col("label") == float(metric_label), F.col(metric))), F.lit(0.0)).alias(metric),
@@ -117,7 +117,8 @@ def _ranged(d: DataFrame, ranges: int | None) -> DataFrame:
     """``d`` with the number of the score range each row lies in, ``part``: 0 has the highest scores. As many ranges as the
     number of distinct scores asks for, or ``ranges``. The table is written, as another run of the sampled
     partitioning need not cut at the same scores."""
-    n = ranges or -(-d.count() // RANGE_ROWS)
+    rows = d.count()
+    n = min(ranges, rows) if ranges else -(-rows // RANGE_ROWS)
     if n <= 1:
         return d.withColumn("part", F.lit(0))
     return stored(d.repartitionByRange(n, F.desc("threshold")).withColumn("part", F.spark_partition_id()), "curve-ranges")
@@ -190,11 +191,15 @@ def areas(df: DataFrame, score_col: str = "score", label_col: str = "label",
 
 def areas_of(t: DataFrame) -> DataFrame:
     """auc_roc, auc_pr of a threshold table."""
-    return t.agg(
+    return t.agg(*area_columns())
+
+
+def area_columns() -> list[Column]:
+    """The trapezoid sums over a threshold table."""
+    return [
         F.sum((F.col("fpr") - F.col("prev_fpr")) * (F.col("recall") + F.col("prev_recall")) / 2.0).alias("auc_roc"),
-        F.sum((F.col("recall") - F.col("prev_recall")) * (F.col("precision") + F.col("prev_precision")) / 2.0)
-        .alias("auc_pr"),
-    )
+        F.sum((F.col("recall") - F.col("prev_recall")) * (F.col("precision") + F.col("prev_precision")) / 2.0).alias("auc_pr"),
+    ]
 
 
 def auc_roc(df: DataFrame, score_col: str = "score", label_col: str = "label", **kw) -> DataFrame:

@@ -4,11 +4,14 @@ A point table has ``group_id, id, x array<double>, v array<double>, value``. Nei
 rows of the same group with 1e-9 < |a - b| < radius (strict on both sides: a row is not its own
 neighbour and neither are exact duplicates). A vector radius is used through its norm.
 
-G1 is a range self-join expressed as an equi-join: each row is keyed by its grid cell
-``floor(x / radius)`` (one cell per ``radius`` in every dimension) and probes the 3^d cells around
-it, then the exact distance filter runs on the candidates. Only rows that can be within the radius
-ever meet, the join is a shuffle on (group, cell) and a hot cell is split by AQE's skew join.
-For d > 3 the 3^d probe fan-out grows too fast; use the kNN operator's pivot cells instead.
+G1 is a range self-join expressed as an equi-join: each row is keyed by its grid cell (one cell per
+``radius`` in every dimension) and probes the 3^d cells around it, then the exact distance filter runs on
+the candidates. Only rows that can be within the radius ever meet, the join is a shuffle on (group, cell)
+and a hot cell is split by AQE's skew join. Beyond ``GRID_DIMS`` dimensions the grid is one over the
+distances to ``PIVOTS`` pivot rows instead: by the triangle inequality neighbours' distances to a pivot
+differ by less than the radius, so they lie in the same or adjacent windows of every pivot.
+
+The neighbour sums (G2-G4, G7) never list all pairs, see ``_position_sums``.
 """
 
 from __future__ import annotations
@@ -17,12 +20,17 @@ import itertools
 import math
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dist, dist_n, floor_div_n, offsets_n, vadd, vsub, zeros_like
+from ..session import stored
 
 MIN_DIST = 1e-9
+GRID_DIMS = 3  # dimensions up to which rows are keyed by their own grid cell
+PIVOTS = 3
+PIVOT_SAMPLE = 64  # rows among which far apart pivots are chosen
+WIDER = 1 + 1e-9  # cells are this much wider than the radius, so that rounding never parts neighbours by two cells
 
 
 def radius_value(radius) -> float:
@@ -41,18 +49,42 @@ def _dim(df: DataFrame, x_col: str) -> int:
     return int(row["d"]) if row else 0
 
 
+def _pivots(df: DataFrame, x_col: str) -> list[list[float]]:
+    """Rows that lie far apart, chosen one after the other from a sample by hash (fixed number of rows)."""
+    rows = [r["x"] for r in df.select(F.col(x_col).alias("x")).where("x is not null").orderBy(F.xxhash64("x"), "x").limit(PIVOT_SAMPLE).collect()]
+    if not rows:
+        return []
+    gap = lambda a, b: math.sqrt(sum((s - t) ** 2 for s, t in zip(a, b)))
+    chosen = [rows[0]]
+    while len(chosen) < PIVOTS:
+        chosen.append(max(rows, key=lambda x: min(gap(x, c) for c in chosen)))
+    return [list(map(float, c)) for c in chosen]
+
+
+def _windows(df: DataFrame, x_col: str, r: float, d: int) -> tuple[Column, int]:
+    """Grid cell of a row such that rows nearer than r lie in the same or adjacent cells, and its dimensions."""
+    if d <= GRID_DIMS:
+        return floor_div_n(x_col, r * WIDER, d), d
+    pivots = _pivots(df, x_col)
+    if not pivots:
+        return F.array(F.lit(0).cast("long")), 1
+    away = [dist_n(x_col, F.array(*[F.lit(t) for t in p]), d) for p in pivots]
+    return F.array(*[F.floor(a / F.lit(r * WIDER)) for a in away]), len(pivots)
+
+
 def _radius_pairs(df: DataFrame, radius, dim: int | None, x_col: str, id_col: str, group_col: str,
                   carry: tuple[str, ...] = ()) -> DataFrame:
     r = radius_value(radius)
     d = dim if dim is not None else _dim(df, x_col)
-    offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=d)]
+    cell, dims = _windows(df, x_col, r, d)
+    offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=dims)]
     base = df.select(F.col(group_col).alias("group_id"), F.col(id_col).alias("id"),
-                     F.col(x_col).alias("x"), floor_div_n(x_col, r, d).alias("cell"), *[F.col(c) for c in carry])
-    probes = base.select("group_id", "id", "x", F.explode(offsets_n("cell", offsets, d)).alias("cell"))
+                     F.col(x_col).alias("x"), cell.alias("cell"), *[F.col(c) for c in carry])
+    probes = base.select("group_id", "id", "x", F.explode(offsets_n("cell", offsets, dims)).alias("cell"))
     targets = base.select("group_id", F.col("id").alias("nn_id"), F.col("x").alias("nx"), "cell",
                           *[F.col(c).alias(f"n_{c}") for c in carry])
     pairs = probes.join(targets, ["group_id", "cell"])
-    pairs = pairs.select("group_id", "id", "nn_id", dist_n("x", "nx", d).alias("dist"), "nx",
+    pairs = pairs.select("group_id", "id", "nn_id", dist_n("x", "nx", d).alias("dist"), "x", "nx",
                          *[f"n_{c}" for c in carry])
     return pairs.where((F.col("dist") > MIN_DIST) & (F.col("dist") < r))
 
@@ -64,66 +96,80 @@ def radius_neighbours(df: DataFrame, radius, dim: int | None = None, x_col: str
 
 
 SUB = 4  # sub-cells per radius for the aggregated neighbour sums
-
-
-def _sub_offsets(dim: int) -> tuple[list[list[int]], list[list[int]]]:
-    """Sub-cell offsets whose every point pair is within the radius (``inside``) and those that may
-    hold some pair within it (``ring``); cells are half-open boxes of side radius / SUB."""
-    inside, ring = [], []
-    for o in itertools.product(range(-SUB, SUB + 1), repeat=dim):
-        far = sum((abs(e) + 1) ** 2 for e in o)        # (max distance / side)^2 bound
-        near = sum(max(abs(e) - 1, 0) ** 2 for e in o)  # (min distance / side)^2 bound
-        if far < SUB * SUB - 1e-6:
-            inside.append(list(o))
-        elif near < SUB * SUB + 1e-6:
-            ring.append(list(o))
-    return inside, ring
-
-
-def _neighbour_sums(df: DataFrame, radius, dim: int, x_col: str, v_col: str) -> DataFrame:
-    """Per row: neighbour count and per-dimension sums of neighbour positions and attributes.
-
-    Sub-cells of side radius/SUB: every pair between a cell and its ``inside`` offsets is within the
-    radius, so those contribute through per-cell aggregates (one row per non-empty cell, summed per
-    target cell) -- a dense spot never turns into pairs. Only the ``ring`` offsets are probed pair by
-    pair with the exact filter. The row itself and exact duplicates of its position (distance 0, not
-    neighbours) are subtracted with a per-position aggregate. For d > 3 the offset set grows too
-    fast and the plain radius join is used."""
+FINE = 1e-6  # side of the cells in which positions nearer than MIN_DIST are looked for
+
+
+def _square_sums(dim: int) -> tuple[Column, Column]:
+    """Bounds of the squared distance, in sides, between points of a sub-cell and of the one ``o`` steps away: (most, least)."""
+    most = sum(((F.abs(F.col("o")[i]) + 1) * (F.abs(F.col("o")[i]) + 1) for i in range(dim)), F.lit(0))
+    least = sum((F.greatest(F.abs(F.col("o")[i]) - 1, F.lit(0)) * F.greatest(F.abs(F.col("o")[i]) - 1, F.lit(0)) for i in range(dim)), F.lit(0))
+    return most, least
+
+
+def _near_pairs(pos: DataFrame, dim: int) -> DataFrame:
+    """(group_id, x, nx, n, sv): other positions at most MIN_DIST away. A position is keyed by a fine cell and also probes the
+    neighbour cells it is that near to, which is rarely one."""
+    cell = [F.floor(F.col("x")[i] / FINE) for i in range(dim)]
+    probes = pos.select("group_id", "x", *[F.explode(F.array_distinct(F.array(
+        F.floor((F.col("x")[i] - 2 * MIN_DIST) / FINE), cell[i], F.floor((F.col("x")[i] + 2 * MIN_DIST) / FINE)))).alias(f"f{i}")
+        if i == 0 else cell[i].alias(f"c{i}") for i in range(dim)])
+    for i in range(1, dim):
+        keep = [c for c in probes.columns if c != f"c{i}"]
+        probes = probes.select(*keep, F.explode(F.array_distinct(F.array(
+            F.floor((F.col("x")[i] - 2 * MIN_DIST) / FINE), F.col(f"c{i}"), F.floor((F.col("x")[i] + 2 * MIN_DIST) / FINE)))).alias(f"f{i}"))
+    targets = pos.select("group_id", F.col("x").alias("nx"), "n", "sv", *[c.alias(f"f{i}") for i, c in enumerate(cell)])
+    pairs = probes.join(targets, ["group_id", *[f"f{i}" for i in range(dim)]])
+    return pairs.where((F.col("x") != F.col("nx")) & (dist_n("x", "nx", dim) <= MIN_DIST)).select("group_id", "x", "nx", "n", "sv")
+
+
+def _position_sums(df: DataFrame, radius, dim: int, x_col: str, v_col: str) -> DataFrame:
+    """Per group and distinct position x: n_nb, the number of neighbours, ``_s{i}``, the sums of their offsets from x, and
+    ``_v{i}``, the sums of their attributes.
+
+    Equal positions become one row with a count first. Up to three dimensions, sub-cells of side radius / SUB make a cell
+    table; pairs of *existing* sub-cells come from a join of that table with itself on cells of a whole radius. Sub-cell pairs
+    that lie wholly within the radius contribute by their sums, taken from the cell's corner so that large coordinates
+    don't cancel; of those that the radius cuts, the positions are compared one by one. The position itself and positions
+    not more than MIN_DIST away are taken off again. Beyond three dimensions positions are paired by pivot windows."""
     r = radius_value(radius)
-    if dim > 3:
-        pairs = _radius_pairs(df, radius, dim, x_col, "id", "group_id", carry=(v_col,))
-        return pairs.groupBy("group_id", "id").agg(
-            F.count(F.lit(1)).alias("n_nb"),
-            *[F.sum(F.col("nx")[i]).alias(f"_sx{i}") for i in range(dim)],
-            *[F.sum(F.col(f"n_{v_col}")[i]).alias(f"_sv{i}") for i in range(dim)],
-        )
+    pos = stored(df.where(F.col(x_col).isNotNull()).groupBy("group_id", F.col(x_col).alias("x")).agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col(v_col)[i]) for i in range(dim)]).alias("sv")), "positions")
+    total = lambda pairs: pairs.groupBy("group_id", "x").agg(
+        F.sum("n").alias("n_nb"), *[F.sum(F.col("n") * (F.col("nx")[i] - F.col("x")[i])).alias(f"_s{i}") for i in range(dim)],
+        *[F.sum(F.col("sv")[i]).alias(f"_v{i}") for i in range(dim)])
+    if dim > GRID_DIMS:
+        keyed = pos.withColumn("id", F.lit(0))
+        return total(_radius_pairs(keyed, r, dim, "x", "id", "group_id", carry=("n", "sv")).select(
+            "group_id", "x", "nx", F.col("n_n").alias("n"), F.col("n_sv").alias("sv")))
     side = r / SUB
-    inside, ring = _sub_offsets(dim)
-    base = df.select("group_id", "id", F.col(x_col).alias("x"), F.col(v_col).alias("v"),
-                     floor_div_n(x_col, side, dim).alias("cell"))
-    sums = [F.sum(F.col("x")[i]).alias(f"sx{i}") for i in range(dim)] + \
-           [F.sum(F.col("v")[i]).alias(f"sv{i}") for i in range(dim)]
-    cols = [f"sx{i}" for i in range(dim)] + [f"sv{i}" for i in range(dim)]
-    cagg = base.groupBy("group_id", "cell").agg(F.count(F.lit(1)).alias("n"), *sums)
-    ins = cagg.select("group_id", "n", *cols, F.explode(offsets_n("cell", inside, dim)).alias("cell"))
-    ins = ins.groupBy("group_id", "cell").agg(F.sum("n").alias("i_n"), *[F.sum(c).alias(f"i_{c}") for c in cols])
-    dup = base.groupBy("group_id", "x").agg(F.count(F.lit(1)).alias("d_n"),
-                                             *[F.sum(F.col("v")[i]).alias(f"d_sv{i}") for i in range(dim)])
-    probes = base.select("group_id", "id", "x", F.explode(offsets_n("cell", ring, dim)).alias("cell"))
-    targets = base.select("group_id", "cell", F.col("x").alias("nx"), F.col("v").alias("nv"))
-    bp = probes.join(targets, ["group_id", "cell"]).select("group_id", "id", "nx", "nv", dist_n("x", "nx", dim).alias("dd"))
-    bp = bp.where((F.col("dd") > MIN_DIST) & (F.col("dd") < r)).groupBy("group_id", "id").agg(
-        F.count(F.lit(1)).alias("b_n"), *[F.sum(F.col("nx")[i]).alias(f"b_sx{i}") for i in range(dim)],
-        *[F.sum(F.col("nv")[i]).alias(f"b_sv{i}") for i in range(dim)])
-    j = (base.join(ins, ["group_id", "cell"], "left").join(dup, ["group_id", "x"], "left")
-         .join(bp, ["group_id", "id"], "left"))
+    base = pos.select("*", floor_div_n("x", side, dim).alias("cell"))
+    base = base.select("*", F.array(*[F.col("x")[i] - F.col("cell")[i] * side for i in range(dim)]).alias("rel"))
+    cells = stored(base.groupBy("group_id", "cell").agg(
+        F.sum("n").alias("n"), F.array(*[F.sum(F.col("n") * F.col("rel")[i]) for i in range(dim)]).alias("s"),
+        F.array(*[F.sum(F.col("sv")[i]) for i in range(dim)]).alias("sv")), "cells")
+    whole = F.array(*[F.floor(F.col("cell")[i] / SUB) for i in range(dim)])
+    steps = [list(o) for o in itertools.product((-1, 0, 1), repeat=dim)]
+    probes = cells.select("group_id", "cell", whole.alias("whole")).select("group_id", "cell", F.explode(offsets_n("whole", steps, dim)).alias("whole"))
+    others = cells.select("group_id", whole.alias("whole"), F.col("cell").alias("ncell"), "n", "s", "sv")
+    met = probes.join(others, ["group_id", "whole"]).select(
+        "group_id", "cell", "ncell", "n", "s", "sv", F.array(*[F.col("ncell")[i] - F.col("cell")[i] for i in range(dim)]).alias("o"))
+    most, least = _square_sums(dim)
+    inside = met.where(most < SUB * SUB).groupBy("group_id", "cell").agg(
+        F.sum("n").alias("i_n"), *[F.sum(F.col("s")[i] + F.col("n") * F.col("o")[i] * side).alias(f"i_s{i}") for i in range(dim)],
+        *[F.sum(F.col("sv")[i]).alias(f"i_v{i}") for i in range(dim)])
+    ring = met.where((most >= SUB * SUB) & (least <= SUB * SUB)).select("group_id", "cell", "ncell")
+    cut = base.select("group_id", "x", "cell").join(ring, ["group_id", "cell"]).join(
+        base.select("group_id", F.col("cell").alias("ncell"), F.col("x").alias("nx"), "n", "sv"), ["group_id", "ncell"])
+    cut = total(cut.where(dist_n("x", "nx", dim) < r))
+    close = total(_near_pairs(pos, dim))
+    rename = lambda t, p: t.select("group_id", "x", *[F.col(c).alias(f"{p}{c}") for c in t.columns[2:]])
+    j = (base.join(inside, ["group_id", "cell"], "left").join(rename(cut, "r"), ["group_id", "x"], "left")
+         .join(rename(close, "c"), ["group_id", "x"], "left"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    n = z("i_n") - z("d_n") + z("b_n")
     return j.select(
-        "group_id", "id", n.alias("n_nb"),
-        *[(z(f"i_sx{i}") - z("d_n") * F.col("x")[i] + z(f"b_sx{i}")).alias(f"_sx{i}") for i in range(dim)],
-        *[(z(f"i_sv{i}") - z(f"d_sv{i}") + z(f"b_sv{i}")).alias(f"_sv{i}") for i in range(dim)],
-    )
+        "group_id", "x", (z("i_n") - F.col("n") + z("rn_nb") - z("cn_nb")).alias("n_nb"),
+        *[(z(f"i_s{i}") - z("i_n") * F.col("rel")[i] + z(f"r_s{i}") - z(f"c_s{i}")).alias(f"_s{i}") for i in range(dim)],
+        *[(z(f"i_v{i}") - F.col("sv")[i] + z(f"r_v{i}") - z(f"c_v{i}")).alias(f"_v{i}") for i in range(dim)])
 
 
 def neighbour_terms(df: DataFrame, radius, dim: int | None = None, x_col: str = "x",
@@ -132,15 +178,14 @@ def neighbour_terms(df: DataFrame, radius, dim: int | None = None, x_col: str =
     (own v if none), cohesion C = mean neighbour x - x (zero if none). Rows without neighbours come
     back through a left join, so the neighbour aggregate is never collected per group."""
     d = dim if dim is not None else _dim(df, x_col)
-    sums = _neighbour_sums(df, radius, d, x_col, v_col)
-    j = df.join(sums, ["group_id", "id"], "left")
+    sums = _position_sums(df, radius, d, x_col, v_col).withColumnRenamed("x", x_col)
+    j = df.join(sums, ["group_id", x_col], "left")
     n = F.coalesce(F.col("n_nb"), F.lit(0))
-    sx = F.array(*[F.coalesce(F.col(f"_sx{i}"), F.lit(0.0)) for i in range(d)])
-    sv = F.array(*[F.coalesce(F.col(f"_sv{i}"), F.lit(0.0)) for i in range(d)])
     has = n > 0
-    sep = F.when(has, vsub(sx, F.transform(F.col(x_col), lambda t: t * n))).otherwise(zeros_like(x_col))
-    ali = F.when(has, F.transform(sv, lambda t: t / n)).otherwise(F.col(v_col))
-    coh = F.when(has, vsub(F.transform(sx, lambda t: t / n), F.col(x_col))).otherwise(zeros_like(x_col))
+    vector = lambda name: F.array(*[F.col(f"_{name}{i}") for i in range(d)])
+    sep = F.when(has, vector("s")).otherwise(zeros_like(x_col))
+    ali = F.when(has, F.transform(vector("v"), lambda t: t / n)).otherwise(F.col(v_col))
+    coh = F.when(has, F.transform(vector("s"), lambda t: t / n)).otherwise(zeros_like(x_col))
     return j.select(*df.columns, n.alias("n_nb"), sep.alias("separation"), ali.alias("alignment"),
                     coh.alias("cohesion"))
 
@@ -171,11 +216,14 @@ def argmax_argmin(df: DataFrame, group_col: str = "group_id", id_col: str = "id"
 
 
 def _extreme_term(df: DataFrame, radius, which: str, x_col: str = "x") -> DataFrame:
+    """The best or worst row's position travels in the aggregate, so the table is scanned twice in all and joined once."""
     r = radius_value(radius)
-    ext = argmax_argmin(df)
-    pos = df.select(F.col("group_id"), F.col("id").alias("_eid"), F.col(x_col).alias("_ex"))
-    eid = "best_id" if which == "best" else "worst_id"
-    ext = ext.select("group_id", F.col(eid).alias("_eid")).join(pos, ["group_id", "_eid"])
+    if which == "best":
+        top = F.max(F.struct(F.col("value"), (-F.col("id")).alias("nid"), F.col(x_col).alias("x")))
+        ext = df.groupBy("group_id").agg(top.alias("_e")).select("group_id", (-F.col("_e.nid")).alias("_eid"), F.col("_e.x").alias("_ex"))
+    else:
+        low = F.min(F.struct(F.col("value"), F.col("id"), F.col(x_col).alias("x")))
+        ext = df.groupBy("group_id").agg(low.alias("_e")).select("group_id", F.col("_e.id").alias("_eid"), F.col("_e.x").alias("_ex"))
     j = df.join(ext, "group_id")  # one row per group: AQE broadcasts it when its size allows
     dd = dist(x_col, "_ex")
     inr = (dd < r) & (dd > MIN_DIST)
@@ -198,5 +246,5 @@ def worst_term(df: DataFrame, radius, **kw) -> DataFrame:
 def isolated_points(df: DataFrame, radius, dim: int | None = None, x_col: str = "x", v_col: str = "v") -> DataFrame:
     """Rows without any neighbour (neighbour count 0 from the aggregated sums; no pair list)."""
     d = dim if dim is not None else _dim(df, x_col)
-    cnt = _neighbour_sums(df, radius, d, x_col, v_col).where(F.col("n_nb") == 0).select("group_id", "id")
-    return df.join(cnt, ["group_id", "id"], "left_semi")
+    sums = _position_sums(df, radius, d, x_col, v_col).where(F.col("n_nb") > 0).select("group_id", F.col("x").alias(x_col))
+    return df.join(sums, ["group_id", x_col], "left_anti")

@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash01
-
 
 def per_iteration(df: DataFrame, iter_col: str = "iter", agent_col: str = "agent",
                   value_col: str = "value") -> DataFrame:
@@ -73,12 +71,10 @@ def convergence(df: DataFrame, **kw) -> DataFrame:
                      F.col("best_value").alias("actual"), "mean", "std")
 
 
-def repeat_avg(df: DataFrame, repeats: int = 4, seed: str = "repeat", agent_col: str = "agent", **kw) -> DataFrame:
-    """the history is cut into ``repeats`` runs (a hash draw of the agent); per (run, iteration)
-    the convergence columns are computed, then averaged over runs per iteration."""
-    runs = df.withColumn("_run", F.floor(hash01(seed, agent_col) * repeats).cast("int"))
-    per = runs.groupBy("_run", "iter").agg(
-        F.max("value").alias("actual"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+def repeat_avg(df: DataFrame, run_col: str = "run", iter_col: str = "iter", value_col: str = "value") -> DataFrame:
+    """per (run, iteration) the convergence columns, averaged over the runs that have the iteration."""
+    per = df.groupBy(F.col(run_col).alias("_run"), F.col(iter_col).alias("iter")).agg(
+        F.max(value_col).alias("actual"), F.avg(value_col).alias("mean"), F.stddev_samp(value_col).alias("std"))
     w = Window.partitionBy("_run").orderBy("iter").rowsBetween(Window.unboundedPreceding, 0)
     per = per.withColumn("global_value", F.max("actual").over(w))
     return per.groupBy("iter").agg(

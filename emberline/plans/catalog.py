@@ -39,7 +39,6 @@ WRAP_LB = (5.0, 1.0)
 WRAP_UB = (45.0, 4.0)
 ROT_RATE = 0.5
 METRIC_LABEL = 0.0
-REPEATS = 4
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -507,15 +506,14 @@ def q_convergence(spark, sf):
     return c.select("iter", "global_value", "actual", _r(F.col("mean")).alias("mean"), _r(F.col("std")).alias("std"))
 
 
-@register("repeat_avg", f"""WITH t AS ({fx.TRACE_SQL}),
-rt AS (SELECT *, CAST(floor({sql_hash01('repeat', 'agent')} * {REPEATS}) AS INTEGER) AS run FROM t),
+@register("repeat_avg", f"""WITH rt AS ({fx.TRACE_RUNS_SQL}),
 per AS (SELECT run, iter, max(value) AS actual, avg(value) AS mean, stddev_samp(value) AS std FROM rt GROUP BY run, iter),
 g AS (SELECT *, max(actual) OVER (PARTITION BY run ORDER BY iter ROWS UNBOUNDED PRECEDING) AS global_value FROM per)
 SELECT iter, round(avg(global_value), {R}) AS avg_global, round(avg(actual), {R}) AS avg_actual,
   round(avg(mean), {R}) AS avg_mean, round(avg(std), {R}) AS avg_std, count(*) AS n_runs FROM g GROUP BY iter""")
 def q_repeat_avg(spark, sf):
     """convergence columns averaged over repeated runs, per iteration."""
-    a = H.repeat_avg(fx.trace(spark, sf), REPEATS)
+    a = H.repeat_avg(fx.trace_runs(spark, sf))
     return a.select("iter", *[_r(F.col(c)).alias(c) for c in ("avg_global", "avg_actual", "avg_mean", "avg_std")], "n_runs")
 
 
@@ -593,6 +591,30 @@ def q_isolated_points(spark, sf):
     return G.isolated_points(fx.points(spark, sf), POINT_RADIUS, dim=2).select("group_id", "id")
 
 
+# fixed value: radius on the 64-dimensional embeddings that leaves both pairs and isolated rows
+EMBEDDING_RADIUS = 1.15
+_EMB = "SELECT label AS group_id, vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"
+_EMB_PAIRS = f"""pairs AS (SELECT a.group_id, a.id, b.id AS nn_id, list_distance(a.x, b.x) AS dist FROM p a JOIN p b ON a.group_id = b.group_id
+  WHERE list_distance(a.x, b.x) > 1e-9 AND list_distance(a.x, b.x) < {EMBEDDING_RADIUS})"""
+
+
+def _embedding_points(spark, sf):
+    return fx.vectors(spark, sf).select(F.col("label").alias("group_id"), F.col("vec_id").alias("id"), "x", F.col("x").alias("v"))
+
+
+@register("radius_neighbours_64", f"WITH p AS ({_EMB}), {_EMB_PAIRS} SELECT group_id, id, nn_id, round(dist, {R}) AS dist FROM pairs")
+def q_radius_neighbours_64(spark, sf):
+    """G1 in 64 dimensions: pivot windows instead of grid cells."""
+    pr = G.radius_neighbours(_embedding_points(spark, sf), EMBEDDING_RADIUS, dim=64)
+    return pr.select("group_id", "id", "nn_id", _r(F.col("dist")).alias("dist"))
+
+
+@register("isolated_points_64", f"WITH p AS ({_EMB}), {_EMB_PAIRS} SELECT group_id, id FROM p WHERE id NOT IN (SELECT id FROM pairs)")
+def q_isolated_points_64(spark, sf):
+    """G7 in 64 dimensions."""
+    return G.isolated_points(_embedding_points(spark, sf), EMBEDDING_RADIUS, dim=64).select("group_id", "id")
+
+
 # ============================================================ V: vector operators
 
 

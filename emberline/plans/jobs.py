@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import prepare as P
+from ..session import stored
 from ..schema import SENSOR_DROP, SENSOR_LABEL, SENSOR_SCHEMA
 from ..sources import files as io
 from ..streaming import scoring as S
@@ -49,7 +50,7 @@ def split(spark: SparkSession, src: str, train_out: str, test_out: str, fraction
 
 
 def run_v1(spark: SparkSession, train_path: str, test_path: str, n_trees: int = 20, rescale: str = "train") -> DataFrame:
-    train = load_sensor_csv(spark, train_path).checkpoint(eager=True)
+    train = stored(load_sensor_csv(spark, train_path), "train")
     test = load_sensor_csv(spark, test_path)
     _, pred, _ = E.train_plain(train, test, sensor_features(train), KEY, n_trees, rescale=rescale)
     return M.evaluate_report(pred, "score", "label", "prediction")
@@ -57,7 +58,7 @@ def run_v1(spark: SparkSession, train_path: str, test_path: str, n_trees: int =
 
 def run_v3(spark: SparkSession, train_path: str, test_path: str, n_trees: int = 20, oversample: bool = True,
            model_out: str | None = None) -> DataFrame:
-    train = load_sensor_csv(spark, train_path).checkpoint(eager=True)
+    train = stored(load_sensor_csv(spark, train_path), "train")
     test = load_sensor_csv(spark, test_path)
     best, pred, _ = E.train_kfold(train, test, sensor_features(train), KEY, n_trees, oversample=oversample)
     if model_out:
@@ -66,11 +67,12 @@ def run_v3(spark: SparkSession, train_path: str, test_path: str, n_trees: int =
 
 
 def run_search(spark: SparkSession, train_path: str, out: str, n_agents: int = 20, iterations: int = 5,
-               lb: Sequence[float] = (10.0, 0.0), ub: Sequence[float] = (150.0, 0.0)) -> DataFrame:
-    train = load_sensor_csv(spark, train_path).checkpoint(eager=True)
-    hist = H1.population_search(train, sensor_features(train), KEY, n_agents, iterations, lb, ub)
-    io.write_json_lines(hist, out)
-    return hist
+               lb: Sequence[float] = (10.0, 0.0), ub: Sequence[float] = (150.0, 0.0), weights=H1.schedule, log: str | None = None) -> DataFrame:
+    """Result file of the search, a line a generation. ``log``: a search cut off is continued from this folder."""
+    train = stored(load_sensor_csv(spark, train_path), "train")
+    history, summary = H1.population_search(train, sensor_features(train), KEY, n_agents, iterations, lb, ub, weights=weights, log=log)
+    io.write_json_lines(H1.result_lines(history, summary), out)
+    return history
 
 
 def run_stream(spark: SparkSession, model_path: str, source: str, sink: str, checkpoint: str,

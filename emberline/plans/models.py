@@ -6,7 +6,6 @@ array of frames; the fold table is persisted once per cross-validation and relea
 
 from __future__ import annotations
 
-import math
 from concurrent.futures import ThreadPoolExecutor
 from typing import Sequence
 
@@ -20,6 +19,8 @@ from pyspark.sql import functions as F
 from ..operators.features import assembler, scaler, scaling_model
 from ..operators.oversample import smote
 from ..operators.prepare import kfold_assign, score_extract
+from ..session import stored
+from .forests import prefix_fitness
 
 # fixed values: forest defaults of the recorded runs
 DEFAULT_TREES = 20
@@ -102,14 +103,14 @@ def smote_frame(scaled: DataFrame, key: str, k: int = 5, perc_over: int = 140,
     """SMOTE on the scaled ``features`` vector (arrays inside, vectors outside).
 
     The forest reads its input several times (metadata, split candidates, bagging); with
-    ``materialize`` the oversampled rows are written once to the checkpoint folder instead of the
+    ``materialize`` the oversampled rows are written once to the scratch folder instead of the
     kNN plan being re-run by every pass."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     arr = scaled.select(F.col(key), vector_to_array("features").alias("fx"), F.col("label"))
     out = smote(arr, key, "fx", "label", k=k, perc_over=perc_over)
     out = out.select("src_id", "copy", array_to_vector("fx").alias("features"), "label")
-    return out.checkpoint(eager=True) if materialize else out
+    return stored(out, "smote-frame") if materialize else out
 
 
 def cv_manual(train: DataFrame, input_cols: Sequence[str], key: str, num_trees: int = DEFAULT_TREES,
@@ -147,34 +148,21 @@ def decode_candidate(x0, x1):
 
 def candidate_eval(candidates: DataFrame, train: DataFrame, input_cols: Sequence[str], key: str,
                    k: int = 5, metric: str = "fMeasureByLabel", metric_label: float = 0.0, reduce: str = "avg",
-                   memo: dict | None = None, parallelism: int = 4, seed: int = DEFAULT_SEED) -> DataFrame:
-    """Fitness of candidate rows (candidate_id, num_trees, impurity).
-
-    Only the distinct (num_trees, impurity) pairs not yet in ``memo`` are fitted (the candidate list is
-    a handful of rows); their cross-validations run as parallel Spark jobs on one persisted fold table.
-    Returns candidates joined with ``value``.
-    """
-    memo = {} if memo is None else memo
-    distinct = [(int(r["num_trees"]), r["impurity"]) for r in
-                candidates.select("num_trees", "impurity").distinct().collect()]
-    todo = [c for c in distinct if c not in memo]
-    if todo:
-        folded = kfold_assign(train, key, k).persist()
-        jobs = [(c, f) for c in todo for f in range(k)]
-        try:
-            with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-                out = list(pool.map(lambda cf: (cf[0], _fold_fit(folded, cf[1], input_cols, cf[0][0], cf[0][1],
-                                                                  metric, metric_label, False, "train", key,
-                                                                  seed)[1]), jobs))
-        finally:
-            folded.unpersist()
-        for c in todo:
-            ms = [m for cc, m in out if cc == c]
-            memo[c] = max(ms) if reduce == "max" else sum(ms) / len(ms)
-    spark = candidates.sparkSession
-    vals = spark.createDataFrame([(n, i, v) for (n, i), v in memo.items()],
-                                 "num_trees int, impurity string, value double")
-    return candidates.join(vals, ["num_trees", "impurity"], "left")
+                   fitness: DataFrame | None = None, parallelism: int = 4, seed: int = DEFAULT_SEED) -> DataFrame:
+    """Fitness of candidate rows (candidate_id, num_trees, impurity): the candidates joined with ``value``.
+
+    One forest of the largest size is fitted per fold and impurity, and every candidate is scored on its first
+    ``num_trees`` trees. ``fitness`` is a table (num_trees, impurity, value) from an earlier ``prefix_fitness``
+    that covers the candidates; without it the table is made for the sizes that occur (a forest size is a small
+    number, so there are few whatever the number of candidates)."""
+    if fitness is None:
+        pairs = candidates.groupBy("impurity").agg(F.collect_set("num_trees").alias("sizes")).collect()
+        if not pairs:
+            return candidates.withColumn("value", F.lit(None).cast("double"))
+        sizes = sorted({int(n) for r in pairs for n in r["sizes"]})
+        fitness = prefix_fitness(train, input_cols, key, sizes, sorted(r["impurity"] for r in pairs), k, metric, metric_label, reduce,
+                                 parallelism=parallelism, seed=seed)
+    return candidates.join(F.broadcast(fitness), ["num_trees", "impurity"], "left")  # sizes x impurities rows
 
 
 def model_params(model) -> DataFrame:
