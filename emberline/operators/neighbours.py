@@ -28,6 +28,7 @@ from ..session import stored
 
 MIN_DIST = 1e-9
 GRID_DIMS = 3  # dimensions up to which rows are keyed by their own grid cell
+FLAT_DIMS = 16
 PIVOTS = 3
 PIVOT_SAMPLE = 64  # rows among which far apart pivots are chosen
 WIDER = 1 + 1e-9  # cells are this much wider than the radius, so that rounding never parts neighbours by two cells
@@ -49,6 +50,11 @@ def _dim(df: DataFrame, x_col: str) -> int:
     return int(row["d"]) if row else 0
 
 
+def _gap(a, b, d: int) -> Column:
+    """Distance as element arithmetic, or with array functions where that would be more than the compiler takes."""
+    return dist_n(a, b, d) if d <= FLAT_DIMS else dist(a, b)
+
+
 def _pivots(df: DataFrame, x_col: str) -> list[list[float]]:
     """Rows that lie far apart, chosen one after the other from a sample by hash (fixed number of rows)."""
     rows = [r["x"] for r in df.select(F.col(x_col).alias("x")).where("x is not null").orderBy(F.xxhash64("x"), "x").limit(PIVOT_SAMPLE).collect()]
@@ -68,7 +74,7 @@ def _windows(df: DataFrame, x_col: str, r: float, d: int) -> tuple[Column, int]:
     pivots = _pivots(df, x_col)
     if not pivots:
         return F.array(F.lit(0).cast("long")), 1
-    away = [dist_n(x_col, F.array(*[F.lit(t) for t in p]), d) for p in pivots]
+    away = [_gap(x_col, F.array(*[F.lit(t) for t in p]), d) for p in pivots]
     return F.array(*[F.floor(a / F.lit(r * WIDER)) for a in away]), len(pivots)
 
 
@@ -84,7 +90,7 @@ def _radius_pairs(df: DataFrame, radius, dim: int | None, x_col: str, id_col: st
     targets = base.select("group_id", F.col("id").alias("nn_id"), F.col("x").alias("nx"), "cell",
                           *[F.col(c).alias(f"n_{c}") for c in carry])
     pairs = probes.join(targets, ["group_id", "cell"])
-    pairs = pairs.select("group_id", "id", "nn_id", dist_n("x", "nx", d).alias("dist"), "x", "nx",
+    pairs = pairs.select("group_id", "id", "nn_id", _gap("x", "nx", d).alias("dist"), "x", "nx",
                          *[f"n_{c}" for c in carry])
     return pairs.where((F.col("dist") > MIN_DIST) & (F.col("dist") < r))
 
@@ -119,7 +125,7 @@ def _near_pairs(pos: DataFrame, dim: int) -> DataFrame:
             F.floor((F.col("x")[i] - 2 * MIN_DIST) / FINE), F.col(f"c{i}"), F.floor((F.col("x")[i] + 2 * MIN_DIST) / FINE)))).alias(f"f{i}"))
     targets = pos.select("group_id", F.col("x").alias("nx"), "n", "sv", *[c.alias(f"f{i}") for i, c in enumerate(cell)])
     pairs = probes.join(targets, ["group_id", *[f"f{i}" for i in range(dim)]])
-    return pairs.where((F.col("x") != F.col("nx")) & (dist_n("x", "nx", dim) <= MIN_DIST)).select("group_id", "x", "nx", "n", "sv")
+    return pairs.where((F.col("x") != F.col("nx")) & (_gap("x", "nx", dim) <= MIN_DIST)).select("group_id", "x", "nx", "n", "sv")
 
 
 def _position_sums(df: DataFrame, radius, dim: int, x_col: str, v_col: str) -> DataFrame:
@@ -160,7 +166,7 @@ def _position_sums(df: DataFrame, radius, dim: int, x_col: str, v_col: str) -> D
     ring = met.where((most >= SUB * SUB) & (least <= SUB * SUB)).select("group_id", "cell", "ncell")
     cut = base.select("group_id", "x", "cell").join(ring, ["group_id", "cell"]).join(
         base.select("group_id", F.col("cell").alias("ncell"), F.col("x").alias("nx"), "n", "sv"), ["group_id", "ncell"])
-    cut = total(cut.where(dist_n("x", "nx", dim) < r))
+    cut = total(cut.where(_gap("x", "nx", dim) < r))
     close = total(_near_pairs(pos, dim))
     rename = lambda t, p: t.select("group_id", "x", *[F.col(c).alias(f"{p}{c}") for c in t.columns[2:]])
     j = (base.join(inside, ["group_id", "cell"], "left").join(rename(cut, "r"), ["group_id", "x"], "left")
