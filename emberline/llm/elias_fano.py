@@ -36,7 +36,8 @@ NTH = _nth_bit()
 
 def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     """Arrays for strictly or weakly rising ``values`` (uint64) below ``universe``: the low bits packed, the high bits as
-    one set bit a value, one zero a step, and the number of zeros before each word of them."""
+    one set bit a value, one zero a step, the number of zeros before each word of them, and the index of the searches, so
+    that a mapped file is ready for use as it is."""
     n = len(values)
     low_bits = max(0, (max(1, universe // max(1, n))).bit_length() - 1)
     high = (values >> U64(low_bits)).astype(np.int64)
@@ -53,8 +54,12 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
         np.bitwise_or.at(packed, at >> 6, low << shift)
         over = (at & 63) + low_bits > 64
         np.bitwise_or.at(packed, (at[over] >> 6) + 1, low[over] >> (U64(64) - shift[over]))
-    return {"high": words, "zeros": np.concatenate([[0], zeros]).astype(np.uint32), "low": packed,
-            "head": np.array([n, low_bits, top], np.int64)}
+    zeros = np.concatenate([[0], zeros])
+    steps = zeros[::8]
+    # the block of every NEAR-th zero, from which the search for a zero begins
+    hints = np.searchsorted(steps, np.arange(0, int(zeros[-1]) + NEAR, NEAR), side="right") - 1
+    return {"high": words, "zeros": zeros.astype(np.uint32), "low": packed, "head": np.array([n, low_bits, top], np.int64),
+            "steps": np.append(steps, np.iinfo(np.int64).max), "ones": np.arange(len(steps)) * BLOCK - steps, "hints": hints}
 
 
 def _in_word(words: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -74,11 +79,7 @@ class EliasFano:
     def __init__(self, a: dict[str, np.ndarray]) -> None:
         self.high, self.zeros, self.low = a["high"], a["zeros"], a["low"]
         self.n, self.low_bits, self.top = (int(x) for x in a["head"])
-        self.steps = np.ascontiguousarray(self.zeros[::8]).astype(np.int64)
-        self.ones = np.arange(len(self.steps)) * BLOCK - self.steps
-        # the block of every NEAR-th zero, from which the search for a zero begins
-        self.hints = np.searchsorted(self.steps, np.arange(0, int(self.zeros[-1]) + NEAR, NEAR), side="right") - 1
-        self.after = np.append(self.steps[1:], np.iinfo(np.int64).max)
+        self.steps, self.after, self.ones, self.hints = a["steps"][:-1], a["steps"][1:], a["ones"], a["hints"]
         self.high_at, self.low_at = _at_bytes(self.high), _at_bytes(self.low)
 
     def _select0(self, j: np.ndarray) -> np.ndarray:

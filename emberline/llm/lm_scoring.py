@@ -8,18 +8,20 @@ n-gram model with absolute discounting:
 over the n-grams that came at least ``least`` times: all of them in the query (``WHOLE``), with the discount D from how
 many came once and twice; ``rest`` is what the kept n-grams leave, so every context's probabilities sum to one. The unigram term is (c + 0.5) / (N + 0.5 (V + 1)), N tokens of V kinds, for any word.
 
-Building, one Spark job a level:
+Building, one shuffle a level:
 * words are counted by their 64-bit hash (made for all bytes of a slice at once); a word's number is its rank among all
   sorted hashes;
-* for level k each task turns its rows into (parent node, word) keys by searching the levels that are done, sums them up
-  in windows, and Spark adds them up. With a cutoff, an n-gram can only reach it if its beginning and its end do, so all
-  others are left out before the shuffle;
-* the keys are range-sorted and each range becomes one shard: Elias-Fano coded keys, counts in a byte (larger ones
-  aside) and quantised ratios; the contexts of a level are a set of bits over the nodes before, with Elias-Fano coded
-  monotone pointers to their first child and quantised rests. From the third level on a word is written relative to its context: as its place among
-  the successors of the word before it.
-Shards are files in the shared folder; nothing of the model passes through the driver but their names and sizes, and
-every scoring task maps them. A lost executor's tasks write new files under new names.
+* for level k each task turns its rows into (parent node, word) keys by searching the levels that are done and sums them
+  up in windows. The sums are dealt by ranges of the parent, cut where a bounded sample of texts says that they hold
+  about the same number of keys, so the task that adds up a range has its keys in their final order: it writes the shard
+  of nodes and the totals and child counts of its contexts at once. With a cutoff, an n-gram can only reach it if its
+  beginning and its end do, so all others are left out before the shuffle;
+* how many n-grams came once and twice, over all ranges, gives the discount; a second pass over the shards' files adds
+  the quantised ratios and the contexts: a set of bits over the nodes before, quantised rests, and on the first level
+  Elias-Fano coded monotone pointers to the first child. From the third level on a word is written relative to its context:
+  as its place among the successors of the word before it.
+Shards are files in the shared folder; nothing of the model passes through the driver but their names and sizes. Every
+scoring task maps those it comes to. A lost executor's tasks write new files under new names.
 
 Defined results: null text is empty, a text without words is its end token alone; rows with a null identifier are
 training rows; with no training rows every probability is the unigram formula's (1); an empty table gives none.
@@ -42,9 +44,10 @@ from emberline.session import scratch_path
 ORDER = 3
 WHOLE = 1  # least count that keeps every n-gram
 LEAST = 2  # n-grams of two and more words are kept from this count on where the caller names none
-SHARD = 2_000_000  # entries of a shard, about
 WINDOW = 3_000_000  # keys that a task sums up at a time
-BUCKET = 2_000  # rows for each bucket in which the sums of all tasks meet
+RANGE_ROWS = 3_000  # rows for each range in which the sums of all tasks meet
+SAMPLE = 4_096  # texts, about, from which the ranges' bounds are taken (they change no result)
+MARKS = 256  # keys that each task of the sample passes on
 SLICE = 3_000_000  # characters that are looked up at a time
 U64 = np.uint64
 END = U64(0x2545F4914F6CDD1D)  # the end token
@@ -65,6 +68,13 @@ def small_counts(c: np.ndarray) -> dict[str, np.ndarray]:
     return {"c8": np.minimum(c, 255).astype(np.uint8), "big_at": big.astype(np.int64), "big_c": c[big].astype(np.int64)}
 
 
+def counts_at(p: dict[str, np.ndarray], i: np.ndarray | slice) -> np.ndarray:
+    c = p["c8"][i].astype(np.int64)
+    if len(big := np.flatnonzero(c == 255)):
+        c[big] = p["big_c"] if isinstance(i, slice) else p["big_c"][np.searchsorted(p["big_at"], i[big])]
+    return c
+
+
 def quantised(x: np.ndarray, name: str) -> dict[str, np.ndarray]:
     """Logarithms of positive numbers in 255 equal steps between the smallest and the largest; code 0 is 0 itself."""
     ln = np.log(np.maximum(x, 1e-12))
@@ -75,38 +85,46 @@ def quantised(x: np.ndarray, name: str) -> dict[str, np.ndarray]:
 
 
 class Shards:
-    """Sorted shards of one table, seen as one sorted sequence."""
+    """Sorted shards of one table, seen as one sorted sequence. A shard's files are opened when a search first comes to it."""
 
     def __init__(self, rows: list) -> None:
-        """rows: (path, first key, entries, sum) in order."""
-        self.parts = [mapped(r[0]) for r in rows]
-        self.keys = [(EliasFano if "k_head" in p else BitSet)({k[2:]: a for k, a in p.items() if k.startswith("k_")}) for p in self.parts]
+        """rows: (paths, first key, entries, sum) in order."""
+        self.paths = [r[0] for r in rows]
+        self.open: dict[int, tuple] = {}
         self.first = np.array([r[1] for r in rows], U64)
         self.base = np.cumsum([0, *(r[2] for r in rows)])
         self.sums = np.cumsum([0, *(r[3] for r in rows)])
-        self.pointers = [EliasFano({k[2:]: a for k, a in p.items() if k.startswith("p_")}) if "p_head" in p else None for p in self.parts]
+
+    def part(self, s: int) -> tuple:
+        """Arrays, keys and pointers of a shard."""
+        if s not in self.open:
+            p = {k: a for path in self.paths[s] for k, a in mapped(path).items()}
+            of = lambda mark: {k[2:]: a for k, a in p.items() if k.startswith(mark)}
+            self.open[s] = p, (EliasFano if "k_head" in p else BitSet)(of("k_")), EliasFano(of("p_")) if "p_head" in p else None
+        return self.open[s]
 
     def _each(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        if len(self.parts) == 1:
+        n = len(self.paths)
+        if n == 1:
             yield 0, np.flatnonzero(shard == 0)
             return
-        if len(self.parts) <= 8:  # a pass a shard costs less than sorting
-            yield from ((s, at) for s in range(len(self.parts)) if len(at := np.flatnonzero(shard == s)))
+        if n <= 8:  # a pass a shard costs less than sorting
+            yield from ((s, at) for s in range(n) if len(at := np.flatnonzero(shard == s)))
             return
-        order = np.argsort(shard.astype(np.int16) if len(self.parts) < 1 << 15 else shard, kind="stable")  # 16 bits: by counting
-        cuts = np.searchsorted(shard[order], np.arange(len(self.parts) + 1))
-        for s in range(len(self.parts)):
+        order = np.argsort(shard.astype(np.int16) if n < 1 << 15 else shard, kind="stable")  # 16 bits: by counting
+        cuts = np.searchsorted(shard[order], np.arange(n + 1))
+        for s in range(n):
             if cuts[s] < cuts[s + 1]:
                 yield s, order[cuts[s]:cuts[s + 1]]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key in the whole sequence, -1 where it is not."""
         out = np.full(len(keys), -1, np.int64)
-        if not self.parts or not len(keys):
+        if not self.paths or not len(keys):
             return out
-        shard = np.searchsorted(self.first, keys, side="right") - 1 if len(self.parts) > 1 else np.where(keys >= self.first[0], 0, -1)
+        shard = np.searchsorted(self.first, keys, side="right") - 1 if len(self.paths) > 1 else np.where(keys >= self.first[0], 0, -1)
         for s, at in self._each(shard):
-            i, hit = self.keys[s].successor(keys[at] - self.first[s])
+            i, hit = self.part(s)[1].successor(keys[at] - self.first[s])
             out[at] = np.where(hit, self.base[s] + i, -1)
         return out
 
@@ -118,51 +136,24 @@ class Shards:
     def counts(self, places: np.ndarray) -> np.ndarray:
         out = np.zeros(len(places), np.int64)
         for s, at, i in self._local(places):
-            p = self.parts[s]
-            c = p["c8"][i].astype(np.int64)
-            if len(big := np.flatnonzero(c == 255)):
-                c[big] = p["big_c"][np.searchsorted(p["big_at"], i[big])]
-            out[at] = c
+            out[at] = counts_at(self.part(s)[0], i)
         return out
 
     def numbers(self, places: np.ndarray, name: str) -> np.ndarray:
         out = np.zeros(len(places))
         for s, at, i in self._local(places):
-            out[at] = self.parts[s][f"{name}_of"][self.parts[s][f"{name}8"][i]]
+            p = self.part(s)[0]
+            out[at] = p[f"{name}_of"][p[f"{name}8"][i]]
         return out
 
     def begins(self, places: np.ndarray) -> np.ndarray:
         """Index of the first child."""
         out = np.zeros(len(places), np.int64)
         for s, at, i in self._local(places):
-            out[at] = self.sums[s] + self.pointers[s].values(i).astype(np.int64)
+            out[at] = self.sums[s] + self.part(s)[2].values(i).astype(np.int64)
         return out
 
 
-def shards(table: DataFrame, folder: str, name: str, rows: int, build, sparse: bool = True) -> list:
-    """Range-sorts (key, ...) and lets ``build(keys, columns)`` make each range's arrays; (path, first, entries, sum).
-    Keys that are not sparse are held as a set of bits."""
-    fields = [f.name for f in table.schema.fields]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        cols = {c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in got]) for c in fields}
-        keys = cols["key"].view(U64) ^ U64(1 << 63)
-        own = encode(keys - keys[0], int(keys[-1] - keys[0]) + 1) if sparse else encode_set(keys - keys[0])
-        arrays, total = build(keys, cols)
-        # keys are kept as they lie above the shard's first
-        path = save(folder, name, {f"k_{k}": a for k, a in own.items()} | arrays | {"first": keys[:1]})
-        yield pa.RecordBatch.from_pydict({"path": [path], "first": pa.array([int(keys[0]) - (1 << 63)], pa.int64()),
-                                          "n": pa.array([len(keys)], pa.int64()), "total": pa.array([int(total)], pa.int64())})
-
-    parts = max(1, -(-rows // SHARD))
-    ranged = table.repartitionByRange(parts, "key").sortWithinPartitions("key")
-    done = written(ranged.mapInArrow(run, "path string, first long, n long, total long"), f"lm-{name}")
-    return sorted(((r["path"], r["first"] + (1 << 63), r["n"], r["total"]) for r in done.collect()), key=lambda r: r[1])
-
-
 # ---------------------------------------------------------------- the trie
 
 class Trie:
@@ -266,22 +257,50 @@ def unplanes(b: bytes, n: int) -> tuple[np.ndarray, int]:
     return out.reshape(-1).view("<u8"), 1 + n * k
 
 
-def sums(rows: DataFrame, make, buckets: int, least: int, text: str = "text") -> DataFrame:
-    """Runs ``make(texts)`` -> keys over slices and counts the keys: (key, n) for those that came ``least`` times. A task
-    sums up by window and sends each bucket's sorted keys as steps from one to the next, in as few bytes as they need;
-    a key's bucket is a hash of it, so buckets are even whatever the words."""
+def signed(key: int) -> int:
+    return int(key) - (1 << 63)
+
+
+def unsigned(rows: list, *names: str) -> list[dict]:
+    """Rows of shards as dictionaries, their first keys unsigned again, in order."""
+    rows = [r.asDict() for r in rows]
+    for r in rows:
+        r.update({n: r[n] + (1 << 63) for n in names})
+    return sorted(rows, key=lambda r: r[names[0]])
+
+
+def range_bounds(sample: DataFrame, make, ranges: int, bits: int) -> np.ndarray:
+    """First parent of each range, such that ranges hold about as many distinct keys of the sampled texts each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [np.unique(make(texts)) for _, texts in text_slices(batches, SLICE)]
+        if kinds and len(keys := np.unique(np.concatenate(kinds))):
+            some = keys[np.linspace(0, len(keys) - 1, min(MARKS, len(keys))).astype(np.int64)]
+            yield pa.RecordBatch.from_pydict({"mark": [signed(k) for k in some.tolist()], "weight": [len(keys) / len(some)] * len(some)})
+
+    rows = sample.mapInArrow(run, "mark long, weight double").collect()  # MARKS a task
+    marks = np.array([r["mark"] + (1 << 63) for r in rows], U64)
+    order = np.argsort(marks, kind="stable")
+    weight = np.cumsum(np.array([r["weight"] for r in rows])[order])
+    if not len(marks):
+        return np.zeros(1, U64)
+    at = np.searchsorted(weight, weight[-1] * np.arange(1, ranges) / ranges)
+    return np.unique(np.concatenate([np.zeros(1, U64), marks[order][at] >> U64(bits) << U64(bits)]))
+
+
+def summed(rows: DataFrame, make, bounds: np.ndarray, finish, kind: str, name: str) -> list:
+    """Runs ``make(texts)`` -> keys over slices, counts the keys and gives every range's sorted keys and counts to
+    ``finish``, which returns one row about the files it has written, or none. A task sums up by window and sends each
+    range's keys as steps from one to the next, in as few bytes as they need."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
             key, n = np.unique(np.concatenate(held), return_counts=True)
-            bucket = (mix64(key) % U64(buckets)).astype(np.int32)
-            order = np.argsort(bucket.astype(np.int16) if buckets < 1 << 15 else bucket, kind="stable")
-            key, n, bucket = key[order], n[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            blobs = [len(k).to_bytes(8, "little") + planes(np.diff(k, prepend=U64(0))) + planes(c)
-                     for k, c in zip(np.split(key, cuts[1:]), np.split(n, cuts[1:]))] if len(key) else []
-            return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[cuts], pa.int32()), "blob": pa.array(blobs, pa.binary())})
+            cuts = np.append(np.searchsorted(key, bounds), len(key))
+            some = np.flatnonzero(np.diff(cuts))
+            blobs = [(int(cuts[i + 1] - cuts[i])).to_bytes(8, "little") + planes(np.diff(key[cuts[i]:cuts[i + 1]], prepend=U64(0)))
+                     + planes(n[cuts[i]:cuts[i + 1]]) for i in some]
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
         for _, texts in text_slices(batches, SLICE):
             held.append(make(texts))
@@ -300,14 +319,15 @@ def sums(rows: DataFrame, make, buckets: int, least: int, text: str = "text") ->
             keys.append(np.cumsum(steps, dtype=U64))
             counts.append(unplanes(b[8 + end:], n)[0].astype(np.int64))
         key, n = np.concatenate(keys), np.concatenate(counts)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key, kind="stable")  # merges the sorted runs
         key, n = key[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        n = np.add.reduceat(n, first)
-        key = key[first][n >= least]
-        return pa.table({"key": pa.array((key ^ U64(1 << 63)).view(np.int64)), "n": pa.array(n[n >= least])})
+        row = finish(key[first], np.add.reduceat(n, first))
+        return pa.table({f.split()[0]: [] if row is None else [row[f.split()[0]]] for f in kind.split(", ")}, schema=arrow_schema)
 
-    return pick(rows, text=text).mapInArrow(run, "bucket int, blob binary").groupBy("bucket").applyInArrow(merge, "key long, n long")
+    arrow_schema = pa.schema([(f.split()[0], pa.string() if f.endswith("string") else pa.int64()) for f in kind.split(", ")])
+    parts = rows.mapInArrow(run, "bucket int, blob binary").groupBy("bucket").applyInArrow(merge, kind)
+    return written(parts, name).collect()
 
 
 def train(rows: DataFrame, text: str = "text", order: int = ORDER, least: int = LEAST) -> dict:
@@ -316,19 +336,29 @@ def train(rows: DataFrame, text: str = "text", order: int = ORDER, least: int =
     spark = rows.sparkSession
     folder = scratch_path(spark, "lm-trie")
     rows = pick(rows, text=text)
-    buckets = max(64, rows.count() // BUCKET)
-    words = written(sums(rows, lambda texts: read_tokens(texts)[0], buckets, 1), "lm-word-counts")
-    total = words.agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("V")).first()
-    N, V = int(total["N"] or 0), int(total["V"])
-    model = {"name": folder, "N": N, "V": V, "bits": [], "nodes": [], "contexts": [], "discount": [], "least": least}
-    model["words"] = shards(words, folder, "words", V, lambda keys, cols: (small_counts(cols["n"]), cols["n"].sum()))
+    n_rows = rows.count()
+    ranges = max(1, n_rows // RANGE_ROWS)
+    sample = written(rows.where(F.pmod(F.xxhash64("text"), F.lit(max(1, n_rows // SAMPLE))) == 0), "lm-sample")
+    cores = spark.sparkContext.defaultParallelism
+
+    def word_shard(key: np.ndarray, n: np.ndarray) -> dict:
+        own = encode(key - key[0], int(key[-1] - key[0]) + 1)
+        path = save(folder, "words", {f"k_{x}": a for x, a in own.items()} | small_counts(n))
+        return {"path": path, "first": signed(key[0]), "n": len(key), "total": int(n.sum())}
+
+    # hashes are even by themselves
+    even = np.arange(ranges, dtype=U64) * U64(((1 << 64) - 1) // ranges)
+    words = unsigned(summed(rows, lambda texts: read_tokens(texts)[0], even, word_shard, "path string, first long, n long, total long", "lm-words"), "first")
+    N, V = sum(r["total"] for r in words), sum(r["n"] for r in words)
+    model = {"name": folder, "N": N, "V": V, "bits": [], "nodes": [], "contexts": [], "discount": [], "least": least,
+             "words": [([r["path"]], r["first"], r["n"], r["total"]) for r in words]}
     for k in range(order - 1 if V else 0):
         shared = spark.sparkContext.broadcast(dict(model))  # names of files only
         # the width of a word: its number, or from the third level on its place among its context's successors
         widest = V if k == 0 else model["most"]
         bits = max(1, int(widest).bit_length())
 
-        def keys_of(texts: list[str], k: int = k, bits: int = bits) -> np.ndarray:
+        def keys_of(texts: list[str], k: int = k, bits: int = bits, shared=shared) -> np.ndarray:
             trie = loaded(shared)
             flat, cuts = trie.read(texts)
             for level, (_, parent, word, able) in enumerate(trie.walk(flat, cuts, k + 1)):
@@ -336,38 +366,50 @@ def train(rows: DataFrame, text: str = "text", order: int = ORDER, least: int =
                     return parent[able].astype(U64) << U64(bits) | word[able].astype(U64)
             raise AssertionError
 
-        stats = F.struct(F.sum(F.when(F.col("n") == least, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("n") == least + 1, 1).otherwise(0)).alias("b"),
-                         F.count(F.lit(1)).alias("all"))
-        kept = written(sums(rows, keys_of, buckets, least), f"lm-level-{k}")
-        s = kept.agg(stats.alias("s")).first()["s"]
-        n = int(s["all"])
-        if not n:
-            break
-        discount = min(0.95, max(0.3, (s["a"] or 0) / ((s["a"] or 0) + 2.0 * (s["b"] or 0) or 1.0)))
-        mask = (1 << bits) - 1
-        # parents: keys without their word, still in the order of unsigned numbers
-        parent = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(1 << 63))), bits).bitwiseXOR(F.lit(-(1 << 63)))
-        ctx = written(kept.groupBy(parent.alias("key")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("children")), f"lm-contexts-{k}")
-        about = ctx.agg(F.count(F.lit(1)).alias("n"), F.max("children").alias("most")).first()
-
-        def totals(parents: np.ndarray) -> np.ndarray:
+        def node_shard(key: np.ndarray, n: np.ndarray, k: int = k, bits: int = bits, shared=shared) -> dict | None:
+            key, n = key[n >= least], n[n >= least]
+            if not len(key):
+                return None
+            parent = key >> U64(bits)
+            begin = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
+            children = np.diff(np.append(begin, len(key)))
             trie = loaded(shared)
-            return (trie.words if not trie.nodes else trie.nodes[-1]).counts(parents.astype(np.int64))
-
-        def node_arrays(keys: np.ndarray, cols: dict, bits: int = bits, discount: float = discount) -> tuple[dict, int]:
-            ratio = (cols["n"] - discount) / np.maximum(totals(keys >> U64(bits)), 1)
-            return small_counts(cols["n"]) | quantised(ratio, "ratio"), cols["n"].sum()
-
-        def context_arrays(keys: np.ndarray, cols: dict, discount: float = discount) -> tuple[dict, int]:
-            rest = 1 - (cols["n"] - discount * cols["children"]) / np.maximum(totals(keys), 1)
-            begin = np.cumsum(cols["children"]) - cols["children"]
-            pointers = encode(begin.astype(U64), int(begin[-1]) + 1)
-            return quantised(np.maximum(rest, 1e-6), "rest") | {f"p_{x}": a for x, a in pointers.items()}, cols["children"].sum()
-
-        nodes = shards(kept, folder, f"nodes{k}", n, node_arrays)
-        contexts = shards(ctx, folder, f"contexts{k}", int(about["n"]), context_arrays, sparse=False)
-        model |= {"name": f"{folder}#{k}", "bits": [*model["bits"], bits], "nodes": [*model["nodes"], nodes], "contexts": [*model["contexts"], contexts],
-                  "discount": [*model["discount"], discount], "most": max(int(about["most"]), model.get("most", 0))}
+            total = (trie.words if not trie.nodes else trie.nodes[-1]).counts(parent[begin].astype(np.int64))
+            own = encode(key - key[0], int(key[-1] - key[0]) + 1)
+            about = {f"k_{x}": a for x, a in encode_set(parent[begin] - parent[0]).items()}
+            return {"path": save(folder, f"nodes{k}", {f"k_{x}": a for x, a in own.items()} | small_counts(n)),
+                    "work": save(folder, f"work{k}", about | {"total": total.astype(np.uint32 if total.max() < 1 << 32 else np.int64),
+                                                              "children": children.astype(np.uint32)}),
+                    "first": signed(key[0]), "n": len(key), "total": int(n.sum()), "ones": int((n == least).sum()), "twos": int((n == least + 1).sum()),
+                    "parent": signed(parent[0]), "contexts": len(begin), "most": int(children.max())}
+
+        kind = "path string, work string, first long, n long, total long, ones long, twos long, parent long, contexts long, most long"
+        nodes = unsigned(summed(rows, keys_of, range_bounds(sample, keys_of, ranges, bits), node_shard, kind, f"lm-level-{k}"), "first", "parent")
+        if not nodes:
+            break
+        ones, twos = sum(r["ones"] for r in nodes), sum(r["twos"] for r in nodes)
+        discount = min(0.95, max(0.3, ones / (ones + 2.0 * twos or 1.0)))
+
+        def smoothed(batches: Iterator[pa.RecordBatch], k: int = k, discount: float = discount) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ratios, contexts = [], []
+                for path, work in zip(batch.column("path").to_pylist(), batch.column("work").to_pylist()):
+                    w = mapped(work)
+                    n, children, total = counts_at(mapped(path), slice(None)), w["children"].astype(np.int64), np.maximum(w["total"].astype(np.int64), 1)
+                    begin = np.cumsum(children) - children
+                    rest = 1 - (np.add.reduceat(n, begin) - discount * children) / total
+                    pointers = {f"p_{x}": a for x, a in encode(begin.astype(U64), int(begin[-1]) + 1).items()} if k == 0 else {}
+                    ratios.append(save(folder, f"ratios{k}", quantised((n - discount) / np.repeat(total, children), "ratio")))
+                    contexts.append(save(folder, f"contexts{k}", {x: a for x, a in w.items() if x.startswith("k_")} | quantised(np.maximum(rest, 1e-6), "rest") | pointers))
+                yield pa.RecordBatch.from_pydict({"path": batch.column("path"), "ratio": ratios, "context": contexts})
+
+        names = spark.createDataFrame([(r["path"], r["work"]) for r in nodes], "path string, work string")
+        made = written(names.repartition(min(len(nodes), 4 * cores)).mapInArrow(smoothed, "path string, ratio string, context string"), f"lm-smoothed-{k}")
+        added = {r["path"]: r for r in made.collect()}
+        model |= {"name": f"{folder}#{k}", "bits": [*model["bits"], bits], "discount": [*model["discount"], discount],
+                  "nodes": [*model["nodes"], [([r["path"], added[r["path"]]["ratio"]], r["first"], r["n"], r["total"]) for r in nodes]],
+                  "contexts": [*model["contexts"], [([added[r["path"]]["context"]], r["parent"], r["contexts"], r["n"]) for r in nodes]],
+                  "most": max(max(r["most"] for r in nodes), model.get("most", 0))}
     return model
 
 
