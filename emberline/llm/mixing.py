@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.common import WORD, as_documents, documents, pick, query, written
+from emberline.llm.common import DOCUMENT_COLUMNS, WORD, as_documents, documents, pick, query, written
 
 ROWS_PER_RANGE = 512
 WEIGHTS = (3, 1, 2)
@@ -86,12 +86,14 @@ def mixed_documents(df: DataFrame, **options) -> DataFrame:
     """The mix as rows: a document comes once per epoch that takes it, in full; the one document of a source in
     which the budget is reached comes in full as well if at least half of it is taken, else not, so texts stay
     whole and each source ends within half a document of its target."""
-    docs = as_documents(df)
-    parts = mix(docs, **options).where(F.col("taken") > 0).select(
-        F.col("doc_id").alias("_id"), F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int").alias("_n"))
-    parts = parts.where(F.col("_n") > 0).groupBy("_id").agg(F.max("_n").alias("_n"))
-    return docs.join(parts, F.col("doc_id").eqNullSafe(F.col("_id"))).select(
-        *docs.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).drop("_copy")
+    # rows are told apart by identifier, source and text; rows that agree in all of these share what they take evenly
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    docs = as_documents(df).withColumn("_row", F.struct("doc_id", "source", digest.alias("text")))
+    parts = mix(docs, key="_row", **options).where(F.col("taken") > 0).select(
+        "_row", F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int").alias("_n"))
+    parts = parts.groupBy("_row").agg(F.round(F.avg("_n")).cast("int").alias("_n")).where(F.col("_n") > 0)
+    return docs.join(parts, docs["_row"].eqNullSafe(parts["_row"])).select(
+        *DOCUMENT_COLUMNS, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).drop("_copy")
 
 
 ORACLE = r"""

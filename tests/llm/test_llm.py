@@ -115,7 +115,17 @@ def test_mix_meets_its_targets(spark, messy, empty):
     by = Counter()
     for r in rows:
         by[r["target"], r["source_size"]] += r["taken"]
+    assert all(abs(got - target) <= 1 for (target, _), got in by.items())
     assert mixing.mix(empty).count() == 0
+    rows = [(i // 2 if i < 20 else None, f"text number {i} " * (1 + i % 3), "en", "ab"[i % 2], i) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")  # identifiers repeat or are null
+    taken, size = Counter(), Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        taken[r["source"]] += len(r["text"].split())
+    for r in mixing.mix(docs).collect():
+        size[r["target"]] = r["source_size"]
+    for (target, _), source in zip(sorted(size.items()), sorted(taken, key=taken.get)):
+        assert abs(taken[source] - target) <= 9  # within one document
     rows = QUERIES["op2_mix_sources"](spark, SF_SMALL).collect()
     assert sorted(rows) == sorted(QUERIES["op2_mix_sources"](spark, SF_SMALL).collect())
     assert mixing.mixed_documents(empty).count() == 0 and mixing.mixed_documents(messy).columns == ["doc_id", "text", "lang", "source", "n_chars"]
@@ -258,6 +268,25 @@ def test_chat_messy(spark):
     assert chat_format.format_preferences(*(chat_format.turns(x.limit(0)).withColumnRenamed("conv", "pair") for x in (c, r))).count() == 0
 
 
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_every_reply_makes_a_pair(spark, messy, empty, ranges):
+    """Sparse identifiers, one conversation without a reply, turns beyond 2^31, rows that repeat, clashing columns."""
+    kinds = "conv_id long, turn long, role string, text string, Text string"
+    ids = [4, 8, 1 << 40, 90, 91, 200, -6]
+    rows = [(i, t, role, f"{role} {t} of {i}", "x") for i in ids for t, role in ((0, "user"), (1 << 33, "assistant"))]
+    rows += [(7, 0, "user", "no reply", ""), (None, 0, "assistant", "lost", ""), (4, 0, "user", "user 0 of 4", "x"), (8, 1 << 34, "user", "x" * 100_000, "")]
+    turns = chat_format.turns(spark.createDataFrame(rows, kinds))
+    out = chat_format.format_preferences(*chat_format.swapped_replies(turns, ranges)).collect()
+    order = sorted(ids)
+    assert sorted({r["pair"] for r in out}) == order
+    for i, n in zip(order, order[1:] + order[:1]):
+        said = {r["part"]: r["rendered"] for r in out if r["pair"] == i and r["role"] == "assistant"}
+        assert f"of {i}<" in said["chosen"] and f"of {n}<" in said["rejected"] and f"user 0 of {i}" in [r for r in out if r["pair"] == i and r["part"] == "prompt"][0]["rendered"]
+    one = chat_format.turns(spark.createDataFrame(rows[:2], kinds))
+    assert [r["part"] for r in chat_format.format_preferences(*chat_format.swapped_replies(one, ranges)).collect()] == ["prompt"] * 2
+    assert chat_format.format_preferences(*chat_format.swapped_replies(chat_format.turns(spark.createDataFrame([], kinds)), ranges)).count() == 0
+
+
 def test_elias_fano():
     rng = np.random.default_rng(0)
     for n, u in ((1, 1), (5, 1000), (1000, 1000), (20_000, 1 << 62), (3000, 4000)):
@@ -347,7 +376,11 @@ def test_line_dedup_messy(spark, messy, empty):
     assert len(out) == len(MESSY) and all(r["n_dropped"] == 0 for r in out)
     rows = [(i, f"h{i % 2}", f"menu\nown {i}\n\nmenu\r") for i in range(12)] + [(99, None, None), (100, "h0", "menu")]
     out = {r["key"]: r for r in line_dedup.clean(spark.createDataFrame(rows, "k long, h string, t string"), "k", "h", "t").collect()}
-    assert out[3]["text"] == "own 3\n" and out[3]["n_dropped"] == 2 and out[100]["text"] == "menu" and out[99]["n_lines"] == 1
+    assert out[3]["text"] == "own 3\n" and out[3]["n_dropped"] == 2 and out[100]["text"] == "" and out[100]["n_dropped"] == 1
+    assert out[99]["n_lines"] == 1 and out[99]["n_dropped"] == 0
+    few = [(1, "one", "menu\nown a"), (2, "two", "menu\nown b"), (3, "two", "menu\nown c"), (4, "two", "menu")]
+    out = {r["key"]: r["text"] for r in line_dedup.clean(spark.createDataFrame(few, "k long, h string, t string"), "k", "h", "t").collect()}
+    assert out == {1: "menu\nown a", 2: "own b", 3: "own c", 4: ""}  # a host of one page repeats nothing
     assert line_dedup.clean(empty, "doc_id", "source", "text").count() == 0
     assert line_dedup.clean_documents(messy).count() == len(MESSY)
 
