@@ -43,14 +43,8 @@ def vscale(a, s) -> Column:
     return F.transform(_c(a), lambda x: x * s)
 
 
-def lerp(a, b, u) -> Column:
-    """a + u * (b - a), elementwise."""
-    u = F.lit(u) if isinstance(u, (int, float)) else _c(u)
-    return F.zip_with(_c(a), _c(b), lambda x, y: x + u * (y - x))
-
-
 def lerp_n(a, b, u, d: int) -> Column:
-    """:func:`lerp` for a known dimension as element arithmetic (whole-stage codegen)."""
+    """a + u * (b - a) for a known dimension as element arithmetic (whole-stage codegen)."""
     a, b = _c(a), _c(b)
     u = F.lit(u) if isinstance(u, (int, float)) else _c(u)
     return F.array(*[a[i] + u * (b[i] - a[i]) for i in range(d)])

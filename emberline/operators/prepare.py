@@ -48,11 +48,6 @@ def train_test(df: DataFrame, key: str | Sequence[str], train_fraction: float =
             s.where(F.col("_split") == "test").drop("_split"))
 
 
-def random_split(df: DataFrame, weights: Sequence[float], seed: int = 42) -> list[DataFrame]:
-    """Spark's own ``randomSplit`` (kept as an option; not stable under re-partitioning)."""
-    return df.randomSplit(list(weights), seed)
-
-
 def kfold_assign(df: DataFrame, key: str | Sequence[str], k: int = 5, seed: str = "fold",
                  col: str = "fold") -> DataFrame:
     """Add ``fold`` in [0, k): k equal-probability folds from a draw of the row key."""
@@ -71,11 +66,6 @@ def kfold_train_counts(df_with_fold: DataFrame, fold_col: str = "fold") -> DataF
         F.col(fold_col).alias("fold"), (F.col("_tot") - F.col("n_valid")).alias("n_train"), "n_valid")
 
 
-def leave_fold_out(df_with_fold: DataFrame, k: int, fold_col: str = "fold") -> DataFrame:
-    """Training rows of fold ``k``: every row whose fold differs (a filter, not a union)."""
-    return df_with_fold.where(F.col(fold_col) != k)
-
-
 def union_folds(frames: Sequence[DataFrame]) -> DataFrame:
     """UNION ALL of frames by column name (the reference's ``reduce(_ union _)``)."""
     return reduce(lambda a, b: a.unionByName(b), frames)

@@ -23,8 +23,9 @@ from ..operators import oversample as O
 from ..operators import prepare as P
 from ..operators import search_stats as H
 from ..schema import PROPS_SCHEMA, READING_CSV_SCHEMA, READING_FEATURES, READING_KEY
-from ..session import read_table, scratch_path
+from ..session import read_table, scratch_path, stored
 from ..sources import files as io
+from . import models as E
 
 R = 9  # digits kept for computed doubles
 RM = 10  # digits kept for metric ratios and areas
@@ -195,7 +196,7 @@ def _scaled_sql(where: str) -> str:
 def q_standardize(spark, sf):
     """Scaler fitted on the training split, applied to every row (the readings are read by the
     fit pass and the transform pass, so they are materialised once)."""
-    r = fx.readings(spark, sf).checkpoint(eager=True)
+    r = stored(fx.readings(spark, sf), "readings")
     train, _ = P.train_test(r, READING_KEY, TRAIN_FRACTION)
     s = feat.standardize(r, FEATS, fit_on=train, output_col="z", as_array=True)
     return _long(s, READING_KEY, "z")
@@ -204,7 +205,7 @@ def q_standardize(spark, sf):
 @register("standardize_self", _scaled_sql(""))
 def q_standardize_self(spark, sf):
     """D3: scaler fitted on the frame it transforms (the reference's processData)."""
-    r = fx.readings(spark, sf).checkpoint(eager=True)
+    r = stored(fx.readings(spark, sf), "readings")
     s = feat.standardize(r, FEATS, fit_on=None, output_col="z", as_array=True)
     return _long(s, READING_KEY, "z")
 
@@ -443,8 +444,9 @@ def q_cv_reduce(spark, sf):
                                     F.col("pred").cast("double").alias("prediction"))
     s = P.kfold_assign(s, "id", FOLDS)
     per_fold = M.f_by_label(s, METRIC_LABEL, group_cols=["fold"]).select("fold", F.col("f1").alias("metric"))
-    return per_fold.agg(_r(F.avg("metric"), RM).alias("avg_metric"), _r(F.max("metric"), RM).alias("max_metric"),
-                        F.count(F.lit(1)).alias("n_folds"))
+    per_fold = stored(per_fold, "fold-metrics")
+    one = [E.cv_reduce(per_fold, how).select(_r(F.col("metric"), RM).alias(f"{how}_metric")) for how in ("avg", "max")]
+    return one[0].crossJoin(one[1]).crossJoin(per_fold.agg(F.count(F.lit(1)).alias("n_folds")))  # one row each
 
 
 # ============================================================ F15-F17, H2-H4: search history

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
+from ..functions.hashing import sql_hash01
 from ..operators import metrics as M
 from ..operators import prepare as P
 from ..schema import READING_FEATURES, READING_JSON_SCHEMA, READING_KEY
@@ -204,3 +205,26 @@ def q_stream_alerts(spark, sf):
 def q_stream_rescale_batches(spark, sf):
     """D4/B6 on the stream: compat per-micro-batch scaling through foreachBatch."""
     return _stream(spark, sf, alerts_only=False, rescale=True)
+
+
+# fixed value: every so many readings are sent as a line that breaks off
+TORN_EVERY = 17
+_H_SPLIT = sql_hash01("split", "o_orderkey")
+
+
+@register("stream_sinks", fx.with_sql(f"""SELECT o_orderkey, CASE WHEN o_orderkey % {TORN_EVERY} = 0 THEN 'broken' ELSE 'scored' END AS sink
+FROM r WHERE {_H_SPLIT} >= {TRAIN_FRACTION}""", r=fx.READINGS_SQL))
+def q_stream_sinks(spark, sf):
+    """The test readings as lines of growing files, some of them broken off, through the line source into the raw, scored
+    and broken-line sinks; which sink each reading's line has reached, read from committed epochs."""
+    train, test = _split(spark, sf)
+    model = _fit(train)
+    line = F.to_json(F.struct(READING_KEY, *FEATS, "label"))
+    torn = F.when(F.col(READING_KEY) % TORN_EVERY == 0, F.substring(line, 1, 30)).otherwise(line)
+    source, root = scratch_path(spark, "lines"), scratch_path(spark, "sinks")
+    test.select(torn.alias("value")).write.text(source)
+    stream = S.json_line_stream(spark, source, READING_JSON_SCHEMA, "growing_lines", corrupt_col="_corrupt")
+    S.start_sinks(stream, model, FEATS, [READING_KEY], "_corrupt", root, scratch_path(spark, "sinks-ckpt"), available_now=True).awaitTermination()
+    key = F.regexp_extract("_corrupt", f'"{READING_KEY}":([0-9]+)', 1).cast("long")
+    return S.committed(spark, root, "scored").select(READING_KEY, F.lit("scored").alias("sink")).unionByName(
+        S.committed(spark, root, "broken").select(key.alias(READING_KEY), F.lit("broken").alias("sink")))

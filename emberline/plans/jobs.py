@@ -5,7 +5,9 @@
                 reference's test-frame rescaling);
 * ``v3``      : manual k-fold with SMOTE inside the folds, best fold's model, report, save the model;
 * ``search``  : population search over the forest size, history written as JSON lines;
-* ``stream``  : score JSON reading lines with a saved model (3-second trigger), alerts to a sink.
+* ``v2``      : SMOTE on the scaled training rows, CV of 112 trees, report;
+* ``score``   : score a CSV of readings with a saved model;
+* ``stream``  : score JSON reading lines with a saved model (3-second trigger): raw, scored (alerts) and broken-line sinks.
 
 Run as ``python -m emberline.plans.jobs <job> ...``; every job also exists as a function.
 """
@@ -18,11 +20,12 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import metrics as M
 from ..operators import prepare as P
-from ..session import stored
 from ..schema import SENSOR_DROP, SENSOR_LABEL, SENSOR_SCHEMA
+from ..session import stored
 from ..sources import files as io
 from ..streaming import scoring as S
 from . import models as E
@@ -75,33 +78,55 @@ def run_search(spark: SparkSession, train_path: str, out: str, n_agents: int = 2
     return history
 
 
-def run_stream(spark: SparkSession, model_path: str, source: str, sink: str, checkpoint: str,
-               alerts_only: bool = True, available_now: bool = False):
+def run_v2(spark: SparkSession, train_path: str, test_path: str, n_trees: int = E.SAMPLE_TREES, model_out: str | None = None) -> DataFrame:
+    train = stored(load_sensor_csv(spark, train_path), "train")
+    best, pred, _ = E.train_oversampled(train, load_sensor_csv(spark, test_path), sensor_features(train), KEY, n_trees)
+    if model_out:
+        io.save_model(best, model_out)
+    return M.evaluate_report(pred, "score", "label", "prediction")
+
+
+def run_score(spark: SparkSession, model_path: str, source: str, out: str) -> DataFrame:
+    """Score a table of readings with a saved model: (index, prediction, score, label) as Parquet."""
+    E.score_batch(io.load_model(model_path), load_sensor_csv(spark, source), keep=[KEY]).write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
+
+
+def run_stream(spark: SparkSession, model_path: str, source: str | None, sink: str, checkpoint: str, alerts_only: bool = True,
+               available_now: bool = False, fmt: str = "json", sink_format: str = "parquet", **options):
+    """Scores reading lines. With the Parquet sink every batch goes to ``sink``/raw, /scored and /broken, committed together, so broken
+    lines are kept and never stop the job; ``sink_format="console"`` prints the scored good lines instead. ``fmt`` and
+    ``options``: any line source (json files, growing_lines, socket, kafka)."""
     model = io.load_model(model_path)
     features = list(model.stages[0].getInputCols())
-    from pyspark.sql import types as T
-
-    schema = T.StructType([T.StructField(KEY, T.LongType())] +
-                          [f for f in SENSOR_SCHEMA.fields if f.name in features])
-    stream = S.json_line_stream(spark, source, schema)
-    return S.start(S.score_stream(stream, model, [KEY], alerts_only), sink, checkpoint,
-                   available_now=available_now)
+    schema = T.StructType([T.StructField(KEY, T.LongType())] + [f for f in SENSOR_SCHEMA.fields if f.name in features])
+    stream = S.json_line_stream(spark, source, schema, fmt, corrupt_col="_corrupt", **options)
+    if sink_format != "console":
+        return S.start_sinks(stream, model, features, [KEY], "_corrupt", sink, checkpoint, alerts_only, available_now)
+    good = stream.where(F.col("_corrupt").isNull()).dropna(subset=features).drop("_corrupt")
+    return S.start(S.score_stream(good, model, [KEY], alerts_only), sink, checkpoint, "console", available_now=available_now)
 
 
 def main(argv: Sequence[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="emberline")
     sub = ap.add_subparsers(dest="job", required=True)
     a = sub.add_parser("split"); a.add_argument("src"); a.add_argument("train_out"); a.add_argument("test_out")
-    for name in ("v1", "v3"):
+    for name in ("v1", "v2", "v3"):
         b = sub.add_parser(name); b.add_argument("train"); b.add_argument("test")
-        b.add_argument("--trees", type=int, default=20)
-        if name == "v1":
+        b.add_argument("--trees", type=int, default=E.SAMPLE_TREES if name == "v2" else 20)
+        if name == "v2":
+            b.add_argument("--model-out")
+        elif name == "v1":
             b.add_argument("--rescale", default="train", choices=["train", "self"])
         else:
             b.add_argument("--no-sample", action="store_true"); b.add_argument("--model-out")
     c = sub.add_parser("search"); c.add_argument("train"); c.add_argument("out")
     c.add_argument("--agents", type=int, default=20); c.add_argument("--iterations", type=int, default=5)
-    d = sub.add_parser("stream"); d.add_argument("model"); d.add_argument("source"); d.add_argument("sink")
+    c.add_argument("--log")
+    e = sub.add_parser("score"); e.add_argument("model"); e.add_argument("source"); e.add_argument("out")
+    d = sub.add_parser("stream"); d.add_argument("--format", default="json"); d.add_argument("--console", action="store_true")
+    d.add_argument("--option", action="append", default=[], help="name=value for the source")
+    d.add_argument("model"); d.add_argument("source"); d.add_argument("sink")
     d.add_argument("checkpoint"); d.add_argument("--all-rows", action="store_true")
     args = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"emberline-{args.job}").getOrCreate()
@@ -111,15 +136,19 @@ def main(argv: Sequence[str] | None = None) -> None:
     ship_package(spark)
     if args.job == "split":
         split(spark, args.src, args.train_out, args.test_out)
-    elif args.job in ("v1", "v3"):
+    elif args.job in ("v1", "v2", "v3"):
         rep = (run_v1(spark, args.train, args.test, args.trees, args.rescale) if args.job == "v1"
+               else run_v2(spark, args.train, args.test, args.trees, args.model_out) if args.job == "v2"
                else run_v3(spark, args.train, args.test, args.trees, not args.no_sample, args.model_out))
         for r in rep.collect():  # the report is a handful of rows
             print(json.dumps(r.asDict()))
     elif args.job == "search":
-        run_search(spark, args.train, args.out, args.agents, args.iterations)
+        run_search(spark, args.train, args.out, args.agents, args.iterations, log=args.log)
+    elif args.job == "score":
+        run_score(spark, args.model, args.source, args.out)
     else:
-        run_stream(spark, args.model, args.source, args.sink, args.checkpoint, not args.all_rows).awaitTermination()
+        run_stream(spark, args.model, args.source, args.sink, args.checkpoint, not args.all_rows, fmt=args.format,
+                   sink_format="console" if args.console else "parquet", **dict(o.split("=", 1) for o in args.option)).awaitTermination()
 
 
 if __name__ == "__main__":

@@ -18,12 +18,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.features import scaling_model
 from ..operators.prepare import score_extract
+from ..sources.growing_lines import register as register_lines
 
 
 def json_line_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json",
                      max_files_per_trigger: int | None = None, corrupt_col: str | None = None, **options) -> DataFrame:
-    """A4: JSON-lines stream with a declared schema. ``fmt="socket"``/``"kafka"`` read a ``value``
-    text column that is parsed with the same schema. With ``corrupt_col`` a line that does not parse is
+    """A4: JSON-lines stream with a declared schema. ``fmt="growing_lines"`` (files that are appended to),
+    ``"socket"`` and ``"kafka"`` read a ``value`` text column that is parsed with the same schema. With ``corrupt_col`` a line that does not parse is
     kept there as text (its other columns are null), for ``start_split``."""
     if corrupt_col:
         schema = T.StructType([*schema.fields, T.StructField(corrupt_col, T.StringType(), True)])
@@ -34,6 +35,10 @@ def json_line_stream(spark: SparkSession, path: str, schema: T.StructType, fmt:
             r = r.option("maxFilesPerTrigger", max_files_per_trigger)
         return r.json(path)
     parse = {k: options.pop(k) for k in ("columnNameOfCorruptRecord",) if k in options}
+    if fmt == "growing_lines":
+        register_lines(spark)
+    if path:
+        options["path"] = path
     raw = spark.readStream.format(fmt).options(**options).load()
     return raw.select(F.from_json(F.col("value").cast("string"), schema, parse).alias("_j")).select("_j.*")
 
@@ -61,6 +66,40 @@ def start_split(stream: DataFrame, model: PipelineModel, input_cols: Sequence[st
     return w.start()
 
 
+SINKS = ("raw", "scored", "broken")
+
+
+def start_sinks(stream: DataFrame, model: PipelineModel, input_cols: Sequence[str], keep: Sequence[str], corrupt_col: str, root: str,
+                checkpoint: str, alerts_only: bool = False, available_now: bool = False, processing_time: str = "3 seconds") -> StreamingQuery:
+    """Every micro-batch goes to three sinks below ``root``: ``raw`` as it came, ``scored`` the scored good lines (or the
+    alerts among them), ``broken`` lines that did not parse or lack a feature. Each writes one folder an epoch; the epoch's row in
+    ``epochs`` comes last and commits all three together. A batch that is run again overwrites its folders, and ``committed`` reads
+    committed epochs only, so readers see every line once in every sink whatever happened in between."""
+    def per_batch(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()
+        try:
+            whole = F.col(corrupt_col).isNull()
+            for c in input_cols:
+                whole = whole & F.col(c).isNotNull()
+            parts = {"raw": batch, "scored": score_stream(batch.where(whole).drop(corrupt_col), model, keep, alerts_only), "broken": batch.where(~whole)}
+            for name in SINKS:
+                parts[name].write.mode("overwrite").parquet(f"{root}/{name}/epoch={epoch}")
+            about = batch.agg(F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum((~whole).cast("long")), F.lit(0)).alias("broken"))
+            about.coalesce(1).write.mode("overwrite").parquet(f"{root}/epochs/epoch={epoch}")
+        finally:
+            batch.unpersist()
+
+    w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
+    return w.start()
+
+
+def committed(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """One sink's rows of all committed epochs, with the epoch."""
+    epochs = spark.read.parquet(f"{root}/epochs").select("epoch").distinct()
+    return spark.read.parquet(f"{root}/{name}").join(epochs, "epoch", "left_semi")
+
+
 def score_stream(stream: DataFrame, model: PipelineModel, keep: Sequence[str], alerts_only: bool = False) -> DataFrame:
     """Parse -> score -> (optional) alert filter ``prediction = 1``. Stateless, so it runs as a
     plain streaming projection (no per-batch driver work)."""
@@ -70,10 +109,11 @@ def score_stream(stream: DataFrame, model: PipelineModel, keep: Sequence[str], a
 
 def start(scored: DataFrame, sink_path: str, checkpoint: str, fmt: str = "parquet",
           processing_time: str | None = "3 seconds", available_now: bool = False) -> StreamingQuery:
-    """Start the query with a 3-second processing-time trigger (or ``availableNow`` in tests)."""
+    """Start the query with a 3-second processing-time trigger (or ``availableNow`` in tests). ``fmt`` is any sink of the
+    caller's; ``"console"`` prints every batch and takes no path (A9)."""
     w = scored.writeStream.format(fmt).option("checkpointLocation", checkpoint).outputMode("append")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
-    return w.start(sink_path)
+    return w.start() if fmt == "console" else w.start(sink_path)
 
 
 def rescale_batches(stream: DataFrame, model: PipelineModel, input_cols: Sequence[str], keep: Sequence[str],
