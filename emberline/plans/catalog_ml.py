@@ -160,16 +160,16 @@ def q_search_summary(spark, sf):
     return H1.result_lines(*H1.population_search(train, FEATS, READING_KEY))
 
 
-@register("tree_walk", fx.with_sql("SELECT o_orderkey, TRUE AS agrees FROM r", r=fx.READINGS_SQL))
+@register("tree_walk", fx.with_sql("SELECT o_orderkey, CAST(1 AS INTEGER) AS agrees FROM r", r=fx.READINGS_SQL))
 def q_tree_walk(spark, sf):
-    """Every reading scored by expressions over the exported node table; whether prediction and score are the model's."""
+    """Every reading scored by expressions over the exported node table; 1 where prediction and score are the model's."""
     train, _ = _split(spark, sf)
     model = _fit(train)
     rows = model.transform(fx.readings(spark, sf)).select(
         READING_KEY, vector_to_array("features").alias("fx"), F.col("prediction").alias("model_prediction"), vector_to_array("probability")[1].alias("model_score"))
     walked = TR.walk_scores(rows, F.col("fx"), TR.node_table(model.stages[-1]))
     same = (F.col("prediction") == F.col("model_prediction")) & (F.abs(F.col("score") - F.col("model_score")) < 1e-12)
-    return walked.select(READING_KEY, same.alias("agrees"))
+    return walked.select(READING_KEY, same.cast("int").alias("agrees"))
 
 
 def _stream(spark, sf, alerts_only: bool, rescale: bool = False) -> DataFrame:
