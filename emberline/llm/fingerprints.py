@@ -4,33 +4,37 @@ Terms are pairs of neighbouring lower-cased words (a text of one word has that w
 share of equal samples in two fingerprints estimates their generalised Jaccard similarity.
 
 ``with_edits`` also fingerprints, for each document, its text with the last half replaced by the beginning of the next
-document in ascending order of the key. The order is cut into ranges at quantiles of the key; a range's first document
-is also dealt to the range before it (the very first one to the last range), so no task needs more than its range and
-the text crosses the network once.
+document in ascending order of the key. Spark's range partitioning puts the rows in order; a task streams through its
+range and looks one row ahead, so it holds a few batches whatever the range holds. Only the last row of a range lacks its
+next document: it is written aside with the number of its range, as is the first text of each range, and the two are
+joined by range number (two rows a range). The text crosses the network once and the work is linear in the rows.
 
 Defined results: null text is empty; two empty fingerprints are alike (1), an empty and another are not (0); rows that
-repeat a key are ordered by text; rows without a key stand in no order, so they have no edited text (nulls); with a
-single document its next document is itself; an empty table gives none.
+repeat a key are ordered by a hash of their text, then by text (so a repeated key is no single range); rows without a
+key stand in no order, so they have no edited text (nulls) and are not shuffled; with a single document its next
+document is itself; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.llm import icws
 from emberline.llm.word_hashes import mix64
-from emberline.llm.common import Growing, Numbering, documents, pick, query
+from emberline.llm.common import Growing, Numbering, documents, pick, query, text_slices, written
 
 SAMPLES = 64
 SEED = 3
-ROWS_PER_RANGE = 256
+ROWS_PER_RANGE = 65_536
+CHARS_PER_RANGE = 16_000_000
 _SECOND = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -82,56 +86,84 @@ def edited(text: str, after: str) -> str:
     return text[:len(text) - half] + after[:half]
 
 
-def with_edits(df: DataFrame, key: str = "doc_id", text: str = "text", samples: int = SAMPLES, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+MEASURES = {"n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(),
+            "near_edited": pa.float64(), "near_next": pa.float64()}
+
+
+def measured(keys: pa.Array, texts: list[str], after: list[str] | None, draws: icws.Sampler, terms: Terms) -> Iterator[pa.RecordBatch]:
+    """key and MEASURES of the texts, each followed by its text in ``after`` (None: by none)."""
+    def hexes(prints: np.ndarray) -> list[str]:
+        return [x.astype(">u2").tobytes().hex() for x in prints]
+
+    for lo in range(0, len(texts), 32):
+        t = texts[lo:lo + 32]
+        if after is None:
+            parts = [[None] * len(t), hexes(fingerprint(t, terms, draws)), *([[None] * len(t)] * 3)]
+        else:
+            nxt = after[lo:lo + 32]
+            e = [edited(x, y) for x, y in zip(t, nxt)]
+            a, b, c = (fingerprint(x, terms, draws) for x in (t, e, nxt[-1:]))
+            c = np.concatenate([a[1:], c]) if nxt[:-1] == t[1:] else fingerprint(nxt, terms, draws)
+            parts = [[hashlib.sha256(x.encode()).hexdigest() for x in e], hexes(a), hexes(b), alike(a, b).tolist(), alike(a, c).tolist()]
+        cols = [pa.array(x, kind) for x, kind in zip([[len(x) for x in t], *parts], MEASURES.values())]
+        yield pa.RecordBatch.from_arrays([keys.slice(lo, len(t)), *cols], names=["key", *MEASURES])
+
+
+def with_edits(df: DataFrame, key: str = "doc_id", text: str = "text", samples: int = SAMPLES, rows_per_range: int = ROWS_PER_RANGE,
+               chars_per_range: int = CHARS_PER_RANGE) -> DataFrame:
     """key, n_chars, edited_sha256, fingerprint, edited_fingerprint (hex), near_edited, near_next."""
     rows = pick(df, key=key, text=text).withColumn("text", F.coalesce("text", F.lit("")))
-    n = rows.where(F.col("key").isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).first()
-    steps = max(1, -(-n["n"] // rows_per_range))
-    cuts = rows.agg(F.percentile_approx("key", [i / steps for i in range(1, steps)], max(10_000, 20 * steps)).alias("b")).first()[0] if steps > 1 else []
-    bounds = sorted({b for b in cuts or [] if b > n["least"]})  # each the first key of its range
-    table = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<long>")
-    where = F.size(F.filter(table, lambda b: b <= F.col("key"))) if bounds else F.lit(0)
-    last = len(bounds)
-    ahead = F.when(F.col("key") == n["least"], F.lit(last)).when(F.array_contains(table, F.col("key")), F.col("range") - 1)
-    placed = rows.withColumn("range", F.when(F.col("key").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(max(1, last)))).otherwise(where).cast("int"))
-    dealt = placed.select("key", "text", F.explode(F.filter(F.array(
-        F.struct("range", F.lit(False).alias("ahead")),
-        F.struct(F.when(F.col("key").isNotNull(), ahead).cast("int").alias("range"), F.lit(True).alias("ahead"))),
-        lambda x: x["range"].isNotNull())).alias("to")).select("key", "text", "to.range", "to.ahead")
+    known, order = rows.where(F.col("key").isNotNull()), ("key", "draw", "text")
+    n = known.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    ranges = max(1, -(-n["rows"] // rows_per_range), -(-n["chars"] // chars_per_range))
     kind = rows.schema["key"].dataType.simpleString()
-    names = ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-
-    def run(table: pa.Table) -> pa.Table:
-        own = table.filter(pa.compute.invert(table.column("ahead")))
-        ordered = own.sort_by([("key", "ascending"), ("text", "ascending")])
-        keys, texts = ordered.column("key"), ordered.column("text").to_pylist()
-        tail = sorted(zip(*(table.filter(table.column("ahead")).column(c).to_pylist() for c in ("key", "text"))))
-        known = len(texts) > 0 and table.column("range")[0].as_py() >= 0
-        after = [*texts[1:], *([tail[0][1]] if tail else texts[:1])] if known else []
-        draws, terms = icws.Sampler(samples, SEED), Terms()
-        cols: list[list] = [[] for _ in names[1:]]
-        for lo in range(0, len(texts), 32):
-            t = texts[lo:lo + 32]
-            a = fingerprint(t, terms, draws)
-            hexes = [x.astype(">u2").tobytes().hex() for x in a]
-            none = [None] * len(t)
-            if known:
-                nxt = after[lo:lo + 32]
-                e = [edited(x, y) for x, y in zip(t, nxt)]
-                b = fingerprint(e, terms, draws)
-                c = np.concatenate([a[1:], fingerprint(nxt[-1:], terms, draws)])
-                parts = [[hashlib.sha256(x.encode()).hexdigest() for x in e], hexes, [x.astype(">u2").tobytes().hex() for x in b],
-                         alike(a, b).tolist(), alike(a, c).tolist()]
+    schema = f"key {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, draws, terms = TaskContext.get().partitionId(), icws.Sampler(samples, SEED), Terms()
+        held: tuple[pa.Array, str] | None = None  # the last row so far: its next document is yet to come
+
+        def out(done: pa.RecordBatch, head: str | None = None, last: str | None = None) -> pa.RecordBatch:
+            more = [[part] * len(done), [head] * len(done), [last] * len(done)]
+            return pa.RecordBatch.from_arrays([*done.columns, *(pa.array(c, k) for c, k in zip(more, (pa.int32(), pa.string(), pa.string())))],
+                                              names=["key", *MEASURES, "part", "head", "last"])
+
+        def edge(at: pa.Array, **texts: str) -> pa.RecordBatch:
+            return out(pa.RecordBatch.from_arrays([at, *(pa.nulls(1, k) for k in MEASURES.values())], names=["key", *MEASURES]), **texts)
+
+        for batch, texts in text_slices(batches):
+            keys = batch.column("key")
+            if held is None:
+                yield edge(keys.slice(0, 1), head=texts[0])
             else:
-                parts = [none, hexes, none, none, none]
-            for col, x in zip(cols, [[len(x) for x in t], *parts]):
-                col.extend(x)
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        return pa.table([keys, *(pa.array(c, k) for c, k in zip(cols, kinds))], names=names)
-
-    out = dealt.groupBy("range").applyInArrow(run, f"key {kind}, n_chars long, edited_sha256 string, fingerprint string, "
-                                                   "edited_fingerprint string, near_edited double, near_next double")
-    return out.withColumnRenamed("key", key)
+                keys, texts = pa.concat_arrays([held[0], keys]), [held[1], *texts]
+            for done in measured(keys.slice(0, len(texts) - 1), texts[:-1], texts[1:], draws, terms):
+                yield out(done)
+            held = keys.slice(len(texts) - 1), texts[-1]
+        if held is not None:
+            yield edge(held[0], last=held[1])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draws, terms = icws.Sampler(samples, SEED), Terms()
+        for batch in batches:
+            yield from measured(batch.column("key"), batch.column("text").to_pylist(), batch.column("head").to_pylist(), draws, terms)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draws, terms = icws.Sampler(samples, SEED), Terms()
+        for batch, texts in text_slices(batches):
+            yield from measured(batch.column("key"), texts, None, draws, terms)
+
+    ordered = known.withColumn("draw", F.xxhash64("text")).repartitionByRange(ranges, "key", "draw").sortWithinPartitions(*order)
+    done = written(ordered.mapInArrow(stream, f"{schema}, part int, head string, last string"), "fingerprints")
+    heads = done.where(F.col("head").isNotNull()).select(F.col("part").alias("follower"), "head")
+    whole = Window.orderBy("part")  # a number a range
+    numbers = done.where(F.col("last").isNotNull()).select("part").withColumn("follower", F.coalesce(
+        F.lead("part").over(whole), F.min("part").over(whole)))
+    lasts = done.where(F.col("last").isNotNull()).select("part", "key", F.col("last").alias("text"))
+    tails = lasts.join(numbers, "part").join(heads, "follower").select("key", "text", "head").mapInArrow(joined, schema)
+    rest = rows.where(F.col("key").isNull()).mapInArrow(alone, schema)
+    inner = done.where(F.col("n_chars").isNotNull()).select("key", *MEASURES)
+    return inner.unionByName(tails).unionByName(rest).withColumnRenamed("key", key)
 
 
 @query("op3_fingerprints")

@@ -154,6 +154,20 @@ def test_fingerprints(spark, messy, empty):
     out = fingerprints.with_edits(messy).collect()
     assert len(out) == len(MESSY) and [r["near_next"] for r in out if r["doc_id"] is None] == [None]
     assert fingerprints.with_edits(empty).count() == 0
+    one = fingerprints.with_edits(messy.where("doc_id = 9")).first()
+    assert one["near_next"] == 1.0 and one["fingerprint"]  # the only document follows itself
+
+
+def test_fingerprints_of_a_hot_key(spark):
+    """A third of the rows share a key: they are cut into ranges by their texts, and each has the next row's text."""
+    rows = [(i, f"text {i} of many words {i * 7}") for i in range(200)] + [(77, f"other text {i}") for i in range(100)] + [(None, "no key")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few, many = (fingerprints.with_edits(df, rows_per_range=n).orderBy("doc_id", "n_chars", "edited_sha256", "fingerprint").collect() for n in (10_000, 7))
+    assert few == many and len(few) == len(rows)
+    ordered = df.where("doc_id is not null").orderBy("doc_id", F.xxhash64("text"), "text").collect()
+    want = sorted((a["doc_id"], sha(fingerprints.edited(a["text"], b["text"]))) for a, b in zip(ordered, ordered[1:] + ordered[:1]))
+    assert sorted((r["doc_id"], r["edited_sha256"]) for r in many if r["doc_id"] is not None) == want
+    assert {r["edited_sha256"] for r in many if r["doc_id"] is None} == {None}
 
 
 def plain(text):
