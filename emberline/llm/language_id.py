@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import as_documents, crc_mod, documents, pick, query, text_slices
+from emberline.llm.common import as_documents, crc_mod, documents, pick, query, text_slices, written
 
 BITS = 14
 BUCKETS = 1 << BITS
@@ -119,7 +119,8 @@ def fit(train: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     """Languages, idf, weights and temperature. ``sample`` bounds the rows that the classifier sees; document
     frequencies cover every row."""
     rows = pick(train, key=key, text=text, label=label).where(F.col("label").isNotNull())
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("key").cast("string"), F.lit("~")))), 1, 12), 16, 10).cast("double") / float(16 ** 12)
+    draw = F.conv(F.substring(F.md5(F.concat(
+        F.lit(f"{SEED}:"), F.coalesce(F.col("key").cast("string"), F.lit("~")), F.lit(":"), F.xxhash64("text").cast("string"))), 1, 12), 16, 10).cast("double") / float(16 ** 12)
     n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n:
         return {"languages": [], "idf": np.ones(BUCKETS), "weights": np.zeros((0, BUCKETS)), "temperature": 1.0}
@@ -148,17 +149,17 @@ def fit(train: DataFrame, key: str = "doc_id", text: str = "text", label: str =
         at = np.flatnonzero(df)
         yield out("df", None, float(docs), at, df[at])
 
-    got = sampled.mapInArrow(gather, "kind string, label string, draw double, at array<int>, n array<int>").toArrow()
-    kinds, labels, draws = (got.column(c).to_pylist() for c in ("kind", "label", "draw"))
-    total, df, rows_at = 0.0, np.zeros(BUCKETS), []
-    at_col, n_col = got.column("at"), got.column("n")
-    for i, kind in enumerate(kinds):
-        at, k = at_col[i].values.to_numpy(), n_col[i].values.to_numpy()
-        if kind == "df":
-            df[at] += k
-            total += draws[i]
-        else:
-            rows_at.append((draws[i], labels[i], at, k))
+    got = written(sampled.mapInArrow(gather, "kind string, label string, draw double, at array<int>, n array<int>"), "language-features")
+    of_tasks = got.where("kind = 'df'")  # an array a task: added up on the cluster, so the driver gets a row a bucket
+    counts = of_tasks.select(F.explode(F.arrays_zip("at", "n")).alias("c")).groupBy("c.at").agg(F.sum("c.n").alias("n")).toArrow()
+    df = np.zeros(BUCKETS)
+    df[counts.column("at").to_numpy()] = counts.column("n").to_numpy()
+    total = of_tasks.agg(F.coalesce(F.sum("draw"), F.lit(0.0))).first()[0]
+    # rows that repeat key and text share a draw and count once, so the sample stays near its bound however often they repeat
+    chosen = got.where("kind = 'row'").dropDuplicates(["label", "draw"]).select("label", "draw", "at", "n").toArrow()
+    labels, draws = (chosen.column(c).to_pylist() for c in ("label", "draw"))
+    at_col, n_col = chosen.column("at"), chosen.column("n")
+    rows_at = [(draws[i], labels[i], at_col[i].values.to_numpy(), n_col[i].values.to_numpy()) for i in range(len(labels))]
     idf = 1.0 + np.log((total + 1.0) / (df + 1.0))
     rows_at.sort(key=lambda r: (r[0], r[1]))
     languages = sorted({r[1] for r in rows_at})

@@ -245,6 +245,11 @@ def test_language_id(spark, messy, empty):
     model = language_id.fit(docs)
     got = Counter((r["doc_id"], r["lang_pred"] == "und", r["score"] == 0) for r in language_id.predict(messy, model).collect())
     assert got[3, True, True] == got[4, True, True] == got[5, True, True] == got[6, True, True] == 1 and got[7, False, False] == 1
+    text_df = Counter(int(b) for r in docs.where("lang is not null").collect() if (x := language_id.features(r["text"] or "")) is not None
+                      for b in np.flatnonzero(x))
+    known = sum(language_id.features(r["text"] or "") is not None for r in docs.where("lang is not null").collect())
+    df = np.array([text_df[b] for b in range(language_id.BUCKETS)])
+    assert np.allclose(model["idf"], 1 + np.log((known + 1) / (df + 1)))  # frequencies of all rows, added up on the cluster
     assert language_id.predict(empty, model).count() == 0
     assert {r["lang_pred"] for r in language_id.predict(messy, language_id.fit(empty)).collect()} == {"und"}
     text = "Der Hund, \u00e9t\u00e9 42 "
