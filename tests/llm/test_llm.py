@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import os
+import re
 import sys
 import zlib
 from collections import Counter
@@ -404,6 +405,97 @@ def test_line_dedup_messy(spark, messy, empty):
     assert line_dedup.clean_documents(messy).count() == len(MESSY)
 
 
+def without_boilerplate(rows):
+    """(doc_id, source, text) rows by hand: trimmed lines on two texts of a source and on more than a tenth of them go."""
+    pages, lines = {}, {}
+    for _, source, text in rows:
+        pages.setdefault(source, set()).add(text or "")
+    for source, those in pages.items():
+        lines[source] = Counter(x for t in those for x in {y.strip(" \t\r") for y in t.split("\n")} - {""})
+    drop = {s: {x for x, n in c.items() if n > 1 and n > 0.1 * len(pages[s])} for s, c in lines.items()}
+    return {i: t if not drop[s] or t is None else "\n".join(y for y in t.split("\n") if y.strip(" \t\r") not in drop[s]) for i, s, t in rows}
+
+
+def copies_in_mix(rows):
+    """(doc_id, source, text) rows by hand: how often each document comes."""
+    size = {i: len([w for w in re.split("[\x20\x09-\x0D]+", t or "") if w]) for i, _, t in rows}
+    sources = sorted({s for _, s, _ in rows if s is not None}) + [None] * any(s is None for _, s, _ in rows)
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sources)}
+    total = {s: sum(size[i] for i, x, _ in rows if x == s) for s in sources}
+    target, rest, free = {}, 1.5 * sum(size.values()), set(sources)
+    while True:  # full sources leave, the others share what is left
+        share = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+        full = {s for s in free if share[s] > 2 * total[s]}
+        if not full:
+            break
+        for s in full:
+            target[s], rest = 2 * total[s], rest - 2 * total[s]
+        free -= full
+    target |= share
+    out = Counter()
+    for s in sources:
+        mine = [(int(hashlib.md5(f"mix:{{{i}, {'null' if s is None else s}, {hashlib.md5((t or '').encode()).hexdigest()}}}".encode()).hexdigest()[:15], 16), i)
+                for i, x, t in rows if x == s]
+        budget = int(target[s])
+        epochs, left = divmod(budget, total[s]) if total[s] else (0, 0)
+        for _, i in sorted(mine):
+            part = max(0, min(size[i], left))
+            left -= part
+            if n := math.floor((epochs * size[i] + part) / size[i] + 0.5) if size[i] else 0:
+                out[i] = n
+    return out
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    stage = dict(corpus_pipeline.STAGES)
+    docs = documents(spark, SF_SMALL)
+    rows = [(r["doc_id"], r["source"], r["text"]) for r in docs.collect()]
+    cleaned = {r["doc_id"]: r["text"] for r in stage["line_dedup"](spark, docs, SF_SMALL).collect()}
+    assert cleaned == without_boilerplate(rows)
+    s = {i: plain(t) for i, _, t in rows}
+    like = {(i, j): len(s[i] & s[j]) / len(s[i] | s[j]) for i, j in itertools.combinations(sorted(s), 2)}
+    left = {r["doc_id"] for r in stage["near_dedup"](spark, docs, SF_SMALL).collect()}
+    assert all(v < 0.84 for (i, j), v in like.items() if i in left and j in left)
+    assert all(any(v >= 0.75 for (i, j), v in like.items() if j == gone or i == gone) for gone in set(s) - left)
+    assert all(min((i for (i, j), v in like.items() if j == k and v >= 0.75), default=k) == k or k not in left or
+               max(v for (i, j), v in like.items() if j == k) < 0.84 for k in s)
+    mixed = Counter(r["doc_id"] for r in stage["mix_sources"](spark, docs, SF_SMALL).collect())
+    assert mixed == copies_in_mix(rows)
+
+
+def plain_ftrl(rows, y, n_classes):
+    """Follow the regularised leader coordinate by coordinate."""
+    L = language_id
+    z, n = ({(c, b): 0.0 for c in range(n_classes) for at, _ in rows for b in at} for _ in range(2))
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= L.L1 else -(z[k] - math.copysign(L.L1, z[k])) / ((L.BETA + math.sqrt(n[k])) / L.ALPHA + L.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(L.EPOCHS):
+        for r in order.permutation(len(rows)):
+            at, v = rows[r]
+            score = [sum(weight((c, b)) * x for b, x in zip(at, v)) for c in range(n_classes)]
+            top = max(score)
+            e = [math.exp(x - top) for x in score]
+            for c in range(n_classes):
+                for b, x in zip(at, v):
+                    g = (e[c] / sum(e) - (c == y[r])) * x
+                    w = weight((c, b))
+                    z[c, b] += g - (math.sqrt(n[c, b] + g * g) - math.sqrt(n[c, b])) / L.ALPHA * w
+                    n[c, b] += g * g
+    return {k: weight(k) for k in z}
+
+
+def test_ftrl_equals_a_plain_one():
+    rng = np.random.default_rng(5)
+    y = np.arange(24) % 3
+    rows = [(np.sort(rng.choice(40, 6, replace=False)) + 10 * c, rng.random(6)) for c in y]
+    got = language_id.ftrl(rows, y, 3)
+    want = plain_ftrl(rows, y, 3)
+    assert np.allclose([got[k] for k in want], list(want.values()), atol=1e-9) and np.count_nonzero(got) > 10
+
+
 def test_pipeline(spark, messy, empty):
     docs = documents(spark, SF_SMALL)
     seen = {}
@@ -419,6 +511,8 @@ def test_pipeline(spark, messy, empty):
     ref = Tokenizer.from_file(bpe.default_vocabulary())
     want = Counter((r["doc_id"], tuple(ref.encode(r["text"], add_special_tokens=False).ids)) for r in seen["mix_sources"].collect())
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in seen["bpe_encode"].collect()) == want
+    assert Counter((r["doc_id"], r["decoded_sha256"]) for r in seen["bpe_encode"].collect()) == Counter(
+        (r["doc_id"], sha(r["text"])) for r in seen["mix_sources"].collect())
     for odd in (messy, empty):
         docs = odd
         for name, stage in corpus_pipeline.STAGES:
