@@ -35,11 +35,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids and n_tokens of every document."""
+    """doc_id, source, ids and n_tokens of every document, and the digest of the text that the ids decode to."""
     docs = as_documents(docs)
     lexicon = bpe.build_lexicon(docs)
     keyed = docs.select(F.struct("doc_id", "source").alias("key"), "text")
-    return bpe.encode(keyed, lexicon, key="key").select("key.doc_id", "key.source", "ids", F.size("ids").cast("long").alias("n_tokens"))
+    back = bpe.decode(bpe.encode(keyed, lexicon, key="key"), lexicon, key="key")
+    return back.select("key.doc_id", "key.source", "ids", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -50,7 +52,7 @@ STAGES = [
     ("bpe_encode", encode),
 ]
 
-#: A trained classifier and sampled signatures have no SQL twin; the tests hold the pipeline against a brute-force version.
+#: A trained classifier and sampled signatures have no SQL twin; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
