@@ -21,6 +21,7 @@ from ..operators import metrics as M
 from ..operators import neighbours as G
 from ..operators import oversample as O
 from ..operators import prepare as P
+from ..operators import projected as PJ
 from ..operators import search_stats as H
 from ..schema import PROPS_SCHEMA, READING_CSV_SCHEMA, READING_FEATURES, READING_KEY
 from ..session import read_table, scratch_path, stored
@@ -241,6 +242,15 @@ def q_knn_minority(spark, sf):
     return nn.select("id", "rank", "nn_id", _r(F.col("dist")).alias("dist"))
 
 
+@register("knn_projected")
+def q_knn_projected(spark, sf):
+    """D6, approximate: near neighbours of the minority readings, scaled, by random projections (recall measured in the tests)."""
+    r = fx.readings(spark, sf)
+    mino = feat.standardize(r.where(F.col("label") == O.minority_label(r)), FEATS, fit_on=None, output_col="z", as_array=True)
+    nn = PJ.knn_projected(mino, READING_KEY, "z", KNN_K)
+    return nn.select("id", "rank", "nn_id", _r(F.col("dist")).alias("dist"))
+
+
 _WHOLE, _FRAC = divmod(SMOTE_PERC, 100)
 _SMOTE_SQL = f"""WITH v AS ({fx.VECTORS_SQL}), ml AS ({_MINO}), {_KNN_SQL},
 nb AS (SELECT id, max(rank) AS n_nb FROM nn GROUP BY id),
