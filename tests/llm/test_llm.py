@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import os
+import random
 import re
 import sys
 import zlib
@@ -188,6 +189,28 @@ def test_near_dedup_finds_clear_copies_and_leaves_others(spark):
             assert any(got[k] == got[i] and k not in (i, j) for k in s)
 
 
+def test_near_dedup_recall_just_above_the_threshold(spark):
+    """Pairs whose plain similarity is between 0.80 and 0.84: words of a text replaced by other words of the corpus."""
+    rng = random.Random(1)
+    base = [(i, t.split()) for i, t in sorted(texts(spark).items()) if 60 <= len(t.split()) <= 2000]
+    vocabulary = [w for _, words in base for w in words]
+    rows, pairs = [], 0
+    for i, words in base:
+        copy, s, goal = list(words), plain(" ".join(words)), rng.uniform(0.80, 0.84)
+        for k in rng.sample(range(len(words)), len(words)):
+            more = list(copy)
+            more[k] = rng.choice(vocabulary)
+            t = plain(" ".join(more))
+            if len(s & t) / len(s | t) < goal:
+                break
+            copy = more
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    s = {i: plain(t) for i, t in rows}
+    close = [i for i, _ in base if 0.8 <= len(s[2 * i] & s[2 * i + 1]) / len(s[2 * i] | s[2 * i + 1]) < 0.84]
+    assert len(close) >= 20 and sum(got[2 * i] == got[2 * i + 1] for i in close) >= 0.9 * len(close)
+
+
 def test_near_dedup_hot_group_and_messy(spark, messy, empty):
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in rng.integers(0, 5000, 120)]
