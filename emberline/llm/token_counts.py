@@ -1,14 +1,15 @@
 """Token counts by overlap resynchronisation.
 
-A huge document is never encoded in one piece: it is cut into chunks that overlap, each chunk is encoded with offsets, and
-two neighbours are spliced at a boundary in their overlap that is proven stable. A place is proven when white space
-that no token holds stands there: the vocabulary's normaliser, splitter and merges never look across white space, so the
-tokens on its two sides are those of the whole text. The splice must also be seen by both chunks: a token of the left
-one ends at or before the place and a token of the right one starts there, with no token across it. Where the overlap
-holds no such place, it is widened (doubled) until it does; a text without one ends up in a single chunk.
+A huge document is never encoded in one piece: it is cut into chunks that overlap, the library encodes each chunk with
+offsets, and two neighbours are spliced at a boundary in their overlap that is proven stable. A place is proven when white
+space that no token holds stands there: the vocabulary's normaliser, splitter and merges never look across white space, so
+the tokens on its two sides are those of the whole text. The splice must also be common to both chunks: no token of either
+crosses the place, and from there up to the last white space of the overlap both have the same tokens at the same offsets.
+(A chunk's ends may tear a word, whose tokens are then not those of the whole text; they lie outside that stretch.) Where
+the overlap holds no such place, it is widened (doubled) until it does; a text without one ends up in a single chunk.
 
-White space bounds the smallest proven chunks, single words, so a chunk is encoded word by word and the encodings of
-words that a task has met are remembered; the words at a chunk's ends may be torn, which the splice repairs.
+A text of a chunk at most needs no splice. Such texts are counted word by word, and the words that a task has met are
+remembered with their number of tokens.
 
 Null text counts 0; an empty table gives none.
 """
@@ -25,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import Growing, Numbering, documents, flat_ranges, pick, query, text_slices
+from emberline.llm.common import Growing, Numbering, documents, pick, query, text_slices
 
 CHUNK = 16_384
 OVERLAP = 256
@@ -53,15 +54,14 @@ def load(path: str):
 
 
 class Encoder:
-    """The library's encoding, word by word: ``count`` of a text's tokens, ``encode`` with places in the text."""
+    """The library's encoding: ``encode`` of a chunk with places in the text, ``counts`` of short texts' tokens word by word."""
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer = tokenizer
         self.forget()
 
     def forget(self) -> None:
-        self.numbers, self.size, self.at = Numbering(), Growing(np.int64), Growing(np.int64)
-        self.ids, self.spans = Growing(np.int32), Growing(np.int32, 2)
+        self.numbers, self.size = Numbering(), Growing(np.int64)
 
     def learn(self) -> None:
         if not (fresh := self.numbers.fresh()):
@@ -72,13 +72,8 @@ class Encoder:
         for words, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
             lens = np.fromiter(map(len, words), np.int64, len(words))
             starts = np.cumsum(lens + 1) - lens - 1
-            spans = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e)).reshape(-1, 2)
-            word = np.searchsorted(starts, spans[:, 0], side="right") - 1
-            size = np.bincount(word, minlength=len(words))
-            self.at.add(self.ids.size + np.cumsum(size) - size)
-            self.size.add(size)
-            self.ids.add(np.array(e.ids, np.int32))
-            self.spans.add(spans - starts[word][:, None])
+            word = np.searchsorted(starts, spans_of(e)[:, 0], side="right") - 1
+            self.size.add(np.bincount(word, minlength=len(words)))
 
     def counts(self, texts: list[str]) -> np.ndarray:
         if len(self.numbers) > KNOWN_WORDS:
@@ -89,24 +84,27 @@ class Encoder:
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids and (start, end) of every token."""
-        if len(self.numbers) > KNOWN_WORDS:
-            self.forget()
-        words = WORDS.findall(text)
-        numbers = self.numbers.numbers(words)
-        self.learn()
-        size = self.size[numbers]
-        flat = flat_ranges(self.at[numbers], size)
-        starts = np.repeat(np.fromiter((m.start() for m in WORDS.finditer(text)), np.int64, len(words)), size)
-        return self.ids[flat], self.spans[flat] + starts[:, None]
-
-
-def splice(text: str, left: np.ndarray, right: np.ndarray, lo: int, hi: int) -> int | None:
-    """The first place in the overlap [lo, hi) where a word starts after white space and which both chunks' spans (by
-    their places in the text) prove: no token of either crosses it."""
-    left, right = left[left[:, 1] >= lo], right[right[:, 0] <= hi]
-    for m in BLANK.finditer(text, lo, hi):
-        p = m.end()
-        if p < len(text) and not any(((s[:, 0] < p) & (p < s[:, 1])).any() for s in (left, right)):
+        e = self.tokenizer.encode(text, add_special_tokens=False)
+        return np.array(e.ids, np.int32), spans_of(e)
+
+
+def spans_of(encoding) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(encoding.offsets), np.int64, 2 * len(encoding)).reshape(-1, 2)
+
+
+def splice(text: str, left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], lo: int, hi: int) -> int | None:
+    """The first place in the overlap [lo, hi) where a word starts after white space and which both chunks' (ids, spans by
+    their places in the text) prove: no token of either crosses it, and they agree from it up to the last white space."""
+    blanks = list(BLANK.finditer(text, lo, hi))
+    if not blanks:
+        return None
+    sure = blanks[-1].start()
+    (li, ls), (ri, rs) = ((ids[near], at[near]) for ids, at in (left, right) for near in [(at[:, 1] >= lo) & (at[:, 0] <= hi)])
+    for p in (m.end() for m in blanks):
+        if p == len(text) or any(((s[:, 0] < p) & (p < s[:, 1])).any() for s in (ls, rs)):
+            continue
+        a, b = ((s[:, 0] >= p) & (s[:, 1] <= sure) for s in (ls, rs))
+        if np.array_equal(li[a], ri[b]) and np.array_equal(ls[a], rs[b]):
             return p
     return None
 
@@ -126,7 +124,7 @@ def chunk_tokens(encoder: Encoder, text: str, chunk: int = CHUNK, overlap: int =
             lo = max(done, end - wide)
             stop = min(len(text), max(end, lo + chunk))
             new_ids, new_at = spans(lo, stop)
-            p = splice(text, at, new_at, lo, end)
+            p = splice(text, (ids, at), (new_ids, new_at), lo, end)
             if p is not None:
                 break
             if lo > done:

@@ -111,6 +111,39 @@ def test_token_counts_equal_the_library(spark, messy, empty):
         assert [tuple(s) for _, at in parts for s in at.tolist()] == whole.offsets
 
 
+def test_chunks_are_spliced_where_the_library_agrees():
+    t = token_counts.load(token_counts.default_vocabulary())
+    e, seen = token_counts.Encoder(t), []
+    encode, e.encode = e.encode, lambda text: (seen.append(text), encode(text))[1]
+    text = "".join(f"word{i * i} " for i in range(400)) + "unbroken" * 60 + " end"
+    whole = t.encode(text, add_special_tokens=False)
+    parts = list(token_counts.chunk_tokens(e, text, 200, 8))
+    assert len(parts) > 10 and [i for ids, _ in parts for i in ids.tolist()] == whole.ids
+    assert all(x in text for x in seen) and max(map(len, seen)) < len(text) / 2
+    assert any(text[text.index(x) - 1:text.index(x)].strip() for x in seen)  # chunks that begin inside a word are repaired
+    # a place at which the chunks differ is no boundary
+    ids, at = encode("one two three four")
+    assert token_counts.splice("one two three four", (ids, at), (ids, at), 0, 18) == 4
+    other = ids.copy()
+    other[1] += 1
+    assert token_counts.splice("one two three four", (ids, at), (other, at), 0, 18) == 8
+    assert token_counts.splice("onetwothree", *[encode("onetwothree")] * 2, 0, 11) is None
+    rng = random.Random(8)
+    for _ in range(1500):
+        text = "".join(rng.choices([*"ab\u0301\u03a3\u0130 \n\t\x1c.\u2003\u4e2d\u1100\u1161'9<|>", "<|endoftext|>"], k=rng.randint(0, 90)))
+        assert sum(len(ids) for ids, _ in token_counts.chunk_tokens(e, text, 12, 3)) == len(t.encode(text, add_special_tokens=False))
+
+
+def test_op8_counts_every_whole_text(spark):
+    t = token_counts.load(token_counts.default_vocabulary())
+    texts = dict(spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect())
+    rows = token_counts.op8(spark, SF_SMALL).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        n = len(t.encode(texts[r["doc_id"]] or "", add_special_tokens=False))
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len((texts[r["doc_id"]] or "").encode()), n, n > 2048)
+
+
 def test_mix_meets_its_targets(spark, messy, empty):
     rows = mixing.mix(messy).collect()
     assert len(rows) == len(MESSY) and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
