@@ -244,7 +244,7 @@ def test_near_dedup_recall_just_above_the_threshold(spark):
     assert len(close) >= 20 and sum(got[2 * i] == got[2 * i + 1] for i in close) >= 0.9 * len(close)
 
 
-def test_near_dedup_hot_group_and_messy(spark, messy, empty):
+def test_near_dedup_hot_group_and_messy(spark, messy, empty, monkeypatch):
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in rng.integers(0, 5000, 120)]
     rows = []
@@ -268,6 +268,10 @@ def test_near_dedup_hot_group_and_messy(spark, messy, empty):
             a, b = sorted((find(i), find(j)))
             parent[b] = a
     assert all(got[i] == got[find(i)] for i in s)
+    with monkeypatch.context() as patch:  # the bucket in many parts, none of its tables broadcast by hint
+        patch.setattr(near_dedup, "BLOCK", 16)
+        patch.setattr(near_dedup, "small", lambda df: df)
+        assert got == {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()}
     out = {(r["doc_id"], r["class_id"]) for r in near_dedup.classes(messy).collect()}
     assert {(1, 1), (2, 1), (3, 3), (4, 3), (5, 3)} <= out
     assert near_dedup.classes(empty).count() == 0
