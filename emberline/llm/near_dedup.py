@@ -1,6 +1,6 @@
 """Near-duplicate detection: improved consistent weighted sampling over TF-IDF shingles, banded, then verified.
 
-1. Word document frequencies are counted over all rows. Words on at least ``COMMON`` of all rows get their own inverse
+1. Word document frequencies are counted over all rows, exactly at every size. Words on at least ``COMMON`` of all rows get their own inverse
    document frequency, all others that of the limit, so the table holds at most (words per row) / ``COMMON`` entries and
    may be broadcast at every corpus size. A shingle of five words weighs its count times the mean of its words' values: a
    shingle's own document frequency would be low in proportion to the size of a group of copies, so that in large
@@ -58,21 +58,19 @@ def lowered(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def word_weights(docs: DataFrame, text: str = "text", common: float = COMMON, window: int = 3_000_000) -> tuple[np.ndarray, np.ndarray, float]:
     """Hashes of the common words in order, their inverse document frequencies, and the value of all other words."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, rows = [], 0, 0
+        held, size = [], 0
 
         def out() -> pa.RecordBatch:
             word, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
-            # lossy counting: what came once in a window of this many rows is far from common
-            keep = n > 1 if rows > 2 / common else n > 0
-            return pa.RecordBatch.from_pydict({"word": pa.array(word[keep].view(np.int64)), "n": pa.array(n[keep])})
+            return pa.RecordBatch.from_pydict({"word": pa.array(word.view(np.int64)), "n": pa.array(n)})
 
         for _, texts in text_slices(batches):
             h, cuts = lowered(texts)
             held.extend(np.unique(h[a:b]) for a, b in zip(cuts, cuts[1:]))
-            size, rows = size + len(h), rows + len(texts)
+            size += len(h)
             if size > window:
                 yield out()
-                held, size, rows = [], 0, 0
+                held, size = [], 0
         yield out()
 
     counts = pick(docs, text=text).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))

@@ -244,6 +244,17 @@ def test_near_dedup_recall_just_above_the_threshold(spark):
     assert len(close) >= 20 and sum(got[2 * i] == got[2 * i + 1] for i in close) >= 0.9 * len(close)
 
 
+def test_near_dedup_counts_every_word_at_every_size(spark):
+    """A word that comes once in a task's rows counts there too, however many rows the task has."""
+    rows = [(f"own{i} " + ("shared" if i == 0 or i >= 33 else "other"),) for i in range(40)]  # once in the first 20, 7 times in the others
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "text string")
+    words, values, rest = near_dedup.word_weights(docs, common=0.2)
+    assert {*words.tolist()} == {*word_hashes.word_hashes(["shared other"])[0].tolist()}
+    n = {h: c for h, c in zip(word_hashes.word_hashes(["shared other"])[0].tolist(), (8, 32))}
+    value = lambda k: 1 + near_dedup.SPREAD * math.log(41 / (k + 1)) / math.log(41 / 9 + 1)
+    assert np.allclose(values, [value(n[w]) for w in words.tolist()]) and math.isclose(rest, value(8))
+
+
 def test_near_dedup_hot_group_and_messy(spark, messy, empty, monkeypatch):
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in rng.integers(0, 5000, 120)]
