@@ -88,3 +88,29 @@ def test_rows_without_position_and_empty_tables(spark):
     assert sorted((r["id"], r["n_nb"]) for r in G.neighbour_terms(df, 1.0, dim=2).collect()) == [(1, 1), (2, 0), (2, 1), (3, 0)]
     for dim in (2, 7):
         assert G.neighbour_terms(df.limit(0), 1.0, dim=dim).count() == 0 and G.radius_neighbours(df.limit(0), 1.0, dim=dim).count() == 0
+
+
+@pytest.mark.parametrize("dim", [2, 5, 64])
+def test_classes_and_tiles_hold_every_link(spark, dim, monkeypatch):
+    """Many small tiles; the pairs of classes and the class of each row give back all pairs of rows, copies and null groups included."""
+    monkeypatch.setattr(G, "TILE", 8)
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(150, dim)) / math.sqrt(dim)
+    x[100:120] = x[:20]
+    x[120:140] = x[5]
+    x[140:] = x[6] + rng.uniform(-1, 1, (10, dim)) * 1e-10
+    rows = table(x) + [(None, 900, x[0].tolist(), x[0].tolist(), 0.0), (None, 901, x[1].tolist(), x[1].tolist(), 0.0), ("0", 902, None, None, 0.0)]
+    df = spark.createDataFrame(rows, KINDS).repartition(5)
+    want = {(i, j) for i, (g, i_, a, _, _) in enumerate(rows[:150]) for j, (h, j_, b, _, _) in enumerate(rows[:150])
+            if g == h and 1e-9 < math.sqrt(sum((s - t) ** 2 for s, t in zip(a, b))) < 0.9}
+    got = G.radius_classes(df, 0.9, dim=dim).collect()
+    members, links = {}, set()
+    for r in got:
+        if r["nn_id"] is None:
+            members.setdefault((r["group_id"], r["rep_id"]), set()).add(r["id"])
+        else:
+            links.add((r["group_id"], r["id"], r["nn_id"]))
+    assert sum(map(len, members.values())) == 152 and {121, 139} < members[("1", 5)]
+    assert {(a, b) for g, p, q in links for a in members[(g, p)] for b in members[(g, q)]} == want
+    assert {(r["id"], r["nn_id"]) for r in G.radius_neighbours(df, 0.9, dim=dim).collect()} == want
+    assert {r["id"] for r in G.isolated_points(df, 0.9, dim=dim).collect()} == {r[1] for r in rows} - {i for i, _ in want}
