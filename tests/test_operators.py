@@ -94,6 +94,21 @@ def test_knn_exact_with_duplicates(spark, pivots):
     assert nn.exceptAll(br).count() == 0
 
 
+@pytest.mark.parametrize("tile", [4096, 16])
+def test_knn_tiles_are_exact_in_many_dimensions(spark, tile, monkeypatch):
+    """Copies (more than k and fewer), ties and vectors 1e-9 apart, in one tile and in many."""
+    import numpy as np
+
+    monkeypatch.setattr(O, "TILE", tile)
+    x = np.random.default_rng(3).normal(size=(120, 20))
+    x[40:50], x[50:53] = x[0], x[1]
+    x[53:60] = x[2] + np.eye(7, 20)  # equally far from x[2]
+    x[60:70] = x[3] + np.random.default_rng(4).normal(size=(10, 20)) * 1e-9
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>").repartition(5)
+    got = O.knn(df, "id", "x", 5).select("id", "rank", "nn_id")
+    assert sorted(got.collect()) == sorted(_brute_knn(df, 5).collect())
+
+
 def test_smote_points_on_segments(spark):
     v = fx.vectors(spark, SF_MID)
     syn = O.smote_synthetic(v, "vec_id", "x", "label", 5, 140)
