@@ -118,14 +118,21 @@ class Shards:
                 yield s, order[cuts[s]:cuts[s + 1]]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Place of each key in the whole sequence, -1 where it is not."""
+        """Place of each key in the whole sequence, -1 where it is not. Equal keys are searched once and all in rising order, so
+        that a search finds what it reads in the processor's cache, as the one before it has been there."""
         out = np.full(len(keys), -1, np.int64)
         if not self.paths or not len(keys):
             return out
-        shard = np.searchsorted(self.first, keys, side="right") - 1 if len(self.paths) > 1 else np.where(keys >= self.first[0], 0, -1)
-        for s, at in self._each(shard):
-            i, hit = self.part(s)[1].successor(keys[at] - self.first[s])
-            out[at] = np.where(hit, self.base[s] + i, -1)
+        order = np.argsort(keys)
+        rising = keys[order]
+        new = np.concatenate([[True], rising[1:] != rising[:-1]])
+        kinds = rising[new]
+        place = np.full(len(kinds), -1, np.int64)
+        cuts = np.append(np.searchsorted(kinds, self.first), len(kinds))
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            i, hit = self.part(s)[1].successor(kinds[cuts[s]:cuts[s + 1]] - self.first[s])
+            place[cuts[s]:cuts[s + 1]] = np.where(hit, self.base[s] + i, -1)
+        out[order] = place[np.cumsum(new) - 1]
         return out
 
     def _local(self, places: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -397,6 +397,25 @@ def test_word_hashes_agree_with_words():
     assert np.diff(cuts).tolist() == [len(x.encode().split()) for x in t]
 
 
+def test_shards_search_equal_keys_once_and_in_rising_order(tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    all_keys = np.unique(rng.integers(100, 1 << 40, 5_000).astype(np.uint64))
+    rows, parts = [], np.array_split(all_keys, 11)
+    for v in parts:
+        own = elias_fano.encode(v - v[0], int(v[-1] - v[0]) + 1)
+        rows.append(([elias_fano.save(str(tmp_path), "s", {f"k_{x}": a for x, a in own.items()})], int(v[0]), len(v), len(v)))
+    keys = np.concatenate([rng.choice(all_keys, 3_000), rng.integers(0, 1 << 41, 3_000).astype(np.uint64), all_keys[:1] - np.uint64(1), all_keys[-1:]])
+    searched, search = [], elias_fano.EliasFano.successor
+    monkeypatch.setattr(elias_fano.EliasFano, "successor", lambda self, k: searched.append(k) or search(self, k))
+    for n in (1, 3, 11):
+        place = {int(k): i for i, k in enumerate(np.concatenate(parts[:n]).tolist())}
+        searched.clear()
+        assert lm_scoring.Shards(rows[:n]).find(keys).tolist() == [place.get(int(k), -1) for k in keys.tolist()]
+        assert sum(map(len, searched)) <= len(set(keys.tolist()))
+        assert all((k[1:] > k[:-1]).all() for k in searched)
+    assert lm_scoring.Shards(rows).find(keys[:0]).tolist() == [] and lm_scoring.Shards([]).find(keys[:2]).tolist() == [-1, -1]
+
+
 def test_lm_scoring_against_brute_force(spark, messy, empty):
     t = {i: [*x.encode().lower().split(), None] for i, x in texts(spark).items()}
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
