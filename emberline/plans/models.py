@@ -9,10 +9,11 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from typing import Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,18 +69,36 @@ def param_grid_table(spark: SparkSession, num_trees: Sequence[int], impurities:
     return spark.createDataFrame(rows, "candidate_id int, num_trees int, impurity string")
 
 
+def cross_validate(est, grid, metric: MulticlassClassificationEvaluator, folded: DataFrame, k: int, parallelism: int = 1) -> CrossValidatorModel:
+    """Spark's CrossValidator over a persisted table with a ``fold`` column: the same folds, fits and averages. Folds are filters on
+    the one table (CrossValidator keeps every fold's training and held-out rows in memory once more), and up to ``parallelism`` fits
+    of any fold run side by side, so the short jobs of one fill the cores that another leaves idle."""
+    found = {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}
+    if missing := [i for i in range(k) if not found.get(i) or found[i] == sum(found.values())]:
+        raise ValueError(f"The training or the validation data of folds {missing} is empty.")
+
+    def measured(job) -> float:
+        fold, params = job
+        model = est.fit(folded.where(F.col("fold") != fold), params)
+        return metric.evaluate(model.transform(folded.where(F.col("fold") == fold)))
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        values = np.array(list(pool.map(measured, [(i, params) for i in range(k) for params in grid]))).reshape(k, len(grid))
+    averages = values.mean(axis=0)
+    best = int(averages.argmax() if metric.isLargerBetter() else averages.argmin())
+    return CrossValidatorModel(est.fit(folded, grid[best]), averages.tolist(), stdMetrics=values.std(axis=0).tolist())
+
+
 def cv_select(train: DataFrame, input_cols: Sequence[str], key: str, num_trees: Sequence[int] = (DEFAULT_TREES,),
               impurities: Sequence[str] = ("gini",), k: int = 5, metric: str = "f1", metric_label: float = 0.0,
               parallelism: int = 4, seed: int = DEFAULT_SEED):
     """E5: k-fold CV over the grid with a hash ``fold`` column; the best whole pipeline is refit on
     all training rows. Returns the CrossValidatorModel (``avgMetrics``, ``bestModel``)."""
     rf, pipe = pipeline(input_cols, seed=seed)
+    grid = param_grid(rf, num_trees, impurities)
     folded = kfold_assign(train, key, k).persist()
-    try:
-        cv = CrossValidator(estimator=pipe, estimatorParamMaps=param_grid(rf, num_trees, impurities),
-                            evaluator=evaluator(metric, metric_label), numFolds=k, foldCol="fold",
-                            parallelism=parallelism, seed=seed)
-        return cv.fit(folded)
+    try:  # a fit keeps its rows in memory: no more of them at a time than points in the grid, or two
+        return cross_validate(pipe, grid, evaluator(metric, metric_label), folded, k, min(parallelism, max(2, len(grid))))
     finally:
         folded.unpersist()
 
@@ -205,10 +224,7 @@ def train_oversampled(train: DataFrame, test: DataFrame, input_cols: Sequence[st
     rf = forest(num_trees, seed=seed)
     folded = kfold_assign(tr, ["src_id", "copy"], k).persist()
     try:
-        cv = CrossValidator(estimator=rf, estimatorParamMaps=param_grid(rf, [num_trees]),
-                            evaluator=evaluator("precisionByLabel", metric_label), numFolds=k, foldCol="fold",
-                            parallelism=4, seed=seed)
-        cvm = cv.fit(folded.drop("src_id", "copy"))
+        cvm = cross_validate(rf, param_grid(rf, [num_trees]), evaluator("precisionByLabel", metric_label), folded.drop("src_id", "copy"), k)
     finally:
         folded.unpersist()
     best = PipelineModel(stages=[*scal.stages, cvm.bestModel])
