@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import as_documents, crc_mod, documents, pick, query, text_slices, written
+from emberline.llm.common import as_documents, crc_mod, documents, pick, query, small_batches, text_slices, written
 
 BITS = 14
 BUCKETS = 1 << BITS
@@ -118,6 +118,7 @@ def temperature(scores: np.ndarray, y: np.ndarray) -> float:
 def fit(train: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE) -> dict:
     """Languages, idf, weights and temperature. ``sample`` bounds the rows that the classifier sees; document
     frequencies cover every row."""
+    small_batches(train.sparkSession)
     rows = pick(train, key=key, text=text, label=label).where(F.col("label").isNotNull())
     draw = F.conv(F.substring(F.md5(F.concat(
         F.lit(f"{SEED}:"), F.coalesce(F.col("key").cast("string"), F.lit("~")), F.lit(":"), F.xxhash64("text").cast("string"))), 1, 12), 16, 10).cast("double") / float(16 ** 12)
@@ -178,6 +179,7 @@ def fit(train: DataFrame, key: str = "doc_id", text: str = "text", label: str =
 
 def predict(df: DataFrame, model: dict, key: str = "doc_id", text: str = "text", more: tuple = ()) -> DataFrame:
     """key, lang_pred, score, and the ``more`` columns as they are (``text`` among them if wanted)."""
+    small_batches(df.sparkSession)
     rows = pick(df, key=key, text=text, **{f"more_{i}": c for i, c in enumerate(more)})
     shared = df.sparkSession.sparkContext.broadcast(  # its size is fixed by BUCKETS and the number of languages
         {**model, "weights": np.ascontiguousarray(model["weights"].T.astype(np.float32)), "idf": model["idf"].astype(np.float32)})
