@@ -114,3 +114,40 @@ def test_classes_and_tiles_hold_every_link(spark, dim, monkeypatch):
     assert {(a, b) for g, p, q in links for a in members[(g, p)] for b in members[(g, q)]} == want
     assert {(r["id"], r["nn_id"]) for r in G.radius_neighbours(df, 0.9, dim=dim).collect()} == want
     assert {r["id"] for r in G.isolated_points(df, 0.9, dim=dim).collect()} == {r[1] for r in rows} - {i for i, _ in want}
+
+
+@pytest.mark.parametrize("name", ["radius_neighbours"])
+def test_queries_list_the_pairs_of_all_rows(spark, tmp_path, name):
+    """Rows at one position have pairs of their own, repeated keys too, in the query and in its SQL."""
+    import __spark_entry__ as entry
+    import oracle
+
+    if name == "radius_neighbours":
+        made = spark.createDataFrame([(i, f"B{i % 2}", [3, 4, 4, 9][i % 4], 900.0 + 10 * (i % 3)) for i in [*range(30), 7]] + [(40, None, 3, 900.0)],
+                                     "p_partkey long, p_brand string, p_size int, p_retailprice double")
+        made.write.parquet(str(tmp_path / "part.parquet"))
+    else:
+        rows = [(i, [float(i % 5 == j) * 0.8 for j in range(64)], i % 2) for i in range(30)]
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = oracle.duckdb.connect()
+    for t in tmp_path.iterdir():
+        con.execute(f"CREATE VIEW {t.stem} AS SELECT * FROM read_parquet('{t}/*.parquet')")
+    got = entry.queries()[name](spark, str(tmp_path))
+    assert got.columns == ["group_id", "id", "nn_id", "dist"]
+    ok, said = oracle.compare(got, con, entry.oracle_sql()[name])
+    assert ok, said
+    near = lambda i: sorted(r["nn_id"] for r in got.where(F.col("id") == i).collect())
+    assert near(0) and near(0) == near(12 if name == "radius_neighbours" else 10)  # rows at one position
+
+
+def test_pair_list_with_small_heaps_and_chunks(spark, monkeypatch):
+    """Positions of more rows than a heap holds and cells of many chunks lose and repeat no pair."""
+    monkeypatch.setattr(G, "HEAP", 4)
+    rng = np.random.default_rng(3)
+    x = np.round(rng.uniform(-2, 2, (90, 2)), 1)
+    x[30:60] = 0.5
+    odd = [("0", 900, [0.5, None], None, 0.0), (None, 901, [0.5, 0.5], None, 0.0), ("0", 902, None, None, 0.0), ("1", 903, [float("nan"), 0.5], None, 0.0)]
+    df = spark.createDataFrame(table(x) + odd, KINDS).repartition(5)
+    want = sorted((i, j) for i in range(90) for j in range(90) if i % 2 == j % 2 and 1e-9 < math.dist(x[i], x[j]) < 1.0)
+    assert sorted((r["id"], r["nn_id"]) for r in G.radius_neighbours(df, 1.0).collect()) == want
+    assert G.radius_neighbours(df.limit(0), 1.0).count() == 0
