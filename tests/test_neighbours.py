@@ -116,7 +116,7 @@ def test_classes_and_tiles_hold_every_link(spark, dim, monkeypatch):
     assert {r["id"] for r in G.isolated_points(df, 0.9, dim=dim).collect()} == {r[1] for r in rows} - {i for i, _ in want}
 
 
-@pytest.mark.parametrize("name", ["radius_neighbours"])
+@pytest.mark.parametrize("name", ["radius_neighbours", "radius_neighbours_64"])
 def test_queries_list_the_pairs_of_all_rows(spark, tmp_path, name):
     """Rows at one position have pairs of their own, repeated keys too, in the query and in its SQL."""
     import __spark_entry__ as entry
