@@ -264,3 +264,27 @@ def test_matrix_is_one_file_in_line_order(spark, tmp_path):
         (tmp_path / "two" / n).write_text("1,2\n")
     with pytest.raises(ValueError):
         io.read_matrix(spark, str(tmp_path / "two"), 2)
+
+
+@pytest.mark.parametrize("block,pivots", [(8, None), (1024, 1), (16, 40)])
+def test_knn_parts_are_exact_in_few_dimensions(spark, block, pivots, monkeypatch):
+    """Large coordinates with small gaps, copies, ties, repeated and missing ids; a vector with a part that is no number or null takes no
+    neighbour from those of its cell."""
+    import numpy as np
+
+    monkeypatch.setattr(O, "BLOCK", block)
+    x = np.random.default_rng(5).normal(size=(150, 3)) + [1e6, 0, 0]
+    x[40:50], x[50:53] = x[0], x[1]
+    x[53:56] = x[2] + np.eye(3)  # equally far from x[2]
+    x[60:80] = x[3] + np.random.default_rng(6).normal(size=(20, 3)) * 1e-7
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    kinds = "id long, x array<double>"
+    plain = spark.createDataFrame(rows, kinds)
+    want = sorted(_brute_knn(plain, 5).collect())
+    odd = [(-1, [float("nan"), 0.0, 0.0]), (-2, [1e6, None, 0.0]), (None, [5e6, 0.0, 0.0])]
+    got = O.knn(spark.createDataFrame(rows + odd, kinds).repartition(5), "id", "x", 5, n_pivots=pivots)
+    assert sorted(r for r in got.select("id", "rank", "nn_id").collect() if r["id"] >= 0) == want
+    assert got.schema.simpleString() == "struct<id:bigint,rank:int,nn_id:bigint,dist:double>"
+    twice = spark.createDataFrame([(i % 4, [float(i // 2), 0.0, 0.0]) for i in range(12)], kinds)
+    got = O.knn(twice, "id", "x", 5, n_pivots=pivots).groupBy("id").agg(F.sort_array(F.collect_list("rank")).alias("ranks")).collect()
+    assert sorted((r["id"], r["ranks"]) for r in got) == [(i, [1, 2, 3, 4, 5]) for i in range(4)]
